@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-The tokenizers library encodes whole texts, Arrow batch by Arrow batch. A byte-level vocabulary writes each byte as one
-printable character; the table of these is made from its public rule, and decoding reverses it. Offsets of tokens come
-in characters of the text, so a token that holds a part of a character has the offsets of all of it.
+Whole texts are split by the public pattern, and the tokenizers library encodes each piece; a worker remembers the
+pieces it has met, so the library sees each of them about once and what is left per text is a lookup. A byte-level
+vocabulary writes each byte as one printable character; the table of these is made from its public rule, and decoding
+reverses it. Offsets of tokens come in characters of the text, so a token that holds a part of a character has the
+offsets of all of it.
 
 Null texts encode as empty. Empty texts have no ids. Repeated rows give repeated results. Lone surrogates cannot reach
 here: Spark strings are UTF-8. The path of the vocabulary is a parameter; each Python worker loads it once.
@@ -18,11 +20,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts go to the library in slices of about so many characters: memory follows the slice, not the batch.
+#: Texts are taken in slices of about so many characters: memory follows the slice, not the batch.
 SLICE_CHARS = 2_000_000
+#: Pieces that a worker remembers at most; beyond it starts anew.
+MEMO = 600_000
+#: What the pattern's white space is: the Unicode property, which Python's \\s differs from.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_path() -> str:
@@ -39,19 +46,64 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
-@functools.cache
-def load(path: str):
-    """The tokenizer and the bytes of each id."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def splitter(pattern: str | None = None) -> regex.Pattern:
+    """The pattern, with white space spelled out."""
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    pattern = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+    return regex.compile(pattern)
+
+
+class Codec:
+    """A vocabulary with what this process has encoded by it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.split = splitter().findall
+        back, vocab = byte_of_char(), self.tokenizer.get_vocab()
+        self.pieces: list[bytes] = [b""] * (max(vocab.values()) + 1)
+        for token, k in vocab.items():
+            self.pieces[k] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        #: Ids of a piece as little-endian 32-bit numbers, and the places of its tokens.
+        self.ids: dict[str, bytes] = {}
+        self.places: dict[str, list[tuple[int, int]]] = {}
+
+    def take(self, texts: list[str], offsets: bool) -> list[list[str]]:
+        """The pieces of each text, all of them remembered from here on."""
+        split = [self.split(t) for t in texts]
+        if len(self.ids) > MEMO:
+            self.ids.clear()
+            self.places.clear()
+        known = self.places if offsets else self.ids
+        fresh = [p for p in set().union(*split) if p not in known]
+        if fresh:
+            [e] = self.tokenizer.encode_batch([fresh], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(fresh)), side="right").tolist()
+            places = e.offsets if offsets else []
+            for p, a, b in zip(fresh, [0, *ends], ends):
+                self.ids[p] = raw[4 * a : 4 * b]
+                if offsets:
+                    self.places[p] = places[a:b]
+        return split
+
+    def encoded(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, pieces))
+
+    def decoded(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their names in a text are plain text
-    back = byte_of_char()
-    pieces: list[bytes] = [b""] * (max(found.get_vocab().values()) + 1)
-    for token, k in found.get_vocab().items():
-        pieces[k] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-    return found, pieces
+@functools.lru_cache(maxsize=2)
+def load(path: str) -> Codec:
+    return Codec(path)
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
@@ -69,13 +121,13 @@ def slices(texts: list[str]) -> Iterator[list[str]]:
 
 
 def decode_bytes(ids: Iterable[int], path: str | None = None) -> bytes:
-    return b"".join(map(load(path or default_path())[1].__getitem__, ids))
+    return load(path or default_path()).decoded(ids)
 
 
 def decode_stream(ids: Iterable[int], path: str | None = None) -> Iterator[str]:
     """The text of each id in turn; a character split over several ids comes with its last one, and bytes that are no
     UTF-8 come as U+FFFD."""
-    pieces, reader = load(path or default_path())[1], codecs.getincrementaldecoder("utf-8")("replace")
+    pieces, reader = load(path or default_path()).pieces, codecs.getincrementaldecoder("utf-8")("replace")
     for k in ids:
         yield reader.decode(pieces[k])
     if rest := reader.decode(b"", True):
@@ -90,14 +142,25 @@ def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> Da
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = load(path)
+        codec = load(path)
         for batch in batches:
             keys, at = batch.column(0), 0
             for part in slices([t or "" for t in batch.column(1).to_pylist()]):
-                got = tokenizer.encode_batch(part, add_special_tokens=False)
-                columns = [keys.slice(at, len(part)), pa.array([e.ids for e in got], kinds["ids"])]
+                split = codec.take(part, offsets)
+                ids = [np.frombuffer(codec.encoded(p), "<i4") for p in split]
+                columns = [keys.slice(at, len(part)), pa.array(ids, kinds["ids"])]
                 if offsets:
-                    columns += [pa.array([[x[k] for x in e.offsets] for e in got], kinds["ids"]) for k in (0, 1)]
+                    starts, ends = [], []
+                    for pieces in split:
+                        a, b, here = [], [], 0
+                        for piece in pieces:
+                            for x, y in codec.places[piece]:
+                                a.append(here + x)
+                                b.append(here + y)
+                            here += len(piece)
+                        starts.append(a)
+                        ends.append(b)
+                    columns += [pa.array(starts, kinds["starts"]), pa.array(ends, kinds["ends"])]
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
@@ -109,9 +172,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)[1].__getitem__
+        codec = load(path)
         for batch in batches:
-            out = [b"".join(map(pieces, ids or ())) for ids in batch.column(1).to_pylist()]
+            out = [codec.decoded(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -124,16 +187,16 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, pieces = load(path)
+        codec = load(path)
         for batch in batches:
             keys, at = batch.column(0), 0
             for part in slices([t or "" for t in batch.column(1).to_pylist()]):
                 n, of_ids, of_bytes, same = [], [], [], []
-                for text, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    back = b"".join(map(pieces.__getitem__, ids))
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                for text, pieces in zip(part, codec.take(part, False), strict=True):
+                    raw = codec.encoded(pieces)
+                    back = codec.decoded(np.frombuffer(raw, "<u4").tolist())
+                    n.append(len(raw) // 4)
+                    of_ids.append(hashlib.sha256(raw).hexdigest())
                     of_bytes.append(hashlib.sha256(back).hexdigest())
                     same.append(back == text.encode())
                 columns = [keys.slice(at, len(part)), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes), pa.array(same)]
