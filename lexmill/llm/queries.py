@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, quality, toxicity
+from . import bpe, langid, licenses, lines, quality, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,34 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_units(table(spark, sf_dir, "documents"))
+
+
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_quality_rules, op6_toxicity, op9_language_id)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_byte_bpe,
+        op3_quality_rules,
+        op6_toxicity,
+        op7_unit_dedup,
+        op8_line_windows,
+        op9_language_id,
+        op10_simhash,
+    )
+}
 
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE_SQL, "op8_line_windows": lines.LINES_SQL}
