@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lines, quality, simhash, toxicity
+from . import bpe, decontaminate, langid, licenses, lines, quality, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(quality.measure(table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
         op1_license_scan,
         op2_byte_bpe,
         op3_quality_rules,
+        op4_decontamination,
         op6_toxicity,
         op7_unit_dedup,
         op8_line_windows,
@@ -59,4 +64,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op3_quality_rules": quality.ORACLE_SQL, "op8_line_windows": lines.LINES_SQL}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE_SQL,
+    "op4_decontamination": decontaminate.ORACLE_SQL,
+    "op8_line_windows": lines.LINES_SQL,
+}
