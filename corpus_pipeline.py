@@ -1,10 +1,85 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: toxic documents go, repeated line windows go, one document of each near-duplicate group stays,
+contaminated documents go, and what is left is encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
+documents; n_chars follows the text where a stage changes it. No stage drops a row for a null or empty text as such:
+they score as clean, have no lines to lose, form one near-duplicate group with fingerprint zero, hold no window, and
+encode to no ids. Rows are told apart by an id of their own, so a doc_id that repeats doesn't multiply rows.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import bpe, decontaminate, lines, simhash, toxicity
+from lexmill.llm.common import RID, keep, table
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with a row id, and the same rows with that id in the place of doc_id, for an operator."""
+    rows = docs.select(F.monotonically_increasing_id().alias(RID), "*")
+    return rows, rows.select(F.col(RID).alias("doc_id"), "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts as clean."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    rows, keyed = _keyed(docs)
+    toxic = toxicity.score(keyed, model).filter("predicted = 1").select(F.col("doc_id").alias(RID))
+    return rows.join(toxic, RID, "left_anti").select(*docs.columns)
+
+
+def dedup_line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that later occurrences of three-line windows cover."""
+    done = lines.dedup_lines(docs)
+    if "n_chars" not in docs.columns:
+        return done.select(*docs.columns)
+    n = F.when(F.size("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document, by doc_id, of each near-duplicate group."""
+    rows, keyed = _keyed(docs)
+    # Components are named by row ids here; the document that stays is the one of smallest doc_id, then row id.
+    groups = keep(simhash.near_duplicates(keyed).select(F.col("doc_id").alias(RID), "component_id"))
+    place = F.struct("doc_id", RID)
+    first = rows.select(RID, "doc_id").join(groups, RID).groupBy("component_id").agg(F.min(place).alias("first"))
+    return rows.join(first.select(F.col(f"first.{RID}").alias(RID)), RID, "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark windows don't contaminate."""
+    rows, keyed = _keyed(docs)
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"))
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(RID)), RID, "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each document that is left, and whether they decode to its bytes."""
+    return bpe.encode(docs, offsets=False, check=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip"
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_line_windows),
+    ("simhash_near_dedup", keep_one_of_each_group),
+    ("benchmark_decontamination", drop_contaminated),
+    ("byte_level_bpe", encode),
+]
+
+#: The first, third and last stage are no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = keep(docs)
+    return docs

@@ -134,12 +134,14 @@ def decode_stream(ids: Iterable[int], path: str | None = None) -> Iterator[str]:
         yield rest
 
 
-def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> DataFrame:
-    """doc_id, ids and, if wanted, starts and ends of each token in characters."""
+def encode(docs: DataFrame, path: str | None = None, offsets: bool = True, check: bool = False) -> DataFrame:
+    """doc_id, ids and, if wanted, starts and ends of each token in characters, and round_trip: whether the ids decode
+    to the bytes of the text."""
     path = path or default_path()
     kinds = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}
     kinds |= {"starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32())} if offsets else {}
-    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    kinds |= {"round_trip": pa.bool_()} if check else {}
+    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", round_trip boolean" * check
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
@@ -161,6 +163,8 @@ def encode(docs: DataFrame, path: str | None = None, offsets: bool = True) -> Da
                         starts.append(a)
                         ends.append(b)
                     columns += [pa.array(starts, kinds["starts"]), pa.array(ends, kinds["ends"])]
+                if check:
+                    columns.append(pa.array([codec.decoded(k.tolist()) == t.encode() for k, t in zip(ids, part, strict=True)]))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
