@@ -172,11 +172,11 @@ def rerank(candidates: DataFrame, query: str, doc: str, score: Column, n: int, f
         "__good", F.min(good.cast("int")).over(W.partitionBy(query)) == 1
     )
     order = W.partitionBy(query).orderBy(F.col("score").desc(), "pos")
-    best = scored.filter("__good").withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= n)
-    failed = scored.filter("NOT __good").select(query).distinct()
-    return best.select(query, doc, "score", F.col("__r").alias("pos")).unionByName(
-        fallback.join(failed, query, "left_semi").filter(F.col("pos") <= n).select(query, doc, F.lit(None).cast("double").alias("score"), "pos")
+    ranked = scored.withColumn("__r", F.row_number().over(order)).join(
+        fallback.select(query, doc, F.col("pos").alias("__f")), [query, doc], "left"
     )
+    place = F.when(F.col("__good"), F.col("__r")).otherwise(F.col("__f"))
+    return ranked.select(query, doc, F.when(F.col("__good"), F.col("score")).alias("score"), place.alias("pos")).filter(F.col("pos") <= n)
 
 
 def low_relevance(scores: Column, threshold: float = LOW_RELEVANCE) -> Column:
