@@ -14,14 +14,13 @@ from pyspark.sql.functions import pandas_udf
 WHITE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
-@pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
+def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
     """Composed form. Only texts with a combining mark can change, so others never leave the JVM's value."""
-    return F.when(text.rlike("\\p{M}|[\\x{340}\\x{341}\\x{374}\\x{37e}\\x{387}\\x{212a}\\x{212b}]"), _nfc(text)).otherwise(text)
+    return F.when(text.rlike("\\p{M}|[\\x{340}\\x{341}\\x{374}\\x{37e}\\x{387}\\x{212a}\\x{212b}]"), pandas_udf(compose, "string")(text)).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -120,8 +119,8 @@ def escape_setext(markdown: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "(?<=[.;])\\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.;])\\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ",\\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, ",\\s+"), lambda x: F.trim(x)), lambda s: s != "")
