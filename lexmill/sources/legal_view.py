@@ -38,7 +38,7 @@ SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY a, m, s, c, k) AS
   UNION ALL SELECT doc, 2, m, s, c, 6, '##### Khoản 99' FROM cl WHERE c % 13 = 0
   UNION ALL SELECT doc, 2, m, s, c, 7, 'hết phần trích.”' FROM cl WHERE c % 13 = 0
   UNION ALL SELECT doc, 2, m, s, c, 8, concat('| Bậc | Mức<br>hưởng | Ghi chú |', chr(10), '| --- | :--- | --- |', chr(10), '| 1 | ', bal, ' | x |', chr(10), '| 2 | ', bal + 1, ' | |') FROM cl WHERE c % 11 = 0
-  UNION ALL SELECT doc, 2, m, s, c, 9, concat('<table><tr><td>Lương</td><td>=<br>', c, '</td><td>x &amp; y</td></tr></table>') FROM cl WHERE c % 19 = 0
+  UNION ALL SELECT doc, 2, m, s, c, 9, concat('<table><tr><td>Lương</td><td>=<br>', c, '</td><td>x &amp; y</td></tr>', chr(10), '</table>') FROM cl WHERE c % 19 = 0
   UNION ALL SELECT n_nationkey, 3, 0, 0, 0, 0, '---' FROM nation
   UNION ALL SELECT n_nationkey, 3, 0, 0, 0, 1, concat('Nơi nhận: ', n_name) FROM nation
 ) AS parts
