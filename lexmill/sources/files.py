@@ -7,13 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "chunk_id string, source_document string, breadcrumb string, content string, token_count int, has_table boolean, "
     "raw_table string, standardization_table string, is_split boolean, split_index int, split_total int"
 )
-CASE = T.StructType.fromDDL(
+CASE = (
     "case_id string, user_input string, reference string, reference_contexts array<string>, synthesizer_name string, "
     "source_document string, source_section string"
 )
@@ -44,7 +43,7 @@ def read_eval_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("text", F.coalesce(blank, F.col("text")))
 
 
-def read_json_array(spark: SparkSession, paths: str | list[str], schema: T.StructType = CHUNK) -> DataFrame:
+def read_json_array(spark: SparkSession, paths: str | list[str], schema: str = CHUNK) -> DataFrame:
     """Objects of JSON array files under a declared schema; malformed files raise."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
 
