@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, keep, numbered
+from .common import RID, hold, numbered
 
 LENGTH, GRAM = 200, 40
 #: Different contexts that are sorted in one go.
@@ -362,9 +362,10 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RID and spans (start and end, in bytes, unordered) of what is repeated; docs has RID, doc_id and text."""
     found = anchors(docs)
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    found = keep(found.join(often, "key"))
-    contexts = keep(found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
+    # Held first: a join of two sides that are both dealt anew is one whose large partitions can be split.
+    often = hold(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    found = hold(found.join(often, "key"))
+    contexts = hold(found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     mixed = contexts.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     wanted = mixed.select(
@@ -372,7 +373,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         F.struct("key", F.pmod("ctx", "blocks").cast("int").alias("block"), "ctx", "n", "blocks", F.col("one.spot").alias("spot")).alias("w"),
     )
     listed = wanted.groupBy(RID).agg(F.collect_list("w").alias("wanted"))
-    ordered = keep(_sorted_blocks(_cut(_packed(docs).drop("doc_id").join(listed, RID))))
+    ordered = hold(_sorted_blocks(_cut(_packed(docs).drop("doc_id").join(listed, RID))))
     # Strings of one class in several blocks.
     sent = ordered.filter("g IS NOT NULL")
     shared = sent.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "h")
