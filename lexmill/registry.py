@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from lexmill.plans import chunking_queries, conversation_queries, evaluation_queries, formatting_queries, retrieval_queries, verification_queries  # noqa: F401
+    from lexmill.plans import chunking_queries, conversation_queries, evaluation_queries, formatting_queries, pipeline_queries, retrieval_queries, verification_queries  # noqa: F401
 
 
 load()

@@ -26,7 +26,7 @@ def leaders(requests: DataFrame, key: str, ts: str, ttl: str = "60 seconds") ->
 
 
 def fold_turns(events: DataFrame, turn: str, idle: str = "10 minutes") -> DataFrame:
-    """One row per turn when its done event comes, or when it has been idle: text in order of seq, whether it was done,
+    """One row per turn when its done event comes, or when the watermark has passed it by so much: text in order of seq, whether it was done,
     and how many events it had. events: turn, seq, ts, type, text."""
     kind = dict(events.dtypes)[turn]
     ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -38,9 +38,10 @@ def fold_turns(events: DataFrame, turn: str, idle: str = "10 minutes") -> DataFr
             yield _row(turn, key[0], seqs, texts, n, False)
             return
         seqs, texts, n = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        done = False
+        done, newest = False, 0
         for pdf in batches:
             n += len(pdf)
+            newest = max(newest, int(pdf["ts"].max().timestamp() * 1000))
             done |= bool((pdf["type"] == "done").any())
             tokens = pdf[pdf["type"] == "token"]
             seqs += [int(x) for x in tokens["seq"]]
@@ -51,10 +52,10 @@ def fold_turns(events: DataFrame, turn: str, idle: str = "10 minutes") -> DataFr
             yield _row(turn, key[0], seqs, texts, n, True)
         else:
             state.update((seqs, texts, n))
-            state.setTimeoutDuration(ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ms)
 
-    return events.groupBy(turn).applyInPandasWithState(
-        fold, f"{turn} {kind}, text string, n_events long, done boolean", "seqs array<long>, texts array<string>, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", idle).groupBy(turn).applyInPandasWithState(
+        fold, f"{turn} {kind}, text string, n_events long, done boolean", "seqs array<long>, texts array<string>, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -83,16 +84,16 @@ def cached_answers(requests: DataFrame, key: str, ts: str, ttl_s: int) -> DataFr
                     held = (v, s)
         if held:
             state.update(held)
-            state.setTimeoutDuration(ttl_s * 1000)
+            state.setTimeoutTimestamp(max(int(held[1] * 1000), state.getCurrentWatermarkMs()) + ttl_s * 1000)
         yield pd.DataFrame(out, columns=[key, ts, "hit"])
 
-    return requests.groupBy(key).applyInPandasWithState(
-        answer, f"{key} {kind}, {ts} timestamp, hit string", "value string, at double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark(ts, f"{ttl_s} seconds").groupBy(key).applyInPandasWithState(
+        answer, f"{key} {kind}, {ts} timestamp, hit string", "value string, at double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns the rows it gave."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer.start().awaitTermination()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
