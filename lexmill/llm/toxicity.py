@@ -78,10 +78,8 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 codes = table[np.frombuffer(f"  {text} ".encode("utf-32-le", "surrogatepass"), "<u4")]
-                total += np.bincount((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], minlength=total.size) if codes.size > 50_000 else 0
-                if codes.size <= 50_000:
-                    got, n = np.unique((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], return_counts=True)
-                    total[got] += n
+                grams, n = np.unique((codes[:-2] * SYMBOLS + codes[1:-1]) * SYMBOLS + codes[2:], return_counts=True)
+                total[grams] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
