@@ -14,6 +14,11 @@ from pyspark.sql.functions import pandas_udf
 WHITE = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body's lambdas name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import let
+
 _B, _E = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
 CITATION = "[\\[【](\\d+)[\\]】]"
 NUMBER = f"{_B}(?:\\d{{1,3}}(?:[.,\\s]\\d{{3}})+|\\d+(?:[.,]\\d+)?){_E}"
@@ -51,12 +53,16 @@ def unverified(answer: Column, evidence: Column) -> Column:
             x.endswith(".").alias("stopped"),
         ),
     )
-    fresh = F.filter(values, lambda v: ~F.array_contains(known, bare_number(v["value"])))
-    first = F.filter(
-        fresh, lambda v, i: F.array_position(F.transform(fresh, lambda w: bare_number(w["value"])), bare_number(v["value"])) == i + 1
-    )
+    bared = F.transform(values, lambda v: F.struct(bare_number(v["value"]).alias("bare"), v["value"], v["sensitive"], v["stopped"]))
+    fresh = let(known, lambda k: F.filter(bared, lambda v: ~F.array_contains(k, v["bare"])))
+
+    def first(found: Column) -> Column:
+        return let(
+            F.transform(found, lambda v: v["bare"]), lambda names: F.filter(found, lambda v, i: F.array_position(names, v["bare"]) == i + 1)
+        )
+
     listed = lambda v: ~v["sensitive"] & (F.length(v["value"]) == 1) & v["stopped"]
-    return F.transform(F.filter(first, lambda v: ~listed(v)), lambda v: F.struct(v["value"], v["sensitive"]))
+    return F.transform(F.filter(let(fresh, first), lambda v: ~listed(v)), lambda v: F.struct(v["value"], v["sensitive"]))
 
 
 def hard_issues(finish: Column, n_invalid: Column, loose: Column) -> Column:

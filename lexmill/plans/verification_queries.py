@@ -162,7 +162,7 @@ def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unverified_numbers", f"WITH {_LOOSE} SELECT a, value, sensitive FROM loose")
 def unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _loose(spark, sf_dir).select("a", F.explode("loose").alias("x")).select("a", "x.*")
+    return _loose(spark, sf_dir).select("a", F.explode_outer("loose").alias("x")).select("a", "x.*").filter("value IS NOT NULL")
 
 
 @query(
