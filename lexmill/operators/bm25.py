@@ -71,9 +71,9 @@ def search(doc_weights: DataFrame, doc: str, q_weights: DataFrame, query: str, k
     """(query, doc, score, rank); queries without a known term have no rows. Scores are rounded before they are ranked,
     so that ties don't hang on the order of a sum."""
     hits = (
-        q_weights.select(query, "term", F.col("weight").alias("q"))
-        .join(doc_weights.select(doc, "term", F.col("weight").alias("d")), "term")
+        q_weights.select(query, "term", F.col("weight").alias("__q"))
+        .join(doc_weights.select(doc, "term", F.col("weight").alias("__d")), "term")
         .groupBy(query, doc)
-        .agg(F.round(F.sum(F.col("q") * F.col("d")), digits).alias("score"))
+        .agg(F.round(F.sum(F.col("__q") * F.col("__d")), digits).alias("score"))
     )
     return top(hits, query, "score", doc, k)
