@@ -40,7 +40,8 @@ def normalize(text: Column) -> Column:
 def tokens(text: Column, segment: Callable[[Column], Column] = lambda c: c) -> Column:
     """Lower-cased pieces between white space that hold a letter or digit; segment joins the words of a language first
     (the default is a stand-in that leaves the text alone)."""
-    return F.filter(F.split(F.lower(segment(text)), WHITE + "+"), lambda w: w.rlike("[\\p{L}\\p{N}]"))
+    piece = f"[^{WHITE[1:-1]}]"
+    return F.regexp_extract_all(F.lower(segment(text)), F.lit(f"{piece}*[\\p{{L}}\\p{{N}}]{piece}*"), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import WHITE
 from lexmill.operators import bm25, fusion
 from lexmill.registry import query
-from lexmill.sources.tables import read
+from lexmill.sources.tables import read, read_dealt
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.terms(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return bm25.terms(read_dealt(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
