@@ -39,9 +39,12 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column, segment: Callable[[Column], Column] = lambda c: c) -> Column:
     """Lower-cased pieces between white space that hold a letter or digit; segment joins the words of a language first
-    (the default is a stand-in that leaves the text alone)."""
-    piece = f"[^{WHITE[1:-1]}]"
-    return F.regexp_extract_all(F.lower(segment(text)), F.lit(f"{piece}*[\\p{{L}}\\p{{N}}]{piece}*"), F.lit(0))
+    (the default is a stand-in that leaves the text alone). Texts of ASCII only take a pattern of small classes."""
+    low = F.lower(segment(text))
+    piece, plain = f"[^{WHITE[1:-1]}]", "[^\\x09-\\x0d\\x1c-\\x20]"
+    return F.when(
+        F.length(low) == F.octet_length(low), F.regexp_extract_all(low, F.lit(f"{plain}*[a-z0-9]{plain}*"), F.lit(0))
+    ).otherwise(F.regexp_extract_all(low, F.lit(f"{piece}*[\\p{{L}}\\p{{N}}]{piece}*"), F.lit(0)))
 
 
 def word_count(text: Column) -> Column:

@@ -21,13 +21,17 @@ def terms(docs: DataFrame, key: str, text: str | Column, extra: Column | None =
     return docs.select(key, (found if extra is None else F.concat(found, extra)).alias("terms"))
 
 
-def term_counts(found: DataFrame, key: str) -> DataFrame:
+def _unfolded(found: DataFrame, *columns: Column | str, only: DataFrame | None = None) -> DataFrame:
+    """One row per term, of the wanted terms if any are named: the others never reach a shuffle. The outer form keeps
+    the optimizer from computing the tokens a second time for a filter on their number."""
+    rows = found.select(*columns).filter("term IS NOT NULL")
+    return rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
+
+
+def term_counts(found: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, dl); dl counts every term of the document."""
-    return (
-        found.select(key, F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
+    rows = _unfolded(found, key, F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term"), only=only)
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def stats(found: DataFrame) -> DataFrame:
@@ -35,23 +39,23 @@ def stats(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
 
 
-def fit(found: DataFrame) -> DataFrame:
-    """(term, df, idf) over distinct terms per document."""
+def fit(found: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) over distinct terms per document; of the terms in only, where given."""
     n = stats(found).select("n_docs").scalar()
     return (
-        found.select(F.explode(F.array_distinct("terms")).alias("term"))
+        _unfolded(found, F.explode_outer(F.array_distinct("terms")).alias("term"), only=only)
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     )
 
 
-def document_weights(found: DataFrame, key: str, k1: float = K1, b: float = B) -> DataFrame:
+def document_weights(found: DataFrame, key: str, k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))."""
     avgdl = stats(found).select("avgdl").scalar()
     norm = 1 - b + b * F.col("dl") / avgdl
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return term_counts(found, key).select(key, "term", weight.alias("weight"))
+    return term_counts(found, key, only).select(key, "term", weight.alias("weight"))
 
 
 def query_weights(queries: DataFrame, key: str, fitted: DataFrame) -> DataFrame:

@@ -35,11 +35,10 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score
 
 
 def sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    corpus = _corpus(spark, sf_dir)
-    fitted = bm25.fit(corpus)
-    return bm25.search(
-        bm25.document_weights(corpus, "doc_id"), "doc_id", bm25.query_weights(_questions(spark, sf_dir), "item_id", fitted), "item_id", k
-    )
+    corpus, asked = _corpus(spark, sf_dir), _questions(spark, sf_dir)
+    wanted = asked.select(F.explode("terms").alias("term"))
+    fitted, weights = bm25.fit(corpus, wanted), bm25.document_weights(corpus, "doc_id", only=wanted)
+    return bm25.search(weights, "doc_id", bm25.query_weights(asked, "item_id", fitted), "item_id", k)
 
 
 @query("bm25_topk", f"WITH {BM25_CTE} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
