@@ -362,8 +362,11 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RID and spans (start and end, in bytes, unordered) of what is repeated; docs has RID, doc_id and text."""
     found = anchors(docs)
-    # Held first: a join of two sides that are both dealt anew is one whose large partitions can be split.
-    often = hold(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    # Dealt without a key before it is held, so that both sides of the join are dealt for it, and the rows of an anchor
+    # that very many texts share can be split.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    often = hold(often.repartition(parts))
     found = hold(found.join(often, "key"))
     contexts = hold(found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
