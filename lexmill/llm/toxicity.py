@@ -256,7 +256,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             .mapInArrow(run, "toxic int, found array<int>")
             .toArrow()
         )
-        rows += [(np.array(f, np.int64), label) for f in got.column("found").to_pylist()]
+        for chunk in got.column("found").chunks:
+            # Slices of one array per chunk: no Python number per feature.
+            ends = chunk.offsets.to_numpy() - chunk.offsets[0].as_py()
+            rows += [(part, label) for part in np.split(chunk.flatten().to_numpy(), ends[1:-1])] if len(chunk) else []
     if len({label for _, label in rows}) < 2:
         return Model(counts, None, 0.0)
     weights, bias = fit(rows, (n[0], n[1]))
