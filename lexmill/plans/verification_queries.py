@@ -90,7 +90,7 @@ def structural_terms_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crumbs(spark, sf_dir).select("doc", "clause", F.array_join(citation.document_terms(F.col("b"), key), " ").alias("terms"))
 
 
-@query("unknown_documents", f"WITH {HEAD_CTE} SELECT DISTINCT source_document FROM names")
+@query("unknown_documents", f"WITH {HEAD_CTE} SELECT DISTINCT source_document FROM clauses")
 def unknown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All names of the synthesised documents: none is among the known ones."""
     return citation.unknown_documents(clauses(spark, sf_dir), citation.dimension(spark))
