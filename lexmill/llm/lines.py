@@ -6,7 +6,8 @@ are merged and go. Texts with fewer than three such lines have no window and sta
 
 Substring dedup: texts are cut into units, normalised and digested to 128 bits. Units of at least MIN_WORDS words that
 occur again keep their first occurrence, ranked likewise, and lose the others; spans of what was removed are places in
-the original text.
+the original text. With whole_lines, lines of any length with a word are digested too: a later copy of one goes as a
+whole, and units count only inside lines that stay.
 
 Null texts count as empty, stay null, and lose nothing. A null doc_id ranks before all others. Rows that repeat are
 documents of their own: the first keeps its lines. All that is gathered for one document is bounded by its own text; a
@@ -127,34 +128,84 @@ def units(text: str, kind: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
 def digests(text: str, kind: str, min_words: int) -> list[bytes | None]:
     """The digest of each unit: of its lower-cased words, joined by blanks; None for shorter units."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    low = _lower(text)
     out = []
     for a, b in units(text, kind):
         words = low[a:b].split()
-        out.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if len(words) >= min_words else None)
+        out.append(_digest(words) if len(words) >= min_words else None)
+    return out
+
+
+def line_digests(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int, bytes | None]]:
+    """First unit, the unit after the last, and digest of each line, from the places of units that no line end lies in;
+    None for lines without a word."""
+    low, out, since = _lower(text), [], 0
+    for k, (_, b) in enumerate(places):
+        if k + 1 == len(places) or text[b - 1] == "\n":
+            words = low[places[since][0] : b].split()
+            out.append((since, k + 1, _digest(words) if words else None))
+            since = k + 1
+    return out
+
+
+def marks(text: str, kind: str, min_words: int, whole_lines: bool) -> list[tuple[int, int, bytes | None, list[bytes | None]]]:
+    """First unit, the unit after the last, digest, and digests of the units inside, of all that goes or stays as one:
+    lines with whole_lines, else single units, which have nothing inside."""
+    found = digests(text, kind, min_words)
+    if not whole_lines:
+        return [(k, k + 1, x, []) for k, x in enumerate(found)]
+    return [(a, b, x, found[a:b] if b - a > 1 else []) for a, b, x in line_digests(text, units(text, kind))]
+
+
+def _in_order(found: list[tuple[int, int, bytes | None, list[bytes | None]]]) -> list[bytes]:
+    """The distinct digests of a text, in order."""
+    return list(dict.fromkeys(y for _, _, x, inside in found for y in (x, *inside) if y is not None))
+
+
+def removed(found: list[tuple[int, int, bytes | None, list[bytes | None]]], gone: set[bytes]) -> list[int]:
+    """Places of the units that go, where digests in gone occur first in another text: repeats within the text go as
+    their first occurrence does, and all but the first go if it stays."""
+    out, seen = [], set(gone)
+    for a, b, x, inside in found:
+        if x in seen:
+            out += range(a, b)
+            continue
+        if x is not None:
+            seen.add(x)
+        for k, y in enumerate(inside, a):
+            if y is not None and y != x:
+                if y in seen:
+                    out.append(k)
+                seen.add(y)
     return out
 
 
-def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """RID and gone, the places of the units that occur first in another row: one row per document that has any."""
+def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
+    """RID and gone, the numbers (among the distinct digests of the text) of what occurs first in another row: one row
+    per document that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, doc, h, g, at = [], [], [], [], []
             for r, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen = set()
-                for k, x in enumerate(digests(t, kind, min_words)):
-                    if x is not None and x not in seen:  # what a text repeats of itself is found anew at the end
-                        seen.add(x)
-                        rid.append(r)
-                        doc.append(d)
-                        h.append(int.from_bytes(x[:8], "little", signed=True))
-                        g.append(int.from_bytes(x[8:], "little", signed=True))
-                        at.append(k)
+                # What a text repeats of itself is found anew at the end.
+                for k, x in enumerate(_in_order(marks(t, kind, min_words, whole_lines))):
+                    rid.append(r)
+                    doc.append(d)
+                    h.append(int.from_bytes(x[:8], "little", signed=True))
+                    g.append(int.from_bytes(x[8:], "little", signed=True))
+                    at.append(k)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(x, pa.int64()) for x in (rid, doc, h, g)), pa.array(at, pa.int32())], names=[RID, "doc_id", "h", "g", "at"]
             )
@@ -167,7 +218,7 @@ def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN
     return later.groupBy(RID).agg(F.collect_list("at").alias("gone"))
 
 
-def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
     """doc_id, text (what stays), n_units, n_removed, and spans: start and end in the original text, in characters, of
     each run of removed units."""
 
@@ -175,14 +226,10 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WO
         for batch in batches:
             texts, n, gone_n, spans = [], [], [], []
             for t, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, out, seen, merged = t or "", set(gone or ()), set(), []
-                marks = digests(text, kind, min_words)
-                # Repeats within the text go as their first occurrence does, and all but the first go if it stays.
-                for k, x in enumerate(marks):
-                    if x is not None:
-                        if x in seen:
-                            out.add(k)
-                        seen.add(x)
+                text, merged = t or "", []
+                found = marks(text, kind, min_words, whole_lines)
+                order = _in_order(found) if gone else []
+                out = set(removed(found, {order[k] for k in gone or ()}))
                 places = units(text, kind)
                 for k in sorted(out):
                     a, b = places[k]
@@ -201,6 +248,6 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WO
             )
 
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.join(repeated_units(docs, kind, min_words), RID, "left").select("doc_id", "text", "gone").mapInArrow(
+    return rows.join(repeated_units(docs, kind, min_words, whole_lines), RID, "left").select("doc_id", "text", "gone").mapInArrow(
         run, "doc_id long, text string, n_units long, n_removed long, spans array<struct<start:int,end:int>>"
     )

@@ -38,7 +38,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_units(table(spark, sf_dir, "documents"))
+    return lines.dedup_units(table(spark, sf_dir, "documents"), whole_lines=True)
 
 
 def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
