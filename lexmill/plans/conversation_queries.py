@@ -147,9 +147,8 @@ def single_flight_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CAST(g AS INTEGER) AS k, string_agg(w, '' ORDER BY i) AS piece FROM w GROUP BY doc_id, g""",
 )
 def replay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of every tenth document, as replayed answers."""
-    docs = read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").filter(F.col("text").rlike("^\\S"))
-    return docs.select("doc_id", F.posexplode(conversation.replay_pieces(F.col("text"))).alias("k", "piece"))
+    """Texts of all documents, as replayed answers; the SQL covers every tenth, of those that begin with no blank."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(conversation.replay_pieces(F.col("text"))).alias("k", "piece"))
 
 
 @query(
