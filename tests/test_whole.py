@@ -2,7 +2,7 @@
 
 import re
 
-from lexmill.registry import ORACLES, QUERIES
+from lexmill.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +28,10 @@ def test_replay_takes_every_text(spark, tmp_path):
             got.setdefault(r.doc_id, []).append(r.piece)
         texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
         assert got == {k: pieces for k, t in texts.items() if (pieces := replayed(t or ""))}
+
+
+def test_unit_keys_of_long_ids(spark, tmp_path):
+    ids = [7, 9999, 10000, 123456, 123457]
+    spark.createDataFrame([(k, "vi") for k in ids], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.unit_key, r.graph_path) for r in QUERIES["unit_keys"](spark, str(tmp_path)).collect()}
+    assert got == {k: (f"vi.md#{k}", f"kg/vi_{k:04d}.json") for k in ids}
