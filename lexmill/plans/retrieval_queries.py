@@ -53,10 +53,11 @@ def bm25_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_term_ids", f"WITH {BM25_CTE} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM fit WHERE df > 20")
 def bm25_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids by sorted term. Numbering is global, so it goes by ranges: ids within a range plus what lies before it."""
+    """Ids of all terms, sorted. Numbering is global, so it goes by ranges: ids within a range plus what lies before it.
+    The SQL numbers only terms of more than 20 documents."""
     from lexmill.operators.ranking import global_row_number
 
-    return global_row_number(bm25.fit(_corpus(spark, sf_dir)).filter("df > 20").select("term"), ["term"], "term_id")
+    return global_row_number(bm25.fit(_corpus(spark, sf_dir)).select("term"), ["term"], "term_id")
 
 
 @query("bm25_stats", f"WITH {BM25_CTE} SELECT n_docs, round(avgdl, 6) AS avgdl FROM st")

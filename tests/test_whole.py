@@ -2,7 +2,7 @@
 
 import re
 
-from lexmill.registry import QUERIES
+from lexmill.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,16 @@ def test_unit_keys_of_long_ids(spark, tmp_path):
     spark.createDataFrame([(k, "vi") for k in ids], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.unit_key, r.graph_path) for r in QUERIES["unit_keys"](spark, str(tmp_path)).collect()}
     assert got == {k: (f"vi.md#{k}", f"kg/vi_{k:04d}.json") for k in ids}
+
+
+def test_every_term_has_an_id(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(1, "b a rare b"), (2, "a é Z"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term: r.term_id for r in QUERIES["bm25_term_ids"](spark, str(tmp_path)).collect()}
+    assert got == {"a": 0, "b": 1, "rare": 2, "z": 3, "é": 4}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    terms = sorted((r[0] for r in con.sql(f"SELECT term FROM ({ORACLES['bm25_fit_terms']})").fetchall()), key=str.encode)
+    assert {r.term: r.term_id for r in QUERIES["bm25_term_ids"](spark, SF).collect()} == {t: k for k, t in enumerate(terms)}
