@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A word that carries signs between letters, runs of one letter, or letters set apart stands in a lattice: each written
-character may be one of several letters (leetspeak), a run may be one or two letters, separators vanish. Viterbi decodes
-the lattice under a character trigram model whose counts come from every text of the corpus, and a linear model scores
-the restored words.
+character may be one of several letters (leetspeak), a run may be one or two letters, separators vanish. Letters and
+signs set apart may be several words, so their lattice has blanks, too. Viterbi decodes the lattice, however long, under
+a character trigram model whose counts come from every text of the corpus, and a linear model scores the restored words.
+A word whose only sign of disguise is a doubled letter counts as written and as restored.
 
 The linear model is logistic with an L1 penalty over hashed words and word beginnings, fitted on a bounded sample of
 labelled rows (SAMPLE_ROWS of each label, in the order of a hash of their ids, weighted back to the true shares). Labels
@@ -44,11 +45,15 @@ SYMBOLS = 64
 
 #: Blanks and stops around a word; signs of LEET stay.
 _STOPS = ".,;:?\"'()[]{}!-_«»“”…"
-_APART = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*/]){3,}[^\W_](?![^\W_])")
-_SPLIT = re.compile(r"[ .\-_*/]+")
+_ONE = r"(?:[^\W_]|[@$!|+€£(<¡]|(?<=\s)\*(?=\s))"
+_GAP = r"(?:[\s.\-_/]|(?<!\s)\*|\*(?!\s))+"
+#: Three or more letters, digits or signs, each alone; a star between blanks is a sign, else it sets apart.
+_APART = re.compile(rf"(?<![^\W_])(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])")
+_SPLIT = re.compile(rf"({_GAP})")
 _SIGN = re.compile(r"[0-9@$!|+€£(<*¡]")
 _INNER = re.compile(r"(?<=[^\W_])[.\-_*/](?=[^\W_])")
 _RUN = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -107,6 +112,10 @@ class CharModel:
         p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
         p3 = (c + 5 * p2[None]) / (c.sum(2, keepdims=True) + 5)
         self.log = np.log(p3).astype(np.float32)
+        #: The same by (a * SYMBOLS + b) * SYMBOLS + c, and the symbols of characters other than 1.
+        self.flat = self.log.ravel().tolist()
+        table = _symbol_table()
+        self.known = {chr(k): int(table[k]) for k in np.flatnonzero(table != 1)}
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -122,40 +131,70 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(word: str, model: CharModel) -> str:
-    """The likeliest letters behind a written word."""
-    known = _symbol_table()
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for choices in [*lattice(word), None]:
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
-            if choices is None:
-                s = score + float(model.log[a, b, 0])
-                if (0, 0) not in now or s > now[0, 0][0]:
-                    now[0, 0] = (s, text)
-                continue
-            for letters, channel in choices:
+def spaced(choices: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
+    """The lattice with a blank that may stand before each run but the first, and between two letters of one run."""
+    out = []
+    for k, found in enumerate(choices):
+        more = found + [(f"{x[0]} {x[0]}", p) for x, p in found if len(x) == 2]
+        out.append(more + [(" " + x, p) for x, p in more] if k else more)
+    return out
+
+
+def viterbi(word: str, model: CharModel, blanks: bool = False) -> str:
+    """The likeliest letters behind a written word, with blanks where it is several words."""
+    known, log = model.known, model.flat
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    written = lattice(word)
+    for choices in spaced(written) if blanks else written:
+        coded = [(letters, channel, [known.get(c, 1) for c in letters]) for letters, channel in choices]
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, before) in best.items():
+            for letters, channel, codes in coded:
                 s, x, y = score + channel, a, b
-                for c in letters:
-                    z = int(known[ord(c)])
-                    s += float(model.log[x, y, z])
+                for z in codes:
+                    s += log[(x * SYMBOLS + y) * SYMBOLS + z]
                     x, y = y, z
                 if (x, y) not in now or s > now[x, y][0]:
-                    now[x, y] = (s, text + letters)
+                    now[x, y] = (s, (before, letters))
         best = now
-    return best[0, 0][1]
+    _, at = max(((score + log[(a * SYMBOLS + b) * SYMBOLS], path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+    out = []
+    while at is not None:
+        at, letters = at
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def disguised(word: str) -> bool:
+    """Whether more than a doubled letter speaks for a disguise."""
+    return bool(_SIGN.search(word) or _RUN.search(word) or _INNER.search(word))
 
 
 def restore(word: str, model: CharModel) -> str | None:
     """The restored word if the written one looks disguised, else None."""
-    if not (_SIGN.search(word) or _RUN.search(word) or _INNER.search(word)):
+    if not (disguised(word) or _DOUBLE.search(word)):
         return None
     bare = _INNER.sub("", word)
-    if not _LETTER.search(bare) or len(bare) > 40:
+    if not _LETTER.search(bare):
         return None
     return viterbi(bare, model)
 
 
+def set_apart(written: str, model: CharModel) -> set[str]:
+    """The words that characters set apart may be: all as one, as the lattice splits them, and between wider gaps."""
+    parts = _SPLIT.split(written)
+    chars, gaps = parts[::2], parts[1::2]
+    joined = "".join(chars)
+    # A word of one letter may stand before or after the letters set apart.
+    out = {viterbi(x, model) for x in (joined, joined[1:], joined[:-1])}
+    out.update(viterbi(joined, model, blanks=True).split())
+    least = min(map(len, gaps))
+    if any(len(g) > least for g in gaps):
+        wide = "".join(c + " " * (len(g) > least) for c, g in zip(chars, [*gaps, ""])).split()
+        out.update(viterbi(x, model) for x in wide if len(x) > 1)
+    return out
+
+
 def features(word: str) -> list[int]:
     """Buckets of a restored word: the word and its beginnings of four and five letters."""
     out = [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % BUCKETS]
@@ -165,24 +204,23 @@ def features(word: str) -> list[int]:
     return out
 
 
-def restored_words(text: str | None, model: CharModel, memo: dict[str, str]) -> set[str]:
-    """The distinct words of a text, restored where they are disguised; memo maps written to restored words."""
+def restored_words(text: str | None, model: CharModel, memo: dict[str, tuple[str, ...]]) -> set[str]:
+    """The distinct words of a text, restored where they are disguised; memo maps written words to what they may be."""
     low = (text or "").lower()
     out = set()
     for m in _APART.finditer(low):
-        # A word of one letter may stand before or after the letters set apart.
-        joined = "".join(_SPLIT.split(m.group()))
-        out |= {viterbi(x, model) if len(x) <= 40 else x for x in (joined, joined[1:], joined[:-1])}
+        out |= set_apart(m.group(), model)
     for written in set(low.split()):
-        word = memo.get(written)
-        if word is None:
+        words = memo.get(written)
+        if words is None:
             bare = written.strip(_STOPS)
-            word = restore(written.strip(_STOPS.replace("!", "").replace("(", "")), model) if bare else ""
-            word = bare if word is None else word
+            inner = written.strip(_STOPS.replace("!", "").replace("(", ""))
+            word = restore(inner, model) if bare else ""
+            words = (bare,) if word is None else (word,) if disguised(inner) or word == bare else (word, bare)
             if len(memo) >= MEMO:
                 memo.clear()
-            memo[written] = word
-        out.add(word)
+            memo[written] = words
+        out.update(words)
     out.discard("")
     return out
 
@@ -273,7 +311,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights, bias = given.value
         chars = _char_model(counts)
-        memo: dict[str, str] = {}
+        memo: dict[str, tuple[str, ...]] = {}
         known: dict[str, float] = {}
         for batch in batches:
             scores = []

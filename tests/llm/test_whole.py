@@ -1,6 +1,6 @@
 """What the operators once left out: each test fails on the code before its finding was settled."""
 
-from lexmill.llm import lines
+from lexmill.llm import lines, toxicity
 
 
 def test_repeated_lines_go_whole(spark):
@@ -28,3 +28,16 @@ def test_op7_leaves_no_copy(spark):
     assert copies and stays.keys() == texts.keys()
     left = [" ".join(x.lower().split()) for t in stays.values() for x in (t or "").split("\n") if x.split()]
     assert len(left) == len(set(left))
+
+
+def test_disguises_of_any_length_and_spacing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    for written in ("st" + 45 * "u" + "pid", "stuupid", "s t u p ! d", "s  t  u  p  i  d", "s.t*u_p i d"):
+        assert "stupid" in toxicity.restored_words(f"so {written}", model, {}), written
+    assert "idiot" in toxicity.restored_words("iddiot", model, {})
+    assert toxicity.restored_words("a $ $", model, {}) & {"as", "ass"}
+    assert "idiot" in toxicity.restored_words("y o u a r e a n i d i o t", model, {})
+    assert {"you", "idiot"} <= toxicity.restored_words("y o u  a r e  a n  i d i o t", model, {})
+    assert {"will", "speech"} <= toxicity.restored_words("will speech", model, {})
+    assert len(toxicity.restore("a1" * 50_000, model)) >= 50_000
