@@ -17,8 +17,9 @@ from lexmill.llm.common import RID, keep, table
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with a row id, and the same rows with that id in the place of doc_id, for an operator."""
-    rows = docs.select(F.monotonically_increasing_id().alias(RID), "*")
+    """The documents with a row id, and the same rows with that id in the place of doc_id, for an operator. Both are
+    read from a table that holds the ids: numbered anew, rows could get other ids in other splits."""
+    rows = keep(docs.select(F.monotonically_increasing_id().alias(RID), "*"))
     return rows, rows.select(F.col(RID).alias("doc_id"), "text")
 
 
@@ -32,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that later occurrences of three-line windows cover."""
-    done = lines.dedup_lines(docs)
+    done = lines.dedup_lines(_keyed(docs)[0])
     if "n_chars" not in docs.columns:
         return done.select(*docs.columns)
     n = F.when(F.size("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

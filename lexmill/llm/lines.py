@@ -40,9 +40,14 @@ def _with_words(lines: Column) -> Column:
     return F.filter(placed, lambda x: x["line"] != "")
 
 
+def _with_ids(docs: DataFrame) -> DataFrame:
+    """The rows with a row id: their own where they have one."""
+    return docs if RID in docs.columns else numbered(docs, F.col("*"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """RID and places (of lines, from 0) that later occurrences of windows cover: one row per document that has any."""
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), _with_words(_lines(F.col("text"))).alias("l"))
+    rows = _with_ids(docs).select(RID, F.col("doc_id").cast("long").alias("doc_id"), _with_words(_lines(F.col("text"))).alias("l"))
 
     def digest(l: Column, i: Column) -> Column:  # noqa: E741
         parts = [F.element_at(l, i + k)["line"] for k in range(window)]
@@ -63,7 +68,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All columns of docs, text without the removed lines, and __lines and __gone: how many lines there were, and the
     places of those that went."""
-    kept = docs.select(F.monotonically_increasing_id().alias(RID), "*").join(repeated_windows(docs, window), RID, "left")
+    kept = _with_ids(docs).join(repeated_windows(docs, window), RID, "left")
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
     left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)

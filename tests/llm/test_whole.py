@@ -1,6 +1,10 @@
 """What the operators once left out: each test fails on the code before its finding was settled."""
 
-from lexmill.llm import lines, toxicity
+import pytest
+
+import corpus_pipeline
+from lexmill.llm import decontaminate, lines, simhash, toxicity
+from lexmill.llm.common import keep
 
 
 def test_repeated_lines_go_whole(spark):
@@ -41,3 +45,33 @@ def test_disguises_of_any_length_and_spacing(spark):
     assert {"you", "idiot"} <= toxicity.restored_words("y o u  a r e  a n  i d i o t", model, {})
     assert {"will", "speech"} <= toxicity.restored_words("will speech", model, {})
     assert len(toxicity.restore("a1" * 50_000, model)) >= 50_000
+
+
+@pytest.mark.parametrize(
+    ("stage", "module", "name"),
+    [
+        ("drop_toxic", toxicity, "score"),
+        ("dedup_line_windows", lines, "repeated_windows"),
+        ("keep_one_of_each_group", simhash, "near_duplicates"),
+        ("drop_contaminated", decontaminate, "decontaminate"),
+    ],
+)
+def test_ids_hold_when_splits_change(spark, tmp_path, monkeypatch, stage, module, name):
+    """Files are read in other splits once a stage's operator is done, as after executors are lost or join."""
+    sf, size = "/root/testdata/sf0.001", "spark.sql.files.maxPartitionBytes"
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    run, inner = getattr(corpus_pipeline, stage), getattr(module, name)
+    read = lambda: spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r.doc_id, r.text) for r in run(spark, read(), sf).collect())
+    before = spark.conf.get(size)
+
+    def moved(*args, **more):
+        out = keep(inner(*args, **more))
+        spark.conf.set(size, "1000")
+        return out
+
+    monkeypatch.setattr(module, name, moved)
+    try:
+        assert sorted((r.doc_id, r.text) for r in run(spark, read(), sf).collect()) == want
+    finally:
+        spark.conf.set(size, before)
