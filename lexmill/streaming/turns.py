@@ -66,7 +66,8 @@ def _row(turn: str, key, seqs: list[int], texts: list[str], n: int, done: bool)
 
 def cached_answers(requests: DataFrame, key: str, ts: str, ttl_s: int) -> DataFrame:
     """Requests (key, ts, value; null value: a lookup) answered from keyed state: hit is the value stored last, if it is
-    younger than ttl_s at the request's time."""
+    younger than ttl_s at the request's time. The chunks of a key come in no order of time, so all of a key's requests in
+    one batch of the stream are sorted together; the state holds one value per key."""
     kind = dict(requests.dtypes)[key]
 
     def answer(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,13 +76,13 @@ def cached_answers(requests: DataFrame, key: str, ts: str, ttl_s: int) -> DataFr
             return
         held = state.get if state.exists else None
         out = []
-        for pdf in batches:
-            for t, v in pdf.sort_values(ts)[[ts, "value"]].itertuples(index=False):
-                s = t.timestamp()
-                if v is None:
-                    out.append((k[0], t, held[0] if held and s - held[1] < ttl_s else None))
-                else:
-                    held = (v, s)
+        rows = pd.concat([pdf[[ts, "value"]] for pdf in batches]).sort_values(ts, kind="stable")
+        for t, v in rows.itertuples(index=False):
+            s = t.timestamp()
+            if pd.isna(v):
+                out.append((k[0], t, held[0] if held and 0 <= s - held[1] < ttl_s else None))
+            elif held is None or s >= held[1]:
+                held = (v, s)
         if held:
             state.update(held)
             state.setTimeoutTimestamp(max(int(held[1] * 1000), state.getCurrentWatermarkMs()) + ttl_s * 1000)
@@ -93,7 +94,13 @@ def cached_answers(requests: DataFrame, key: str, ts: str, ttl_s: int) -> DataFr
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the rows it gave."""
+    """Runs a stream over what is there and returns the rows it gave. Rows that a stream appends go to a table beside the
+    checkpoint; complete results, one row per group, to memory."""
+    if mode == "append":
+        path = f"{checkpoint}-rows"
+        files = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+        files.trigger(availableNow=True).start(path).awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(path)
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from lexmill.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,21 @@ def test_every_term_has_an_id(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     terms = sorted((r[0] for r in con.sql(f"SELECT term FROM ({ORACLES['bm25_fit_terms']})").fetchall()), key=str.encode)
     assert {r.term: r.term_id for r in QUERIES["bm25_term_ids"](spark, SF).collect()} == {t: k for k, t in enumerate(terms)}
+
+
+def test_cache_sees_a_hot_key_in_order_of_time(spark, tmp_path):
+    """More requests of one key than a chunk holds, in files that run against time."""
+    from lexmill.plans.pipeline_queries import _run
+    from lexmill.streaming import turns
+
+    at, n, size = "CAST(timestamp_seconds(1700000000 + id * 7) AS TIMESTAMP) AS ts", 600, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.range(n).selectExpr("7L AS k", at, "IF(id % 3 = 0, concat('v', id), NULL) AS value")
+    rows.orderBy(F.xxhash64("ts")).repartition(5).write.parquet(f"{tmp_path}/e")
+    before = spark.conf.get(size)
+    spark.conf.set(size, "50")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/e")
+        got = {(int(r.ts.timestamp()) - 1700000000) // 7: r.hit for r in _run(spark, turns.cached_answers(stream, "k", "ts", 10)).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == {i: f"v{i - 1}" if i % 3 == 1 else None for i in range(n) if i % 3}
