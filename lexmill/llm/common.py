@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,7 +83,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _from_files(df: DataFrame) -> bool:
+    """Whether the rows come from files, through nothing but projections and filters."""
+    node = df._jdf.queryExecution().sparkPlan()
+    while node.nodeName() in ("Project", "Filter") and node.children().size() == 1:
+        node = node.children().apply(0)
+    return node.nodeName().startswith("Scan ") and not node.nodeName().startswith("Scan ExistingRDD")
+
+
 def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The given columns with a row id in front. The id holds as long as the input is read in the same splits, as
-    files are; keep() the result where the input could be dealt otherwise the next time."""
-    return docs.select(F.monotonically_increasing_id().alias(RID), *columns)
+    """The given columns with a row id in front, which stays what it is however often the rows are read.
+
+    The id of a row of files follows from the files' splits. These hang on the number of cores at the time, so the least
+    number of splits is set for the session where it is not: executors that come or go change nothing then. Rows that come
+    from anything else than files, which could be dealt otherwise the next time, are written first.
+    """
+    spark, least = docs.sparkSession, "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(least, None):
+        spark.conf.set(least, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(spark.sparkContext.defaultParallelism))
+    rows = docs.select(F.monotonically_increasing_id().alias(RID), *columns)
+    return rows if _from_files(docs) else keep(rows)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A key is hot where it holds more than one in so many rows; no more than so many keys can be.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, sides: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with sides, where each key has one row on the side, whose column n says how many of the rows have it.
+
+    Rows of a hot key would meet in one task. The hot keys are at most HOT in number whatever the input, so their sides
+    are broadcast and their rows stay where they are; all others shuffle. Both tables are read several times: keep() them.
+    """
+    total = sides.agg(F.sum(n)).first()[0] or 0
+    many = F.col(n) * HOT > F.lit(total)
+    hot = sides.filter(many)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(sides.filter(~many), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)

@@ -4,14 +4,17 @@ Line dedup: every three consecutive lines with a word make a window. Windows fou
 where they come first (by doc_id, then row, then place) and removed elsewhere: the lines that later occurrences cover
 are merged and go. Texts with fewer than three such lines have no window and stay as they are.
 
-Substring dedup: texts are cut into units, normalised and digested to 128 bits. Units of at least MIN_WORDS words that
-occur again keep their first occurrence, ranked likewise, and lose the others; spans of what was removed are places in
-the original text. With whole_lines, lines of any length with a word are digested too: a later copy of one goes as a
-whole, and units count only inside lines that stay.
+Substring dedup: texts are cut into units, lines or paragraphs of any length. A unit is normalised (lower case, words
+joined by blanks) and digested to 128 bits; digests are grouped over the whole table, the occurrence that ranks first
+stays, ranked likewise, and the others go. A passage set inside a unit has no unit of its own, so the segments of units
+that stay are digested, too, and a run of them, one after another, goes if each of them occurred before and they have
+RUN_WORDS words together. A segment is a sentence; sentences of fewer than SHORT words that follow one another make one
+segment of SHORT words or what is left of them. Spans of what was removed are places in the original text; units without
+a word stay.
 
 Null texts count as empty, stay null, and lose nothing. A null doc_id ranks before all others. Rows that repeat are
 documents of their own: the first keeps its lines. All that is gathered for one document is bounded by its own text; a
-window or unit that many documents share meets them in a join, with one row on its side.
+window or unit that very many documents share is broadcast to their rows, so these never meet in one task.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, SPACES, numbered
+from .common import RID, SPACES, join_counted, keep, let, numbered
 
 WINDOW = 3
-MIN_WORDS = 5
+#: Words of a run of repeated segments that goes from a line or paragraph which stays.
+RUN_WORDS = 25
+#: Words of a sentence that is a segment by itself.
+SHORT = 5
 
 
 def _lines(text: Column) -> Column:
@@ -40,14 +46,10 @@ def _with_words(lines: Column) -> Column:
     return F.filter(placed, lambda x: x["line"] != "")
 
 
-def _with_ids(docs: DataFrame) -> DataFrame:
-    """The rows with a row id: their own where they have one."""
-    return docs if RID in docs.columns else numbered(docs, F.col("*"))
-
-
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """RID and places (of lines, from 0) that later occurrences of windows cover: one row per document that has any."""
-    rows = _with_ids(docs).select(RID, F.col("doc_id").cast("long").alias("doc_id"), _with_words(_lines(F.col("text"))).alias("l"))
+    """RID and places (of lines, from 0) that later occurrences of windows cover: one row per document that has any;
+    docs has RID, doc_id and text."""
+    rows = docs.select(RID, F.col("doc_id").cast("long").alias("doc_id"), _with_words(_lines(F.col("text"))).alias("l"))
 
     def digest(l: Column, i: Column) -> Column:  # noqa: E741
         parts = [F.element_at(l, i + k)["line"] for k in range(window)]
@@ -59,34 +61,58 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc_id",
         F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - (window - 1)), lambda i: digest(F.col("l"), i))).alias("w"),
     ).select(RID, "doc_id", "w.h", "w.g", "w.at")
+    found = keep(found)
     place = F.struct(F.col("doc_id"), F.col(RID), F.col("at")[0])
-    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+    first = keep(found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    later = join_counted(found, first, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy(RID).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of docs, text without the removed lines, and __lines and __gone: how many lines there were, and the
-    places of those that went."""
-    kept = _with_ids(docs).join(repeated_windows(docs, window), RID, "left")
-    gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return kept.select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(_lines(F.col("text"))).cast("long").alias("__lines"),
-        F.array_sort(gone).alias("__gone"),
+def _deduped(docs: DataFrame, window: int, written: bool = False) -> DataFrame:
+    """row (all columns of docs), text (what stays), lines (how many there were) and gone (places of those that went).
+    The caller's columns stand inside the struct, so none of their names can clash with these."""
+    whole = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")
+    rows = numbered(docs, F.col("doc_id"), F.col("text"), whole)
+    rows = keep(rows) if written else rows
+    joined = rows.join(repeated_windows(rows, window), RID, "left")
+
+    # Places that stay come from a set difference, so the work follows the lines, however many of them go.
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    return joined.select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(_lines(F.col("text")), left)).alias("text"),
+        F.size(_lines(F.col("text"))).cast("long").alias("lines"),
+        F.array_sort(F.coalesce(F.col("gone"), F.array().cast("array<int>"))).alias("gone"),
+    )
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def dedup_lines(docs: DataFrame, window: int = WINDOW, length: str | None = None, written: bool = False) -> DataFrame:
+    """All columns of docs, under any names, text without the removed lines; length: a column that holds the characters
+    of the text, and follows it where it changes; written: rows are numbered once, in a table of their own."""
+    done = _deduped(docs, window, written)
+    size = F.when(F.size("gone") > 0, F.length("text").cast("long"))
+    return done.select(
+        *[
+            (F.col("text") if c == "text" else F.coalesce(size, F.col("row")[c]) if c == length else F.col("row")[c]).alias(c)
+            for c in docs.columns
+        ]
     )
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (places of lines, comma-joined) and the text that stays."""
-    done = dedup_lines(docs.select("doc_id", "text"))
-    return done.select(
-        F.col("doc_id").cast("long"),
-        F.col("__lines").alias("n_lines"),
-        F.size("__gone").cast("long").alias("n_removed"),
-        F.array_join(F.transform("__gone", lambda x: x.cast("string")), ",").alias("removed"),
+    return _deduped(docs.select("doc_id", "text"), WINDOW).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.col("lines").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_removed"),
+        F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("removed"),
         "text",
     )
 
@@ -117,135 +143,159 @@ FROM d LEFT JOIN gone USING (rid)
 
 # Substring dedup
 
-#: Ends of units by kind; a unit keeps the characters that end it, so the units of a text make up the text.
-CUTS = {
-    "paragraph": re.compile(r"(?:\n[ \t\r]*){2,}"),
-    "line": re.compile(r"\n+"),
-    "sentence": re.compile(r"\n+|(?<=[.!?;])[ \t]+"),
-}
-
-
-def units(text: str, kind: str) -> list[tuple[int, int]]:
-    """Start and end of each unit, in characters."""
-    ends = [m.end() for m in CUTS[kind].finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends], ends))
+#: What ends a unit by kind; a unit keeps the characters that end it, so the units of a text make up the text.
+CUTS = {"paragraph": re.compile(r"\n(?:[^\S\n]*\n)+"), "line": re.compile(r"\n")}
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
+#: Place of a row that says of a document only that it repeats something of its own.
+OWN = -1
 
 
 def _lower(text: str) -> str:
+    """Lower case, character for character."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def _norm(text: str) -> str:
+    return " ".join(text.split())
 
 
-def digests(text: str, kind: str, min_words: int) -> list[bytes | None]:
-    """The digest of each unit: of its lower-cased words, joined by blanks; None for shorter units."""
-    low = _lower(text)
-    out = []
-    for a, b in units(text, kind):
-        words = low[a:b].split()
-        out.append(_digest(words) if len(words) >= min_words else None)
-    return out
+def _digest(norm: str) -> bytes:
+    return xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
 
 
-def line_digests(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int, bytes | None]]:
-    """First unit, the unit after the last, and digest of each line, from the places of units that no line end lies in;
-    None for lines without a word."""
-    low, out, since = _lower(text), [], 0
-    for k, (_, b) in enumerate(places):
-        if k + 1 == len(places) or text[b - 1] == "\n":
-            words = low[places[since][0] : b].split()
-            out.append((since, k + 1, _digest(words) if words else None))
-            since = k + 1
-    return out
+def segments(sizes: list[int]) -> list[tuple[int, int]]:
+    """The first sentence of each segment and the one after its last, from the words of the sentences."""
+    out, since, words = [], 0, 0
+    for k, n in enumerate(sizes):
+        if n >= SHORT and since < k:
+            out.append((since, k))
+            since, words = k, 0
+        words += n
+        if words >= SHORT:
+            out.append((since, k + 1))
+            since, words = k + 1, 0
+    return [*out, (since, len(sizes))] if since < len(sizes) else out
 
 
-def marks(text: str, kind: str, min_words: int, whole_lines: bool) -> list[tuple[int, int, bytes | None, list[bytes | None]]]:
-    """First unit, the unit after the last, digest, and digests of the units inside, of all that goes or stays as one:
-    lines with whole_lines, else single units, which have nothing inside."""
-    found = digests(text, kind, min_words)
-    if not whole_lines:
-        return [(k, k + 1, x, []) for k, x in enumerate(found)]
-    return [(a, b, x, found[a:b] if b - a > 1 else []) for a, b, x in line_digests(text, units(text, kind))]
+def digests(text: str, kind: str, inner: bool) -> list[bytes]:
+    """The digests of a text in order, each as often as it occurs: of each unit with a word, followed by those of its
+    segments where it has several and these are wanted."""
+    out = []
+    for unit in CUTS[kind].split(_lower(text)):
+        norm = _norm(unit)
+        if norm:
+            out.append(_digest(norm))
+            if inner:
+                inside = _SENTENCE.split(norm)
+                places = segments([x.count(" ") + 1 for x in inside]) if len(inside) > 1 else ()
+                if len(places) > 1:
+                    out.extend(_digest(" ".join(inside[a:b])) for a, b in places)
+    return out
 
 
-def _in_order(found: list[tuple[int, int, bytes | None, list[bytes | None]]]) -> list[bytes]:
-    """The distinct digests of a text, in order."""
-    return list(dict.fromkeys(y for _, _, x, inside in found for y in (x, *inside) if y is not None))
+def _pieces(pattern: re.Pattern, text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Start and end of the pieces of text[a:b], each with what ends it."""
+    ends = [m.end() for m in pattern.finditer(text, a, b)]
+    if not ends or ends[-1] < b:
+        ends.append(b)
+    return list(zip([a, *ends], ends))
 
 
-def removed(found: list[tuple[int, int, bytes | None, list[bytes | None]]], gone: set[bytes]) -> list[int]:
-    """Places of the units that go, where digests in gone occur first in another text: repeats within the text go as
-    their first occurrence does, and all but the first go if it stays."""
-    out, seen = [], set(gone)
-    for a, b, x, inside in found:
+def removed(text: str, gone: set[bytes], kind: str, runs: int | None) -> tuple[int, int, list[tuple[int, int]]]:
+    """How many units with a word a text has, how many units and segments go, and the spans of these in order; gone:
+    digests that occur first in another text. What repeats within the text goes but for its first occurrence."""
+    low, seen, units, n, spans = _lower(text), set(gone), 0, 0, []
+    for a, b in _pieces(CUTS[kind], text, 0, len(text)):
+        norm = _norm(low[a:b])
+        if not norm:
+            continue
+        units += 1
+        x = _digest(norm)
         if x in seen:
-            out += range(a, b)
+            n += 1
+            spans.append((a, b))
+            continue
+        seen.add(x)
+        if runs is None:
+            continue
+        end = a + len(text[a:b].rstrip())  # what ends the unit is part of no segment
+        start = end - len(text[a:end].lstrip())
+        found = _pieces(_SENTENCE, low, start, end)
+        places = [(found[i][0], found[j - 1][1]) for i, j in segments([len(low[p:q].split()) for p, q in found])]
+        if len(places) == 1:
             continue
-        if x is not None:
-            seen.add(x)
-        for k, y in enumerate(inside, a):
-            if y is not None and y != x:
-                if y in seen:
-                    out.append(k)
+        run: list[tuple[int, int]] = []
+        words = 0
+        for p, q in [*places, (end, end)]:
+            norm = _norm(low[p:q])
+            if norm and (y := _digest(norm)) in seen:
+                run.append((p, q))
+                words += norm.count(" ") + 1
+                continue
+            if run and words >= runs:
+                n += len(run)
+                spans.append((run[0][0], run[-1][1]))
+            run, words = [], 0
+            if norm:
                 seen.add(y)
-    return out
+    merged: list[tuple[int, int]] = []
+    for a, b in spans:
+        if merged and merged[-1][1] == a:
+            merged[-1] = (merged[-1][0], b)
+        else:
+            merged.append((a, b))
+    return units, n, merged
 
 
-def repeated_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
-    """RID and gone, the numbers (among the distinct digests of the text) of what occurs first in another row: one row
-    per document that has any."""
+def repeated_units(docs: DataFrame, kind: str, inner: bool) -> DataFrame:
+    """RID and gone, the numbers (among the distinct digests of the text) of what occurs first in another row, and OWN
+    where a text repeats something of its own: one row per document that has any. docs has RID, doc_id and text."""
+    pair = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, doc, h, g, at = [], [], [], [], []
-            for r, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # What a text repeats of itself is found anew at the end.
-                for k, x in enumerate(_in_order(marks(t, kind, min_words, whole_lines))):
-                    rid.append(r)
-                    doc.append(d)
-                    h.append(int.from_bytes(x[:8], "little", signed=True))
-                    g.append(int.from_bytes(x[8:], "little", signed=True))
-                    at.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in (rid, doc, h, g)), pa.array(at, pa.int32())], names=[RID, "doc_id", "h", "g", "at"]
-            )
-
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.mapInArrow(run, f"{RID} long, doc_id long, h long, g long, at int")
-    rank = F.struct("doc_id", RID)
-    first = found.groupBy("h", "g").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["h", "g"]).filter(~rank.eqNullSafe(F.col("first")))
-    return later.groupBy(RID).agg(F.collect_list("at").alias("gone"))
-
-
-def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
-    """doc_id, text (what stays), n_units, n_removed, and spans: start and end in the original text, in characters, of
-    each run of removed units."""
+            again, found = [], []
+            for t in batch.column(2):
+                every = digests(t.as_py() or "", kind, inner)
+                order = dict.fromkeys(every)
+                again.append(len(order) < len(every))
+                found.append([{"h": int.from_bytes(x[:8], "little", signed=True), "g": int.from_bytes(x[8:], "little", signed=True)} for x in order])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(again), pa.array(found, pair)], names=[RID, "doc_id", "again", "d"])
+
+    rows = docs.select(RID, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = keep(rows.mapInArrow(run, f"{RID} long, doc_id long, again boolean, d array<struct<h:long,g:long>>"))
+    found = texts.select(RID, "doc_id", F.posexplode("d").alias("at", "x")).select(RID, "doc_id", "at", "x.h", "x.g")
+    first = found.groupBy("h", "g").agg(F.min(F.struct("doc_id", RID)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = keep(first.select("h", "g", F.col(f"first.{RID}").alias("owner"), "n"))
+    later = join_counted(found.select(RID, "at", "h", "g"), first, ["h", "g"]).filter(F.col(RID) != F.col("owner"))
+    own = texts.filter("again").select(RID, F.lit(OWN).alias("at"))
+    return later.select(RID, "at").unionByName(own).groupBy(RID).agg(F.collect_list("at").alias("gone"))
+
+
+def dedup_units(docs: DataFrame, kind: str = "line", runs: int | None = RUN_WORDS) -> DataFrame:
+    """doc_id, text (what stays), n_units (lines or paragraphs with a word), n_removed (these and segments that went),
+    and spans: start and end in the original text, in characters, of each removed run. runs: words of a run of repeated
+    segments that goes; None takes whole units only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, gone_n, spans = [], [], [], []
-            for t, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, merged = t or "", []
-                found = marks(text, kind, min_words, whole_lines)
-                order = _in_order(found) if gone else []
-                out = set(removed(found, {order[k] for k in gone or ()}))
-                places = units(text, kind)
-                for k in sorted(out):
-                    a, b = places[k]
-                    if merged and merged[-1]["end"] == a:
-                        merged[-1]["end"] = b
-                    else:
-                        merged.append({"start": a, "end": b})
-                texts.append(None if t is None else "".join(text[a:b] for k, (a, b) in enumerate(places) if k not in out))
-                n.append(len(places) if text else 0)
-                gone_n.append(len(out))
-                spans.append(merged)
+            for t, gone in zip(batch.column(1), batch.column(2), strict=True):
+                text, gone = t.as_py(), gone.as_py()
+                if not text or gone is None:
+                    texts.append(text)
+                    n.append(sum(bool(x.strip()) for x in CUTS[kind].split(text or "")))
+                    gone_n.append(0)
+                    spans.append([])
+                    continue
+                order = list(dict.fromkeys(digests(text, kind, runs is not None)))
+                units, out, cut = removed(text, {order[k] for k in gone if k != OWN}, kind, runs)
+                ends = [0, *(x for span in cut for x in span), len(text)]
+                texts.append("".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
+                n.append(units)
+                gone_n.append(out)
+                spans.append([{"start": a, "end": b} for a, b in cut])
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(spans, span)],
@@ -253,6 +303,6 @@ def dedup_units(docs: DataFrame, kind: str = "sentence", min_words: int = MIN_WO
             )
 
     rows = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return rows.join(repeated_units(docs, kind, min_words, whole_lines), RID, "left").select("doc_id", "text", "gone").mapInArrow(
+    return rows.join(repeated_units(rows, kind, runs is not None), RID, "left").select("doc_id", "text", "gone").mapInArrow(
         run, "doc_id long, text string, n_units long, n_removed long, spans array<struct<start:int,end:int>>"
     )

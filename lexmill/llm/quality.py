@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_GAP, SPACES, plain_words
+from .common import SPACE_GAP, SPACES, let, plain_words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -76,10 +76,10 @@ def n_repeat_words(words: Column, n_words: Column, window: int = WINDOW) -> Colu
                 lambda acc, x: acc + x,
             )
 
-        return _let(_let(pairs, places), total)
+        return let(let(pairs, places), total)
 
     return F.when(n_words < window + 1, F.lit(0).cast("long")).otherwise(
-        _let(
+        let(
             digests,
             lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(
                 covered(found)
@@ -88,11 +88,6 @@ def n_repeat_words(words: Column, n_words: Column, window: int = WINDOW) -> Colu
     )
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def measure(docs: DataFrame) -> DataFrame:
     """The ledger: doc_id, measurements and failed_bits; see RULES."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,7 +98,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("lines"),
         n_repeat_words(F.col("words"), F.size("words")).alias("n_repeat_words"),
     ).select(
         "doc_id",
