@@ -4,7 +4,7 @@ A fingerprint has a bit set where over half of the shingle hashes have it. Two f
 DISTANCE of 64 bits agree on at least BLOCKS - DISTANCE of BLOCKS blocks, so they meet in a bucket for one choice of
 that many blocks. Equal fingerprints are one node; what is joined are distinct fingerprints only.
 
-No bucket is gathered whole: one that holds more than BUCKET fingerprints is dealt into parts, and each pair of parts is
+Rows of a hot bucket or fingerprint are joined without a shuffle. No bucket is gathered whole: one that holds more than BUCKET fingerprints is dealt into parts, and each pair of parts is
 a task's work of bounded size. A task compares fingerprints by XOR and bit count and emits a star for each group it has
 found, never all pairs. Stars of all tasks meet in connected components by large-star and small-star steps, as joins and
 minima whose edges are written to the shared folder after each round.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, keep
+from .common import LOWER_TABLE, join_counted, keep
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Blocks of a fingerprint: with 6, a bucket's key has 32 bits or so, enough for billions of fingerprints.
@@ -95,14 +95,14 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, buck
     masks = block_masks(blocks, distance)
     key = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for k, m in enumerate(masks)]))
     keyed = nodes.select("fp", key.alias("b")).select("fp", "b.t", "b.k")
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = keep(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     # A bucket of several parts is seen once for each two of them; a bucket of one part once.
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")), lambda x: x != F.col("part"))
     ))
     dealt = (
-        keyed.join(sizes, ["t", "k"])
+        join_counted(keyed, sizes, ["t", "k"])
         .withColumn("parts", F.ceil(F.col("n") / bucket))
         .withColumn("part", part)
         .withColumn("other", other)
@@ -208,9 +208,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     roots = components(links(nodes.select("fp"), distance=distance, blocks=distance + 3))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     sizes = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    # One row per distinct fingerprint meets the rows of all documents.
-    classes = named.select("fp", "root").join(sizes, "root").select("fp", "component_id", "component_size")
-    return found.join(classes, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+    # One row per distinct fingerprint meets the rows of all documents; those of a fingerprint that very many share stay.
+    classes = keep(named.select("fp", "n", "root").join(sizes, "root").select("fp", "n", "component_id", "component_size"))
+    return join_counted(found, classes, ["fp"]).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
 
 
 def hex64(fp: Column) -> Column:
