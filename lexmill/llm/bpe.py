@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Whole texts are split by the public pattern, and the tokenizers library encodes each piece; a worker remembers the
-pieces it has met, so the library sees each of them about once and what is left per text is a lookup. A byte-level
+pieces it has met, so the library sees each of them about once and what is left per text is a lookup. The vocabulary is
+a file of ranks: a token's rank is its id, and any two tokens that make up a third are a merge, in order of its rank. A byte-level
 vocabulary writes each byte as one printable character; the table of these is made from its public rule, and decoding
 reverses it. Offsets of tokens come in characters of the text, so a token that holds a part of a character has the
 offsets of all of it.
@@ -12,6 +13,7 @@ here: Spark strings are UTF-8. The path of the vocabulary is a parameter; each P
 
 from __future__ import annotations
 
+import base64
 import codecs
 import functools
 import hashlib
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about so many characters: memory follows the slice, not the batch.
 SLICE_CHARS = 2_000_000
-#: Pieces that a worker remembers at most; beyond it starts anew.
-MEMO = 600_000
+#: Bytes of pieces and their ids that a worker remembers, beside those of one slice; beyond it starts anew.
+MEMO = 128 << 20
 #: What the pattern's white space is: the Unicode property, which Python's \\s differs from.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -35,7 +37,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -56,31 +58,46 @@ def splitter(pattern: str | None = None) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and their ranks: a line per token, its bytes in base64 and its rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Codec:
     """A vocabulary with what this process has encoded by it."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        ranks = read_ranks(path)
+        char = {b: c for c, b in byte_of_char().items()}
+        spelled = {raw: "".join(map(char.__getitem__, raw)) for raw in ranks}
+        merges = [
+            (spelled[raw[:k]], spelled[raw[k:]])
+            for raw in sorted(ranks, key=ranks.__getitem__)
+            for k in range(1, len(raw))
+            if raw[:k] in ranks and raw[k:] in ranks
+        ]
+        self.tokenizer = Tokenizer(models.BPE(vocab={spelled[raw]: k for raw, k in ranks.items()}, merges=merges))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = splitter().findall
-        back, vocab = byte_of_char(), self.tokenizer.get_vocab()
-        self.pieces: list[bytes] = [b""] * (max(vocab.values()) + 1)
-        for token, k in vocab.items():
-            self.pieces[k] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for raw, k in ranks.items():
+            self.pieces[k] = raw
         #: Ids of a piece as little-endian 32-bit numbers, and the places of its tokens.
         self.ids: dict[str, bytes] = {}
         self.places: dict[str, list[tuple[int, int]]] = {}
+        self.held = 0
 
     def take(self, texts: list[str], offsets: bool) -> list[list[str]]:
         """The pieces of each text, all of them remembered from here on."""
         split = [self.split(t) for t in texts]
-        if len(self.ids) > MEMO:
+        if self.held > MEMO:
             self.ids.clear()
             self.places.clear()
+            self.held = 0
         known = self.places if offsets else self.ids
         fresh = [p for p in set().union(*split) if p not in known]
         if fresh:
@@ -88,6 +105,8 @@ class Codec:
             raw = np.array(e.ids, "<u4").tobytes()
             ends = np.searchsorted(np.array(e.word_ids), np.arange(len(fresh)), side="right").tolist()
             places = e.offsets if offsets else []
+            # An entry takes about 150 bytes beside its characters and ids, and a place about 130.
+            self.held += sum(map(len, fresh)) * 2 + len(raw) + 150 * len(fresh) + 130 * len(places)
             for p, a, b in zip(fresh, [0, *ends], ends):
                 self.ids[p] = raw[4 * a : 4 * b]
                 if offsets:
