@@ -7,11 +7,13 @@ the window then gives the one start that the window can have; starts that leave
 and what is left is verified word by word.
 
 One pass over the texts keeps, per document, its word count and those places whose shingle may stand in an item, by a
-bitmap of fixed size; a full bitmap lets more places through and loses none. Everything after works on these places.
+bitmap. It has SPARE bits for each shingle of the items, up to LARGEST longs (6.7 million shingles); beyond, a fuller
+bitmap lets more places through and loses none, so the exact join behind it does more of the work. Everything after
+works on these places.
 
 Nulls have no words: a document without words is never hit, and an item without words hits none. Repeated items count
 once; windows of an item without item_id hit words but list no item. Repeated documents are judged each on its own.
-Documents that share one passage meet its window in a join with one row on its side.
+Documents that share one passage meet its window in a join with one row on its side, dealt over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from .common import RID, alnum_words, keep, numbered
 WINDOW, SHINGLE = 13, 5
 #: Contaminated: at least one word hit, and a share of all words as 1 : SHARE.
 SHARE = 20
-#: Longs of the bitmap; each shingle sets two bits.
-BITMAP = 1 << 15
+#: Longs of the bitmap, least and most (256 KB and 8 MB); each shingle sets two bits.
+BITMAP, LARGEST = 1 << 15, 1 << 20
+#: Bits of the bitmap for each shingle: two of ten are set at most, so one in thirty passes by chance.
+SPARE = 10
+#: Rows of a shingle that very many documents share are dealt over so many tasks.
+SALTS = 16
 
 
 def shingles(words: Column, n: Column, size: int) -> Column:
@@ -36,12 +42,13 @@ def shingles(words: Column, n: Column, size: int) -> Column:
     )
 
 
-def _bits(sh: Column) -> list[tuple[Column, Column]]:
-    """Places in the bitmap of a shingle: index of a long, and a bit of it."""
+def _bits(sh: Column, longs: int) -> list[tuple[Column, Column]]:
+    """Places in a bitmap of so many longs, a power of two, of a shingle: index of a long, and a bit of it. Each place
+    has 26 bits of the digest of its own."""
     out = []
-    for k in (0, 1):
-        h = F.shiftrightunsigned(sh, 24 * k)
-        out.append((h.bitwiseAND(F.lit(BITMAP - 1)).cast("int"), F.shiftrightunsigned(sh, 24 * k + 17).bitwiseAND(F.lit(63)).cast("int")))
+    for k in (0, 26):
+        h = F.shiftrightunsigned(sh, k)
+        out.append((F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(longs - 1)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")))
     return out
 
 
@@ -49,20 +56,23 @@ def _bit(word: Column, k: Column) -> Column:
     return F.call_function("getbit", word, k)
 
 
-def bitmap(found: DataFrame) -> Column:
-    """A constant array of BITMAP longs with the bits of the column sh; its size does not depend on the input."""
-    places = found.select(F.explode(F.array(*[F.struct(i.alias("i"), b.alias("b")) for i, b in _bits(F.col("sh"))])).alias("p"))
+def bitmap(found: DataFrame) -> tuple[Column, int]:
+    """A constant array of longs with the bits of the column sh, and how many longs it has: LARGEST at most."""
+    wanted = found.agg(F.approx_count_distinct("sh")).first()[0] * SPARE // 64
+    longs = min(max(BITMAP, 1 << wanted.bit_length()), LARGEST)
+    places = found.select(F.explode(F.array(*[F.struct(i.alias("i"), b.alias("b")) for i, b in _bits(F.col("sh"), longs)])).alias("p"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p.b"))
-    rows = places.groupBy(F.col("p.i").alias("i")).agg(F.bit_or(one).alias("w")).collect()  # BITMAP rows at most
-    words = [0] * BITMAP
+    rows = places.groupBy(F.col("p.i").alias("i")).agg(F.bit_or(one).alias("w")).collect()  # LARGEST rows at most
+    words = [0] * longs
     for r in rows:
         words[r["i"]] = r["w"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded into one constant
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), longs  # folded into one constant
 
 
-def may_hold(bits: Column, sh: Column) -> Column:
-    (i, a), (j, b) = _bits(sh)
-    return (_bit(F.get(bits, i), a) == 1) & (_bit(F.get(bits, j), b) == 1)
+def may_hold(bits: tuple[Column, int], sh: Column) -> Column:
+    words, longs = bits
+    (i, a), (j, b) = _bits(sh, longs)
+    return (_bit(F.get(words, i), a) == 1) & (_bit(F.get(words, j), b) == 1)
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -73,7 +83,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", F.explode(F.array_distinct(cut)).alias("win")).distinct()
 
 
-def places(docs: DataFrame, sizes: list[int], bits: Column) -> DataFrame:
+def places(docs: DataFrame, sizes: list[int], bits: tuple[Column, int]) -> DataFrame:
     """One row per document: RID, doc_id, n_words, words (null without places) and places (at, size, sh)."""
     split = numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), alnum_words(F.col("text")).alias("words"))
     found = F.flatten(
@@ -125,8 +135,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .select(RID, "n_words", F.col("p.sh").alias("sh"), F.col("p.at").alias("at"), around.alias("base"), F.slice("words", around, F.lit(2 * window + shingle)).alias("near"))
     )
     start = F.col("at") - F.col("off") + 1
+    dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = (
-        tokens.join(prefix, "sh")
+        tokens.withColumn("salt", F.pmod(F.xxhash64(RID, "at"), F.lit(SALTS)).cast("int")).join(dealt, ["sh", "salt"])
         .withColumn("start", start)
         .filter((F.col("start") >= 1) & (F.col("start") + F.col("k") - 1 <= F.col("n_words")))
         .filter(F.slice("near", F.greatest(F.col("start") - F.col("base") + 1, F.lit(1)), F.col("k")) == F.col("win"))
