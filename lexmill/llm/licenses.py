@@ -1,8 +1,10 @@
 """Licence scans.
 
 One Aho-Corasick automaton holds identifier tags and notice phrases as sequences of words and runs over the words of
-each text, joined by blanks. What follows an identifier tag is a licence expression: a shunting-yard parser turns it
-into postfix form with the precedence WITH, AND, OR and evaluates it.
+each text, joined by blanks. What follows an identifier tag and a colon or equals sign is a licence expression: a
+shunting-yard parser turns it into postfix form with the precedence WITH, AND, OR and evaluates it. An operand must be an
+identifier of a known family, or a LicenseRef; a tag with anything else gives no label and counts as unknown. A stroke
+between operands is an OR. An expression is as long as it is well formed: "MIT and so on" is MIT.
 
 A text that is null or has no words gives zero counts, null word places, empty labels and score 0. Texts are scanned
 whole, one at a time, so memory is bounded by the longest text. Repeated rows give repeated results.
@@ -42,8 +44,19 @@ NOTICE_PHRASES = {
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "cc0": "cc0",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "all rights reserved": "reserved",
 }
+#: Families of SPDX identifiers, without versions and the endings of family().
+FAMILIES = frozenset(
+    """0bsd aal afl agpl apache apl apsl artistic beerware blueoak bsd bsl bzip2 cc0 cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa
+    cc-by-nd cc-by-sa cddl cecill clartistic cpal cpl curl ecl efl epl etalab eupl ftl gfdl gpl hpnd icu ijg imagemagick
+    info-zip intel ipl isc jasper lgpl libpng lppl mit mpl ms-pl ms-rl mulanpsl naist ncsa ngpl nist odbl odc-by ofl
+    ogl ogl-uk openssl osl pddl php postgresql psf python qpl ruby sgi-b sissl sleepycat spl unicode unicode-dfs unlicense
+    upl vim w3c wtfpl x11 xnet zlib zpl""".split()
+)
 TAGS = ("spdx license identifier", "license expression")
 
 #: How freely a family may be used, from 0 (not at all) to 1; unknown identifiers take the middle.
@@ -55,53 +68,82 @@ WEIGHTS = {"tag": 0.99, "base": 0.9, "notice": 0.7}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_AFTER_TAG = re.compile(r"[ \t]*[:=]?[ \t]*[\"']?")
-_TOKEN = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+\-]*))")
+_AFTER_TAG = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?")
+#: A bracket, or a word, which ends with a letter, a digit or a plus: a stop behind it is the sentence's.
+_TOKEN = re.compile(r"[ \t]*(?:([()/])|([A-Za-z0-9](?:[A-Za-z0-9.+\-:]*[A-Za-z0-9+])?))")
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-    "score double, n_notices long, expressions array<string>, openness double"
+    "score double, n_notices long, expressions array<string>, openness double, n_unknown long"
 )
 
 
-def family(identifier: str) -> str:
-    """The label of an SPDX identifier: 'GPL-2.0-or-later' is 'gpl', 'CC-BY-NC-4.0' 'cc-by-nc'."""
-    name = re.sub(r"(-only|-or-later|\+)$", "", identifier.lower())
-    return re.sub(r"-?v?\d+(\.\d+)*(-clause)?$", "", name) or name
+def family(identifier: str) -> str | None:
+    """The label of an SPDX identifier: 'GPL-2.0-or-later' is 'gpl', 'CC-BY-NC-4.0' 'cc-by-nc'. A LicenseRef is its own
+    label, in lower case; None for what is neither."""
+    low = identifier.lower()
+    if re.fullmatch(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+", low):
+        return low
+    name = re.sub(r"(-only|-or-later|\+)$", "", low)
+    for ending in ("", r"-\d+-clause(-[a-z\-]+)?$", r"-v?\d+(\.\d+)*(-[a-z]{2,3})?$", r"-v?\d+(\.\d+)*-clause$"):
+        short = re.sub(ending, "", name) if ending else name
+        if short in FAMILIES:
+            return short
+    return None
+
+
+def tokenize(text: str, start: int = 0) -> tuple[list[str], bool]:
+    """The longest well-formed run of expression tokens from start on its line, operators in lower case, and whether the
+    first token is a word that is no identifier."""
+    found: list[str] = []
+    depth = whole = 0
+    operand_next, at = True, start
+    while m := _TOKEN.match(text, at):
+        mark, word = m.groups()
+        low = "or" if mark == "/" else word.lower() if word else mark
+        if operand_next:
+            if low == "(":
+                depth += 1
+            elif low in PRECEDENCE or low == ")":
+                break
+            elif found and found[-1] == "with":
+                if "exception" not in low:  # what WITH names is an exception, never a licence
+                    break
+            elif family(word) is None:
+                return found[:whole], not found
+            found.append(word or low)
+            operand_next = low == "("
+        elif low in PRECEDENCE:
+            found.append(low)
+            operand_next = True
+        elif low == ")" and depth:
+            depth -= 1
+            found.append(low)
+        else:
+            break
+        if not operand_next and not depth:
+            whole = len(found)
+        at = m.end()
+    return found[:whole], False
 
 
-def to_postfix(text: str, start: int = 0) -> list[str] | None:
-    """Shunting-yard over the longest run of expression tokens from start on its line; None if it isn't well formed."""
+def to_postfix(tokens: list[str]) -> list[str]:
+    """Shunting-yard over the tokens of a well-formed expression."""
     out: list[str] = []
     waiting: list[str] = []
-    operand_next, at = True, start
-    while m := _TOKEN.match(text, at):
-        bracket, word = m.groups()
-        low = word.lower() if word else ""
-        if bracket == "(" or (word and low not in PRECEDENCE):
-            if not operand_next:
-                break  # the expression ended before this token
-            if bracket:
-                waiting.append("(")
-            else:
-                out.append(word)
-                operand_next = False
-        elif operand_next:
-            return None
-        elif bracket:
-            while waiting and waiting[-1] != "(":
+    for t in tokens:
+        if t in PRECEDENCE:
+            while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[t]:
+                out.append(waiting.pop())
+            waiting.append(t)
+        elif t == "(":
+            waiting.append(t)
+        elif t == ")":
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                break
             waiting.pop()
         else:
-            while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[low]:
-                out.append(waiting.pop())
-            waiting.append(low)
-            operand_next = True
-        at = m.end()
-    if operand_next or "(" in waiting:
-        return None
+            out.append(t)
     return out + waiting[::-1]
 
 
@@ -117,7 +159,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
             else:
                 stack.append((left | right, min(l, r) if token == "and" else max(l, r)))
         else:
-            name = family(token)
+            name = family(token)  # None: an exception, which WITH drops
             stack.append(({name}, OPENNESS.get(name, 0.5)))
     return stack[0]
 
@@ -138,7 +180,7 @@ def scan(text: str | None, found: ahocorasick.Automaton | None = None) -> tuple:
     words = raw.translate(ALNUM_TABLE).split()
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     base, labels, expressions, openness = set(), set(), [], []
-    n_base = n_notices = 0
+    n_base = n_notices = n_unknown = 0
     first = last = None
     missed = 1.0
     seen_to = seen_words = 0
@@ -146,8 +188,8 @@ def scan(text: str | None, found: ahocorasick.Automaton | None = None) -> tuple:
     for end, (kind, label, length) in (found or automaton()).iter(joined):
         start = end - length
         # Ends of hits never fall back, but starts can, by less than the longest phrase.
-        place = seen_words + joined.count(" ", seen_to, start) if start >= seen_to else joined.count(" ", 0, start)
-        seen_to, seen_words = max(seen_to, start), max(seen_words, place)
+        place = seen_words + joined.count(" ", seen_to, start) - joined.count(" ", start, seen_to)
+        seen_to, seen_words = start, place
         place -= 1
         if kind == "base":
             n_base += 1
@@ -162,9 +204,14 @@ def scan(text: str | None, found: ahocorasick.Automaton | None = None) -> tuple:
             if spans is None:
                 spans = [m.end() for m in _WORD.finditer(text)]
             after = spans[place + joined.count(" ", start, end)]
-            postfix = to_postfix(text, _AFTER_TAG.match(text, after).end())
-            if postfix is None:
+            mark = _AFTER_TAG.match(text, after)
+            if not mark:
+                continue
+            tokens, unknown = tokenize(text, mark.end())
+            n_unknown += unknown
+            if not tokens:
                 continue
+            postfix = to_postfix(tokens)
             got, open_to = evaluate(postfix)
             labels |= got
             openness.append(open_to)
@@ -173,7 +220,7 @@ def scan(text: str | None, found: ahocorasick.Automaton | None = None) -> tuple:
     openness += [OPENNESS.get(x, 0.5) for x in labels] if not openness else []
     return (
         len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 - missed, n_notices,
-        expressions, min(openness, default=None),
+        expressions, min(openness, default=None), n_unknown,
     )
 
 
@@ -195,5 +242,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [
     pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(),
-    pa.list_(pa.string()), pa.float64(),
+    pa.list_(pa.string()), pa.float64(), pa.int64(),
 ]
