@@ -6,8 +6,10 @@ many to sort, so a sparse suffix array is built, of those suffixes that can matt
 1. Each string of LENGTH bytes has an anchor: the leftmost of its runs of GRAM bytes whose digest is smallest. Equal
    strings have their anchors at the same place, so strings are told apart within the class of their anchor's digest.
    Strings that follow one another mostly share an anchor; the bytes that they cover are the anchor's context.
-2. Anchors whose digest is found once in the corpus are dropped. Equal contexts are counted: where a context is found
-   twice, all its strings are repeated, and only one copy of it goes on. A passage with a million copies is one row here.
+2. Anchors whose digest is found once in the corpus are dropped. Equal contexts, by 128 bits of a digest of their bytes,
+   are counted: where a context is found twice, all its strings are repeated, and only one copy of it goes on. A passage
+   with a million copies is one row here; its copies are told by their places from contexts that are found once, so they
+   never meet in a join.
 3. Within a class, what follows the anchors is sorted by suffix and what precedes them by reversed prefix: multikey
    quicksort over eight bytes at a time down to a shallow depth, blind tries for groups that still agree. From the two
    orders and the lengths of common prefixes, the strings at each distance before the anchor fall into equal ones.
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, hold, numbered
+from .common import RID, hold, keep, numbered
 
 LENGTH, GRAM = 200, 40
 #: Different contexts that are sorted in one go.
@@ -192,8 +194,8 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of each context of a text: digest of its anchor, digest of the context, where it starts, how far after that its
-    anchor stands, and how many strings start in it."""
+    """Of each context of a text: digest of its anchor, where it starts, how far after that its anchor stands, and how
+    many strings start in it."""
     parts = []
     for at in range(0, len(raw) - length + 1, PIECE):
         data = np.frombuffer(raw, np.uint8, min(PIECE + length - 1, len(raw) - at), at)
@@ -208,15 +210,20 @@ def anchors_of(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         width = np.diff(np.append(start, place.size))
         anchor = place[start]
-        end = start + width + length - 1
-        shape = ((anchor - start) * 1024 + width).astype(np.uint64)
-        digest = _mix((sums[end] - sums[start]) * down[start] + shape * np.uint64(0xD6E8FEB86659FD93))
-        parts.append((grams[anchor].view(np.int64), digest.view(np.int64), start + at, anchor - start, width))
+        parts.append((grams[anchor].view(np.int64), start + at, anchor - start, width))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def contexts_of(raw: bytes, start: np.ndarray, far: np.ndarray, width: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """128 bits of each context, two numbers to a row: a digest of its bytes, seeded with its shape."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(raw)
+    shape = (far * 1024 + width).tolist()
+    found = b"".join([digest(view[a:b], seed) for a, b, seed in zip(start.tolist(), (start + width + length - 1).tolist(), shape)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def _spot(start, far, width):
     """Place of a context in one number."""
     return start << 16 | far << 8 | (width - 1)
@@ -227,31 +234,45 @@ def _bytes(texts: pa.Array) -> Iterator[bytes]:
         yield t or b""
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """RID, key (digest of the anchor), ctx (digest of the context) and spot; docs has RID and text."""
+def _in_parts(docs: DataFrame, columns: list[str], of_text) -> DataFrame:
+    """Rows of longs that of_text gives, as one array per column, for a RID and the bytes of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids = batch.column(0).to_pylist()
-            out, size = [], 0
+        out, size = [], 0
 
-            def flush() -> pa.RecordBatch:
-                columns = [np.concatenate(c) for c in zip(*out)]
-                out.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[RID, "key", "ctx", "spot"])
+        def flush() -> pa.RecordBatch:
+            joined = [np.concatenate(c) for c in zip(*out)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names=columns)
 
-            for rid, raw in zip(rids, _bytes(batch.column(1)), strict=True):
+        for batch in batches:
+            for rid, raw in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
                 if len(raw) >= LENGTH:
-                    key, ctx, start, far, width = anchors_of(raw)
-                    out.append((np.full(key.size, rid, np.int64), key, ctx, _spot(start, far, width)))
-                    size += key.size
+                    out.append(of_text(rid, raw))
+                    size += out[-1][0].size
                     if size > 200_000:
                         yield flush()
                         size = 0
-            if out:
-                yield flush()
+        if out:
+            yield flush()
+
+    return docs.select(RID, "text").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
-    return docs.select(RID, "text").mapInArrow(run, f"{RID} long, key long, ctx long, spot long")
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """key (digest of an anchor) and n (how often a text has it); docs has RID and text."""
+    return _in_parts(docs, ["key", "n"], lambda rid, raw: np.unique(anchors_of(raw)[0], return_counts=True))
+
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """RID, key (digest of the anchor), c and d (digest of the context) and spot; docs has RID and text."""
+
+    def of_text(rid: int, raw: bytes) -> tuple[np.ndarray, ...]:
+        key, start, far, width = anchors_of(raw)
+        found = contexts_of(raw, start, far, width)
+        return np.full(key.size, rid, np.int64), key, found[:, 0], found[:, 1], _spot(start, far, width)
+
+    return _in_parts(docs, [RID, "key", "c", "d", "spot"], of_text)
 
 
 # Dedup
@@ -273,27 +294,27 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts: rows has z and wanted, of key, ctx, n, block, blocks and spot."""
-    names = ["key", "block", "ctx", "n", "blocks", "far", "width", "bytes"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    """The bytes of the wanted contexts: rows has RID, z and wanted, of key, block, c, n, blocks and spot."""
+    names = ["key", "block", "c", RID, "start", "n", "blocks", "far", "width", "bytes"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[tuple] = []
-            for z, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw = unzip(z.as_py())
+            for rid, z, wanted in zip(*batch.columns, strict=True):
+                rid, raw = rid.as_py(), unzip(z.as_py())
                 for w in wanted.as_py():
                     start, far, width = w["spot"] >> 16, w["spot"] >> 8 & 255, (w["spot"] & 255) + 1
-                    out.append((w["key"], w["block"], w["ctx"], w["n"], w["blocks"], far, width, raw[start : start + width + LENGTH - 1]))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                    out = []
+                    out.append((w["key"], w["block"], w["c"], rid, start, w["n"], w["blocks"], far, width, raw[start : start + width + LENGTH - 1]))
+                    if len(out) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    return rows.select("z", "wanted").mapInArrow(
-        run, "key long, block int, ctx long, n long, blocks int, far int, width int, bytes binary"
+    return rows.select(RID, "z", "wanted").mapInArrow(
+        run, f"key long, block int, c long, {RID} long, start long, n long, blocks int, far int, width int, bytes binary"
     )
 
 
@@ -302,10 +323,10 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _sorted_blocks(contexts: DataFrame) -> DataFrame:
-    """key, ctx, first and last of runs of repeated strings, counted from the context's start; and for strings of keys
-    in several blocks one row per distinct string, with its digests g and h."""
-    names = ["key", "ctx", "first", "last", "g", "h"]
+def _sorted_blocks(found: DataFrame) -> DataFrame:
+    """RID, s and e (in bytes) of runs of repeated strings of contexts that are found once; and for strings of keys in
+    several blocks one row per distinct string, with its digests g and h, and without RID where it only testifies."""
+    names = [RID, "s", "e", "g", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -321,7 +342,7 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
                     starts = np.zeros(r["width"], bool)
                     rows = np.arange(max(0, r["far"] - r["width"] + 1), r["far"] + 1)
                     starts[r["far"] - rows] = repeated[rows, k]
-                    out.extend((r["key"], r["ctx"], a, b - 1, None, None) for a, b in _runs(starts))
+                    out.extend((r[RID], r["start"] + a, r["start"] + b - 1 + LENGTH, None, None) for a, b in _runs(starts))
             if blocks > 1:
                 for d in range(classes.shape[0]):
                     _, firsts = np.unique(classes[d], return_index=True)
@@ -330,12 +351,13 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
                             r = group[k]
                             at = r["far"] - d
                             x = xxhash.xxh3_128_digest(r["bytes"][at : at + LENGTH])
-                            # A string that this block has twice, or whose context is repeated, is settled; it only testifies.
+                            # A string that this block has twice, or whose context is repeated, is settled.
                             settled = bool(repeated[d, k]) or r["n"] > 1
-                            out.append((r["key"], None if settled else r["ctx"], at, at, int.from_bytes(x[:8], signed=True), int.from_bytes(x[8:], signed=True)))
+                            s = r["start"] + at
+                            out.append((None if settled else r[RID], s, s + LENGTH, int.from_bytes(x[:8], signed=True), int.from_bytes(x[8:], signed=True)))
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 6
+            columns = list(zip(*out)) or [()] * 5
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
@@ -353,46 +375,43 @@ def _sorted_blocks(contexts: DataFrame) -> DataFrame:
         yield flush()
 
     return (
-        contexts.repartition("key", "block")
-        .sortWithinPartitions("key", "block", "ctx")
-        .mapInArrow(run, "key long, ctx long, first long, last long, g long, h long")
+        found.repartition("key", "block")
+        .sortWithinPartitions("key", "block", "c", RID, "start")
+        .mapInArrow(run, f"{RID} long, s long, e long, g long, h long")
     )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RID and spans (start and end, in bytes, unordered) of what is repeated; docs has RID, doc_id and text."""
-    found = anchors(docs)
     # Dealt without a key before it is held, so that both sides of the join are dealt for it, and the rows of an anchor
     # that very many texts share can be split.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    often = hold(often.repartition(parts))
-    found = hold(found.join(often, "key"))
-    contexts = hold(found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    mixed = contexts.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    often = hold(anchors(docs).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key").repartition(parts))
+    found = hold(contexts(docs).join(often, "key"))
+    distinct = hold(found.groupBy("key", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
+    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    mixed = distinct.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     wanted = mixed.select(
         F.col(f"one.{RID}").alias(RID),
-        F.struct("key", F.pmod("ctx", "blocks").cast("int").alias("block"), "ctx", "n", "blocks", F.col("one.spot").alias("spot")).alias("w"),
+        F.struct("key", F.pmod("c", "blocks").cast("int").alias("block"), "c", "n", "blocks", F.col("one.spot").alias("spot")).alias("w"),
     )
     listed = wanted.groupBy(RID).agg(F.collect_list("w").alias("wanted"))
     ordered = hold(_sorted_blocks(_cut(_packed(docs).drop("doc_id").join(listed, RID))))
     # Strings of one class in several blocks.
     sent = ordered.filter("g IS NOT NULL")
     shared = sent.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "h")
-    across = sent.filter("ctx IS NOT NULL").join(shared, ["g", "h"]).select("key", "ctx", "first", "last")
-    alone = ordered.filter("g IS NULL").select("key", "ctx", "first", "last").unionByName(across)
-
+    across = sent.filter(F.col(RID).isNotNull()).join(shared, ["g", "h"]).select(RID, "s", "e")
+    alone = ordered.filter("g IS NULL").select(RID, "s", "e").unionByName(across)
+    # Whatever isn't the one place of a context that is found once is a copy.
+    once = distinct.filter("n = 1").select(F.col(f"one.{RID}").alias(RID), F.col("one.spot").alias("spot"))
     start = F.shiftright("spot", 16)
-    single = contexts.filter("n = 1").join(alone, ["key", "ctx"]).select(
-        F.col(f"one.{RID}").alias(RID),
-        (F.shiftright("one.spot", 16) + F.col("first")).alias("s"),
-        (F.shiftright("one.spot", 16) + F.col("last") + LENGTH).alias("e"),
-    )
-    copied = found.join(contexts.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select(
+    copied = found.select(RID, "spot").join(once, [RID, "spot"], "left_anti").select(
         RID, start.alias("s"), (start + F.col("spot").bitwiseAND(F.lit(255)) + LENGTH).alias("e")
     )
-    return single.unionByName(copied).groupBy(RID).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = keep(alone.unionByName(copied).groupBy(RID).agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    for held in (ordered, distinct, found, often):
+        held.unpersist()
+    return spans
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
