@@ -7,8 +7,10 @@ a character trigram model whose counts come from every text of the corpus, and a
 A word whose only sign of disguise is a doubled letter counts as written and as restored.
 
 The linear model is logistic with an L1 penalty over hashed words and word beginnings, fitted on a bounded sample of
-labelled rows (SAMPLE_ROWS of each label, in the order of a hash of their ids, weighted back to the true shares). Labels
-are learned only from rows whose crc32(doc_id as text) mod 5 is not 0.
+labelled rows: SAMPLE_ROWS of each label, in the order of a hash of their ids, weighted back to the true shares, and of
+each row the SAMPLE_FEATURES of smallest hash. Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not
+0. A doc_id that labels hold several times counts once; one with both labels teaches nothing; of several texts with one
+doc_id the smallest teaches.
 
 Null and empty texts get the score of a text without evidence. Without a single toxic and a single clean labelled row
 nothing is learned, and every score is 0. Rows are scored alone: ties and repeated rows change nothing.
@@ -26,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 4_000
+from .common import keep
+
+SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 2_048
 BUCKETS = 1 << 18
 PENALTY, ROUNDS = 2e-4, 150
 #: Words whose features a worker remembers at most.
@@ -271,9 +275,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of a corpus and its labels; labels has doc_id and toxic."""
     counts = trigram_counts(docs)
     given = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
-    marked = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(
-        F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
-    )
+    marked = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").drop("other")
+    )
+    marked = keep(marked)
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return Model(counts, None, 0.0)
@@ -281,23 +288,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = _char_model(given.value), {}
         for batch in batches:
-            rows = [sorted(b for w in restored_words(t, model, memo) for b in features(w)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "found"])
-
+            rows = [sorted(b for w in restored_words(t, model, memo) for b in features(w))[:SAMPLE_FEATURES] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
+
+    picked = [marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (0, 1)]
+    got = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * SAMPLE_ROWS rows of two numbers at most
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        .mapInArrow(run, "doc_id long, toxic int, found array<int>")
+        .toArrow()
+    )
     rows = []
-    for label in (0, 1):
-        picked = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        got = (
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(F.broadcast(picked), "doc_id")  # SAMPLE_ROWS rows of two numbers at most
-            .select("toxic", "text")
-            .mapInArrow(run, "toxic int, found array<int>")
-            .toArrow()
-        )
-        for chunk in got.column("found").chunks:
-            # Slices of one array per chunk: no Python number per feature.
-            ends = chunk.offsets.to_numpy() - chunk.offsets[0].as_py()
-            rows += [(part, label) for part in np.split(chunk.flatten().to_numpy(), ends[1:-1])] if len(chunk) else []
+    for batch in got.to_batches():
+        # Slices of one array per batch: no Python number per feature.
+        found = batch.column("found")
+        ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+        parts = np.split(found.flatten().to_numpy(), ends[1:-1]) if len(found) else []
+        rows += zip(batch.column("doc_id").to_pylist(), parts, batch.column("toxic").to_pylist(), strict=True)
+    rows = [(part, label) for _, part, label in sorted(rows, key=lambda r: r[0])]
     if len({label for _, label in rows}) < 2:
         return Model(counts, None, 0.0)
     weights, bias = fit(rows, (n[0], n[1]))
