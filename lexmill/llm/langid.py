@@ -5,8 +5,14 @@ automaton into longest matches; phrases per letter, times the bits that point in
 entropy, and the language that needs the fewest normalised phrases wins (ties: the smallest name).
 
 Texts are folded first: lower case, runs of anything that is no letter become one blank. A letter that the sample of a
-language lacks ends a phrase and belongs to the next. Texts are parsed whole, in segments of SEGMENT letters side by
-side; each segment starts a phrase, and every Python worker builds the automata from the broadcast samples once.
+language lacks ends a phrase and is a phrase of its own. Texts are parsed whole. To parse many letters in one step, a
+text is cut into segments that are parsed side by side as if each began a phrase; where a phrase goes on over a cut, both
+ways are followed until they meet, and the difference in phrases is settled. A text whose ways don't meet within a
+segment is parsed letter by letter. So the count is that of one parse from the first letter to the last.
+
+Every Python worker builds the automata from the broadcast samples once, each over the alphabet of its own sample: as a
+table of states and letters up to DENSE numbers (16 MB), else as a sorted list of its transitions, which a sample of
+SAMPLE_CHARS characters bounds.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything where no row is labelled. Rows with
 null lang teach nothing but are predicted. Repeated rows give repeated results.
@@ -28,10 +34,11 @@ from pyspark.sql import functions as F
 #: so many characters of them.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 32_768
-#: Letters that are parsed in one go, and letters of texts that are laid side by side.
+#: Letters of a segment, and letters of texts that are laid side by side.
 SEGMENT = 512
 SLICE_CHARS = 1_500_000
-BLANK, OTHER = 0, 1
+#: Numbers of a table of transitions at most.
+DENSE = 4 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -107,60 +114,119 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-class Model:
-    """The automata of all languages over one alphabet.
+class Automaton:
+    """What a text is parsed with: from a state, a letter leads to the state after it, and to whether a phrase began.
 
-    A table row holds, for each symbol, the next state times the row length; where the match ends there, the state
-    reached by the symbol from the start, written as its complement and so below zero.
+    State 0 is the place between phrases: every letter begins one there. Elsewhere, a letter that the match can't go on
+    with begins one, too, and a letter that the sample lacks leads back to state 0.
     """
 
-    def __init__(self, texts: dict[str, str]):
-        self.names = sorted(texts)
-        folded = {n: fold(texts[n]) for n in self.names}
-        letters = sorted({int(c) for f in folded.values() for c in np.unique(f)} - {32})
-        self.width = len(letters) + 2
-        self.code = np.full(0x110000, OTHER, np.int32)
-        self.code[32] = BLANK
-        self.code[letters] = np.arange(2, self.width)
-        self.tables, self.bits = [], []
-        for n in self.names:
-            moves = suffix_automaton(self.code[folded[n]].tolist())
-            start = np.zeros(self.width, np.int32)
-            for s, to in moves[0].items():
-                start[s] = to * self.width
-            rows = np.tile(~start, (len(moves), 1))
-            rows[0] = 0
-            for k, row in enumerate(moves):
+    def __init__(self, folded: np.ndarray):
+        self.letters = np.unique(folded)
+        moves = suffix_automaton((np.searchsorted(self.letters, folded) + 1).tolist())
+        #: One symbol for each letter of the sample, and 0 for all others.
+        self.width = self.letters.size + 1
+        self.bits = math.log2(max(2, folded.size))
+        self.begin = np.zeros(self.width, np.int32)
+        for s, to in moves[0].items():
+            self.begin[s] = to
+        self.table = self.keys = None
+        if len(moves) * self.width <= DENSE:
+            # Where a phrase begins, the next state stands as its complement, and so below zero.
+            self.table = np.tile(~self.begin, (len(moves), 1))
+            for k, row in enumerate(moves[1:], 1):
                 for s, to in row.items():
-                    rows[k, s] = to * self.width
-            self.tables.append(rows.ravel())
-            self.bits.append(math.log2(max(2, folded[n].size)))
+                    self.table[k, s] = to
+            self.table = self.table.ravel()
+        else:
+            pairs = sorted((k * self.width + s, to) for k, row in enumerate(moves[1:], 1) for s, to in row.items())
+            self.keys = np.array([k for k, _ in pairs], np.int64)
+            self.to = np.array([to for _, to in pairs], np.int32)
+
+    def symbols(self, letters: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, letters), self.letters.size - 1)
+        return np.where(self.letters[at] == letters, at + 1, 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and -1 where a phrase began, else 0."""
+        if self.table is not None:
+            to = self.table[state * np.int32(self.width) + symbol]
+            began = to >> 31
+            return to ^ began, began
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+        went = self.keys[at] == key
+        return np.where(went, self.to[at], self.begin[symbol]), went.astype(np.int32) - 1
+
+    def count(self, symbols: np.ndarray) -> int:
+        """Phrases of one text, letter by letter."""
+        state, n, width, begin = 0, 0, self.width, self.begin.tolist()
+        for s in symbols.tolist():
+            if self.table is not None:
+                to = int(self.table[state * width + s])
+            else:
+                key = state * width + s
+                at = int(np.searchsorted(self.keys, key))
+                to = int(self.to[at]) if at < self.keys.size and self.keys[at] == key else ~begin[s]
+            if to < 0:
+                n += 1
+                to = ~to
+            state = to
+        return n
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+
+class Model:
+    """The automata of all languages."""
+
+    def __init__(self, texts: dict[str, str]):
+        folded = {n: fold(texts[n]) for n in sorted(texts)}
+        self.names = [n for n, f in folded.items() if f.size]
+        self.automata = [Automaton(folded[n]) for n in self.names]
+
+    def phrases(self, texts: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
         """Phrases of each folded text (row) against each language (column)."""
-        codes = [self.code[t] for t in texts]
-        parts = [(k, c[a : a + SEGMENT]) for k, c in enumerate(codes) for a in range(0, len(c), SEGMENT)]
         out = np.zeros((len(texts), len(self.names)), np.int64)
+        parts = [(k, a, t[a : a + segment]) for k, t in enumerate(texts) for a in range(0, len(t), segment)]
         if not parts:
             return out
-        parts.sort(key=lambda p: -len(p[1]))
-        owner = np.array([k for k, _ in parts])
-        lengths = np.array([len(p) for _, p in parts])
-        grid = np.zeros((SEGMENT, len(parts)), np.int32)
-        for k, (_, p) in enumerate(parts):
-            grid[: len(p), k] = p
+        parts.sort(key=lambda p: -len(p[2]))
+        place = {(k, a): i for i, (k, a, _) in enumerate(parts)}
+        owner = np.array([k for k, _, _ in parts])
+        lengths = np.array([len(p) for _, _, p in parts])
+        # The segment before each one, and those that have one.
+        before = np.array([place.get((k, a - segment), -1) for k, a, _ in parts])
+        cut = np.flatnonzero(before >= 0)
+        letters, flat = np.unique(np.concatenate([p for _, _, p in parts]), return_inverse=True)
+        grid = np.zeros((segment, len(parts)), np.int32)
+        ends = np.cumsum(lengths)
+        for i, (n, end) in enumerate(zip(lengths.tolist(), ends.tolist())):
+            grid[:n, i] = flat[end - n : end]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # segments longer than each step
-        for lang, moves in enumerate(self.tables):
+        for lang, found in enumerate(self.automata):
+            symbol = found.symbols(letters)
             state = np.zeros(len(parts), np.int32)
-            count = np.ones(len(parts), np.int32)
+            count = np.zeros(len(parts), np.int64)
             for step in range(lengths[0]):
                 n = active[step]
-                at = state[:n]
-                to = moves[at + grid[step, :n]]
-                ended = to >> 31
-                count[:n] -= ended
-                np.bitwise_xor(to, ended, out=at)
+                state[:n], began = found.step(state[:n], symbol[grid[step, :n]])
+                count[:n] -= began
+            # What a segment would have given had it gone on from the state before it.
+            real, as_if = state[before[cut]], np.zeros(cut.size, np.int32)
+            apart = np.flatnonzero(real != as_if)
+            for step in range(lengths[0]):
+                apart = apart[lengths[cut[apart]] > step]
+                if not apart.size:
+                    break
+                at = cut[apart]
+                s = symbol[grid[step, at]]
+                real[apart], one = found.step(real[apart], s)
+                as_if[apart], other = found.step(as_if[apart], s)
+                count[at] += other - one
+                apart = apart[real[apart] != as_if[apart]]
             out[:, lang] = np.bincount(owner, count, len(texts)).astype(np.int64)
+            # Where the two ways never met, the next segment began from another state than it was taken to.
+            for k in np.unique(owner[cut[real != as_if]]).tolist():
+                out[k, lang] = found.count(found.symbols(texts[k]))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -168,7 +234,7 @@ class Model:
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
         sizes = np.array([f.size for f in folded])
-        rates = self.phrases(folded) * np.array(self.bits) / np.maximum(1, sizes)[:, None]
+        rates = self.phrases(folded) * np.array([a.bits for a in self.automata]) / np.maximum(1, sizes)[:, None]
         best = rates.argmin(1)
         odds = np.exp2(-4 * (rates - rates.min(1, keepdims=True)))
         scores = 1 / odds.sum(1)
