@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexmill.llm import decontaminate, langid, licenses, lines, quality, simhash, suffixes, toxicity
@@ -15,6 +17,8 @@ from lexmill.llm import queries as llm_queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, score string, fp string, key string"
+#: Names that an operator might use itself, and one that must be quoted.
+CLASHES = ("gone", "__lines", "__gone", "row", "a.b", "lines", "n", "z", "spans", "toxic", "place", "h")
 LONG = " ".join(f"word{k % 977} and text" for k in range(20_000))
 EDGE = [
     (1, None, None, None, None, "x", "x", "x", "x"),
@@ -30,7 +34,8 @@ EDGE = [
 
 @pytest.fixture(scope="module")
 def edge(spark):
-    return spark.createDataFrame(EDGE, SCHEMA)
+    rows = spark.createDataFrame(EDGE, SCHEMA)
+    return rows.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +79,7 @@ def test_stages_on_edge_cases(spark, edge, stage):
     found = dict(corpus_pipeline.STAGES)[stage](spark, edge, SF)
     if stage != corpus_pipeline.STAGES[-1][0]:
         assert found.columns == edge.columns
+        assert all(r[c] == f"own {c}" for r in found.collect() for c in CLASHES)
     assert found.count() > 0
     assert dict(corpus_pipeline.STAGES)[stage](spark, edge.limit(0), SF).count() == 0
 
@@ -111,18 +117,92 @@ def test_license_base_against_brute_force(docs):
         assert set(filter(None, g.base_labels.split(","))) <= set(g.labels.split(",")) and 0 <= g.score <= 1
 
 
+def parsed(text):
+    return licenses.to_postfix(licenses.tokenize(text)[0])
+
+
 def test_expressions():
-    e = licenses.to_postfix("(MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 then more")
+    e = parsed("(MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 then more")
     assert e == ["MIT", "Apache-2.0", "or", "GPL-2.0-or-later", "Classpath-exception-2.0", "with", "and"]
     assert licenses.evaluate(e) == ({"mit", "apache", "gpl"}, 0.5)
     assert licenses.evaluate(["MIT", "AGPL-3.0-only", "or"])[1] == 1.0
-    for bad in ("", "AND MIT", "(MIT", "MIT OR", "()"):
-        assert licenses.to_postfix(bad) is None
+    for bad in ("", "AND MIT", "(MIT", "()", "of the author", "not-a-license"):
+        assert parsed(bad) == []
+    assert parsed("MIT OR") == parsed("MIT and so on") == parsed("MIT. More") == ["MIT"]
     row = licenses.scan("Code.\nSPDX-License-Identifier: BSD-3-Clause OR MIT\nmore text")
     assert row[5] == "bsd,mit" and row[8] == ["BSD-3-Clause MIT or"]
     assert licenses.scan("CC BY CC  by, cc-BY")[1:4] == (3, 0, 4)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "unknown"),
+    [
+        ("The license expression of the author", "", 0),
+        ("we discuss a license expression below", "", 0),
+        ("SPDX-License-Identifier: MIT. More", "mit", 0),
+        ("SPDX-License-Identifier: MIT/Apache-2.0", "apache,mit", 0),
+        ("SPDX-License-Identifier: not-a-license", "", 1),
+        ("license-expression = 'BSD-2-Clause'", "bsd", 0),
+        ("SPDX-License-Identifier: LicenseRef-Own", "licenseref-own", 0),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of", "mit", 0),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", 0),
+    ],
+)
+def test_labels_of_plain_prose(text, labels, unknown):
+    row = licenses.scan(text)
+    assert (row[5], row[10]) == (labels, unknown)
+
+
+def brute_labels(text):
+    """Labels by a search of word lists and a recursive descent over what stands behind a tag's colon."""
+    w = words(text)
+    found = {
+        label
+        for phrases in (licenses.BASE_PHRASES, licenses.NOTICE_PHRASES)
+        for p, label in phrases.items()
+        for k in range(len(w))
+        if w[k : k + len(p.split())] == p.split()
+    }
+    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    edge = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    for tag in licenses.TAGS:
+        for m in re.finditer(rf"(?<!{edge})(?i:{gap.join(tag.split())})[\"']?[ \t]*[:=][ \t]*[\"']?(.*)", text or ""):
+            tokens = re.findall(r"[()/]|[A-Za-z0-9](?:[A-Za-z0-9.+:\-]*[A-Za-z0-9+])?|[^ \t]", m.group(1))
+            best: set = set()
+            for n in range(1, len(tokens) + 1):
+                got = brute_or(tokens[:n])
+                best = got if got is not None else best
+            found |= best
+    return ",".join(sorted(found))
+
+
+def brute_or(tokens):
+    """The labels of tokens that are a whole expression, else None."""
+    if not tokens:
+        return None
+    if len(tokens) == 1:
+        label = licenses.family(tokens[0]) if tokens[0].lower() not in licenses.PRECEDENCE else None
+        return None if label is None else {label}
+    if len(tokens) > 2 and tokens[-2].lower() == "with" and "exception" in tokens[-1].lower():
+        return brute_or(tokens[:-2])
+    if tokens[0] == "(" and tokens[-1] == ")" and (inside := brute_or(tokens[1:-1])) is not None:
+        return inside
+    for k in range(1, len(tokens) - 1):
+        if tokens[k].lower() in ("and", "or", "/"):
+            a, b = brute_or(tokens[:k]), brute_or(tokens[k + 1 :])
+            if a is not None and b is not None:
+                return a | b
+    return None
+
+
+def test_labels_against_brute_force(docs):
+    random.seed(7)
+    pieces = ["MIT", "Apache-2.0", "or", "AND", "(", ")", "/", "with", "Classpath-exception-2.0", "GPL-2.0+", "nonsense", "CC0-1.0.", "LicenseRef-x"]
+    made = [f"x SPDX-License-Identifier: {' '.join(random.choices(pieces, k=random.randint(1, 7)))}" for _ in range(400)]
+    for text in made + [r.text for r in docs.collect()]:
+        assert licenses.scan(text)[5] == brute_labels(text), text
+
+
 # Quality
 
 
@@ -154,6 +234,9 @@ def test_deep_shallow_sorts():
 def test_suffix_dedup_against_brute_force(spark, docs, monkeypatch, block):
     monkeypatch.setattr(suffixes, "BLOCK", block)
     extra = [(10_000 + k, "ab" * 300 + str(k)) for k in range(8)] + [(20_000, None), (20_001, "x" * 199), (20_002, "y" * 201)]
+    # Blocks of a Thue-Morse word and of its complement, which agree in many digests that are sums of powers.
+    thue = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    extra += [(30_000, thue), (30_001, thue.translate({97: "b", 98: "a"})), (30_002, thue[512:1024] + thue[:512]), (30_003, "x" + thue[1024:1300])]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {r.doc_id: r for r in suffixes.digests(df).collect()}
     texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
@@ -187,27 +270,117 @@ def test_deobfuscation_and_accuracy(spark):
     assert "loser" in toxicity.restored_words("what a l o s e r you are", chars, {})
 
 
+def enumerated(word, model):
+    """The likeliest reading by every path through the lattice."""
+    best = None
+    for choice in itertools.product(*toxicity.lattice(word)):
+        letters = "".join(x for x, _ in choice)
+        codes = [0, 0, *(model.known.get(c, 1) for c in letters), 0]
+        score = sum(p for _, p in choice)
+        score += sum(float(model.log[a, b, c]) for a, b, c in zip(codes, codes[1:], codes[2:]))
+        best = max(best, (score, letters)) if best else (score, letters)
+    return best
+
+
+def test_viterbi_against_enumeration(spark, docs):
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    random.seed(5)
+    for _ in range(300):
+        word = "".join(random.choice("ab01$!|*6eett") for _ in range(random.randint(1, 8)))
+        score, letters = enumerated(word, model)
+        got = toxicity.viterbi(word, model)
+        same = [s for choice in itertools.product(*toxicity.lattice(word)) if "".join(x for x, _ in choice) == got for s in [sum(p for _, p in choice)]]
+        codes = [0, 0, *(model.known.get(c, 1) for c in got), 0]
+        assert abs(max(same) + sum(float(model.log[a, b, c]) for a, b, c in zip(codes, codes[1:], codes[2:])) - score) < 1e-3, (word, got, letters)
+
+
+def test_labels_held_twice(spark):
+    """A row that repeats counts once, a doc_id with both labels teaches nothing, texts of one doc_id count once."""
+    texts = [(k, ("vile fool " if k % 2 else "kind friend ") + f"word{k}") for k in range(60)]
+    labels = [(k, k % 2) for k in range(60)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    more = spark.createDataFrame([*texts, *texts[:20], (500, "vile fool"), (500, "zzz"), (None, "x")], "doc_id long, text string")
+    twice = spark.createDataFrame([*labels, *labels, (500, 0), (500, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    a = toxicity.learn(plain, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    b = toxicity.learn(more, twice)
+    assert abs(a.bias - b.bias) < 1e-6 and toxicity.np.allclose(a.weights, b.weights, atol=1e-6)
+
+
 # Units
 
 
-def test_units_against_brute_force(docs):
-    got = {r.doc_id: r for r in lines.dedup_units(docs).collect()}
-    seen = set()
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        kept, gone = [], 0
-        for (a, b), x in zip(lines.units(r.text, "sentence"), lines.digests(r.text, "sentence", 5)):
-            if x is not None and x in seen:
-                gone += 1
+def brute_units(texts, runs):
+    """What stays of texts in order, and how many units and sentences go, by sets of plain strings."""
+    seen, out = set(), []
+    for text in texts:
+        kept, n = [], 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+            name = " ".join(line.lower().split())
+            if not name:
+                kept.append(line)
+            elif name in seen:
+                n += 1
             else:
-                kept.append(r.text[a:b])
-            seen.add(x)
+                seen.add(name)
+                body = line.strip()
+                at = line.index(body)
+                sentences = [""]
+                for s in re.findall(r".+?(?:(?<=[.!?;])\s+|$)", body, re.S):
+                    if 0 < len(sentences[-1].split()) < 5 and len(s.split()) < 5:
+                        sentences[-1] += s
+                    else:
+                        sentences.append(s)
+                sentences = sentences[1:]
+                if len(sentences) == 1:
+                    kept.append(line)
+                    continue
+                marks = []
+                for s in sentences:
+                    x = " ".join(s.lower().split())
+                    marks.append(x in seen)
+                    seen.add(x)
+                left = ""
+                for gone, group in itertools.groupby(zip(marks, sentences), key=lambda p: p[0]):
+                    group = [s for _, s in group]
+                    if gone and sum(len(s.split()) for s in group) >= runs:
+                        n += len(group)
+                    else:
+                        left += "".join(group)
+                kept.append(line[:at] + left + line[at + len(body) :])
+        out.append(("".join(kept), n))
+    return out
+
+
+@pytest.mark.parametrize("runs", [25, 5, 1])
+def test_units_against_brute_force(spark, docs, runs):
+    random.seed(6)
+    some = ["Yes.", "No; never.", "A passage of five words.", "so it  goes!", "Why?"]
+    made = [(100_000 + k, "".join(random.choice(some) + random.choice([" ", "\n", " \n\n", "  "]) for _ in range(random.randint(0, 12)))) for k in range(150)]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = sorted(df.collect(), key=lambda r: r.doc_id)
+    want = brute_units([r.text or "" for r in rows], runs)
+    got = {r.doc_id: r for r in lines.dedup_units(df, runs=runs).collect()}
+    for r, (text, n) in zip(rows, want):
         g = got[r.doc_id]
-        assert g.text == "".join(kept) and g.n_removed == gone
+        assert (g.text or "", g.n_removed) == (text, n), r.doc_id
         left, at = [], 0
         for s in g.spans:
             left.append(r.text[at : s["start"]])
             at = s["end"]
-        assert "".join(left) + r.text[at:] == g.text
+        assert "".join(left) + (r.text or "")[at:] == text
+
+
+def test_paragraphs(spark):
+    rows = [(1, "One line\nand two.\n\nAnother.\n"), (2, "Fresh.\n \none  LINE\nand two.\n\n\nAnother. Not")]
+    got = {r.doc_id: r for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), kind="paragraph", runs=None).collect()}
+    assert got[1].text == rows[0][1] and got[2].text == "Fresh.\n \nAnother. Not" and (got[2].n_units, got[2].n_removed) == (3, 1)
+
+
+def test_many_lines_that_repeat(spark):
+    """The work follows the lines, however many of them go."""
+    text = "\n".join(f"line {k % 50_000}" for k in range(100_000))
+    [r] = lines.line_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_lines, r.n_removed) == (100_000, 50_000)
 
 
 # Languages
@@ -218,26 +391,36 @@ def brute_phrases(text, sample):
     n = i = 0
     while i < len(text):
         n += 1
-        while i < len(text) and text[i] not in known:
-            i += 1
-        j = i
-        while j < len(text) and text[i : j + 1] in sample:
+        j = i + 1
+        while text[i] in known and j < len(text) and text[i : j + 1] in sample:
             j += 1
         i = j
     return n
 
 
-def test_cross_parsing_against_brute_force():
+@pytest.mark.parametrize("dense", [4 << 20, 10])
+def test_cross_parsing_against_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     random.seed(2)
-    samples = {x: "".join(random.choice(c) for _ in range(300)) for x, c in (("aa", "abcd "), ("bb", "bcde "))}
+    samples = {x: "".join(random.choice(c) for _ in range(300)) for x, c in (("aa", "abcd "), ("bb", "bcde "), ("cc", "ab"))}
     model = langid.Model(samples)
-    for _ in range(30):
-        text = "".join(random.choice("abcdez ") for _ in range(random.randint(1, 400)))
-        f = langid.fold(text)
-        plain = "".join(map(chr, f))
-        if plain:
-            folded = ["".join(map(chr, langid.fold(samples[n]))) for n in model.names]
-            assert model.phrases([f]).tolist() == [[brute_phrases(plain, s) for s in folded]]
+    texts = ["".join(random.choice("abcdez ") for _ in range(random.randint(1, 900))) for _ in range(30)]
+    texts += ["".join(random.choice("ab") for _ in range(5000)), "ab" * 2500, "z" * 700, samples["cc"][20:200] * 6, ""]
+    folded = [langid.fold(t) for t in texts]
+    plain = ["".join(map(chr, f)) for f in folded]
+    known = ["".join(map(chr, langid.fold(samples[n]))) for n in model.names]
+    want = [[brute_phrases(t, s) for s in known] for t in plain]
+    for segment in (512, 64, 7, 2):
+        assert model.phrases(folded, segment).tolist() == want
+
+
+def test_large_alphabets_stay_small():
+    """A sample of a language with thousands of letters makes no table of states by letters."""
+    random.seed(8)
+    text = "".join(chr(0x4E00 + random.randrange(2400)) for _ in range(langid.SAMPLE_CHARS))
+    made = langid.Model({"zh": text, "en": "of the and to in " * 1900})
+    size = sum(x.nbytes for a in made.automata for x in (a.letters, a.begin, a.table, a.keys, getattr(a, "to", None)) if x is not None)
+    assert size < 20e6 and made.predict([text[700:720] + text[90:95], "in the"])[0] == ["zh", "en"]
 
 
 def test_language_accuracy(spark):

@@ -11,7 +11,7 @@ def test_repeated_lines_go_whole(spark):
     short = "Of to on oust. Ndth ennd. Is.\nTHONRE!! THE!! ESER!!\nYes.\n"
     inside = "a passage of five words and more."
     rows = [(1, short + "Own line of one."), (2, short), (3, f"Yes. {inside} No.\n{inside}"), (4, f"New. {inside} Old.\nOWN  line of One.\n \n")]
-    got = {r.doc_id: r for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()}
+    got = {r.doc_id: r for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), runs=5).collect()}
     assert {k: r.text for k, r in got.items()} == {1: rows[0][1], 2: "", 3: f"Yes. {inside} No.\n", 4: "New. Old.\n \n"}
     assert [tuple(s) for s in got[2].spans] == [(0, len(short))] and got[1].n_removed == 0
 
