@@ -17,10 +17,11 @@ from lexmill.llm.common import RID, keep, table
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with a row id, and the same rows with that id in the place of doc_id, for an operator. Both are
-    read from a table that holds the ids: numbered anew, rows could get other ids in other splits."""
-    rows = keep(docs.select(F.monotonically_increasing_id().alias(RID), "*"))
-    return rows, rows.select(F.col(RID).alias("doc_id"), "text")
+    """The documents as a row id and row, a struct of all their columns, whatever these are called, and the same rows with
+    that id in the place of doc_id, for an operator. Both are read from a table that holds the ids: numbered anew, rows
+    could get other ids in other splits."""
+    rows = keep(docs.select(F.monotonically_increasing_id().alias(RID), F.struct("*").alias("row")))
+    return rows, rows.select(F.col(RID).alias("doc_id"), F.col("row")["text"].alias("text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     rows, keyed = _keyed(docs)
     toxic = toxicity.score(keyed, model).filter("predicted = 1").select(F.col("doc_id").alias(RID))
-    return rows.join(toxic, RID, "left_anti").select(*docs.columns)
+    return rows.join(toxic, RID, "left_anti").select("row.*")
 
 
 def dedup_line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that later occurrences of three-line windows cover."""
-    done = lines.dedup_lines(_keyed(docs)[0])
-    if "n_chars" not in docs.columns:
-        return done.select(*docs.columns)
-    n = F.when(F.size("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return lines.dedup_lines(docs, length="n_chars", written=True)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +42,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows, keyed = _keyed(docs)
     # Components are named by row ids here; the document that stays is the one of smallest doc_id, then row id.
     groups = keep(simhash.near_duplicates(keyed).select(F.col("doc_id").alias(RID), "component_id"))
-    place = F.struct("doc_id", RID)
-    first = rows.select(RID, "doc_id").join(groups, RID).groupBy("component_id").agg(F.min(place).alias("first"))
-    return rows.join(first.select(F.col(f"first.{RID}").alias(RID)), RID, "left_semi").select(*docs.columns)
+    place = F.struct(F.col("row")["doc_id"].alias("doc_id"), RID)
+    first = rows.select(RID, place.alias("place")).join(groups, RID).groupBy("component_id").agg(F.min("place").alias("first"))
+    return rows.join(first.select(F.col(f"first.{RID}").alias(RID)), RID, "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows don't contaminate."""
     rows, keyed = _keyed(docs)
     found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"))
-    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(RID)), RID, "left_anti").select(*docs.columns)
+    return rows.join(found.filter("contaminated").select(F.col("doc_id").alias(RID)), RID, "left_anti").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
