@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, hold, keep, numbered
+from .common import RID, hold, join_counted, numbered
 
 LENGTH, GRAM = 200, 40
 #: Different contexts that are sorted in one go.
@@ -389,8 +389,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     often = hold(anchors(docs).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key").repartition(parts))
     found = hold(contexts(docs).join(often, "key"))
     distinct = hold(found.groupBy("key", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    mixed = distinct.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    several = hold(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    mixed = join_counted(distinct, several, ["key"], "m").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     wanted = mixed.select(
         F.col(f"one.{RID}").alias(RID),
         F.struct("key", F.pmod("c", "blocks").cast("int").alias("block"), "c", "n", "blocks", F.col("one.spot").alias("spot")).alias("w"),
@@ -408,8 +408,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copied = found.select(RID, "spot").join(once, [RID, "spot"], "left_anti").select(
         RID, start.alias("s"), (start + F.col("spot").bitwiseAND(F.lit(255)) + LENGTH).alias("e")
     )
-    spans = keep(alone.unionByName(copied).groupBy(RID).agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    for held in (ordered, distinct, found, often):
+    spans = hold(alone.unionByName(copied).groupBy(RID).agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    spans.count()
+    for held in (ordered, several, distinct, found, often):
         held.unpersist()
     return spans
 
