@@ -13,7 +13,8 @@ works on these places.
 
 Nulls have no words: a document without words is never hit, and an item without words hits none. Repeated items count
 once; windows of an item without item_id hit words but list no item. Repeated documents are judged each on its own.
-Documents that share one passage meet its window in a join with one row on its side, dealt over SALTS tasks.
+Documents that share one passage meet its window in a join with one row on its side, which is broadcast where there are
+FEW windows and dealt over SALTS tasks elsewhere.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ SHARE = 20
 BITMAP, LARGEST = 1 << 15, 1 << 20
 #: Bits of the bitmap for each shingle: two of ten are set at most, so one in thirty passes by chance.
 SPARE = 10
-#: Rows of a shingle that very many documents share are dealt over so many tasks.
-SALTS = 16
+#: Windows that are broadcast, of 13 words at most. Beyond that, rows of a shingle are dealt over SALTS tasks, so that
+#: one that very many documents share doesn't fill one of them.
+FEW, SALTS = 20_000, 16
 
 
 def shingles(words: Column, n: Column, size: int) -> Column:
@@ -135,9 +137,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .select(RID, "n_words", F.col("p.sh").alias("sh"), F.col("p.at").alias("at"), around.alias("base"), F.slice("words", around, F.lit(2 * window + shingle)).alias("near"))
     )
     start = F.col("at") - F.col("off") + 1
-    dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if prefix.count() <= FEW:
+        met = tokens.join(F.broadcast(prefix), "sh")
+    else:
+        dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = tokens.withColumn("salt", F.pmod(F.xxhash64(RID, "at"), F.lit(SALTS)).cast("int")).join(dealt, ["sh", "salt"])
     hits = (
-        tokens.withColumn("salt", F.pmod(F.xxhash64(RID, "at"), F.lit(SALTS)).cast("int")).join(dealt, ["sh", "salt"])
+        met
         .withColumn("start", start)
         .filter((F.col("start") >= 1) & (F.col("start") + F.col("k") - 1 <= F.col("n_words")))
         .filter(F.slice("near", F.greatest(F.col("start") - F.col("base") + 1, F.lit(1)), F.col("k")) == F.col("win"))

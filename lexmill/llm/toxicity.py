@@ -19,6 +19,7 @@ nothing is learned, and every score is 0. Rows are scored alone: ties and repeat
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -59,6 +60,9 @@ _INNER = re.compile(r"(?<=[^\W_])[.\-_*/](?=[^\W_])")
 _RUN = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _LETTER = re.compile(r"[^\W\d_]")
+_SAME = re.compile(r"(.)\1+", re.S)
+#: What every word has that is decoded.
+_MARKED = re.compile(r"[0-9@$!|+€£(<*¡]|(.)\1|(?<=[^\W_])[.\-_*/](?=[^\W_])")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -120,6 +124,8 @@ class CharModel:
         self.flat = self.log.ravel().tolist()
         table = _symbol_table()
         self.known = {chr(k): int(table[k]) for k in np.flatnonzero(table != 1)}
+        #: What written words may be, as far as this process has met them.
+        self.memo: dict[str, tuple[str, ...]] = {}
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -144,8 +150,26 @@ def spaced(choices: list[list[tuple[str, float]]]) -> list[list[tuple[str, float
     return out
 
 
+def runs_only(word: str, model: CharModel) -> str:
+    """What viterbi gives for a word whose lattice has a choice at runs only: after a run's letter and the one behind it
+    all paths stand at the same place, so the best path is the better way through each run by itself."""
+    known, log = model.known, model.flat
+    out, at = [], 0
+    for m in _SAME.finditer(word):
+        a, b = m.span()
+        before = known.get(word[a - 1], 1) if a else 0
+        c, after = known.get(word[a], 1), known.get(word[b], 1) if b < len(word) else 0
+        once = AS_RUN + log[(before * SYMBOLS + c) * SYMBOLS + after]
+        twice = AS_RUN * (b - a != 2) + log[(before * SYMBOLS + c) * SYMBOLS + c] + log[(c * SYMBOLS + c) * SYMBOLS + after]
+        out.append(word[at : a + 1 + (twice > once)])
+        at = b
+    return "".join(out) + word[at:]
+
+
 def viterbi(word: str, model: CharModel, blanks: bool = False) -> str:
     """The likeliest letters behind a written word, with blanks where it is several words."""
+    if not blanks and not _SIGN.search(word):
+        return runs_only(word, model)
     known, log = model.known, model.flat
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     written = lattice(word)
@@ -176,7 +200,7 @@ def disguised(word: str) -> bool:
 
 def restore(word: str, model: CharModel) -> str | None:
     """The restored word if the written one looks disguised, else None."""
-    if not (disguised(word) or _DOUBLE.search(word)):
+    if not _MARKED.search(word) or not (disguised(word) or _DOUBLE.search(word)):
         return None
     bare = _INNER.sub("", word)
     if not _LETTER.search(bare):
@@ -264,6 +288,34 @@ def _char_model(counts: bytes) -> CharModel:
     return CharModel(np.frombuffer(counts, np.int64))
 
 
+class Scorer:
+    """The scores of words under weights, as far as this process has met them."""
+
+    def __init__(self, counts: bytes, weights: bytes | None, bias: float):
+        self.chars, self.bias, self.known = _char_model(counts), bias, {}
+        self.weights = None if weights is None else np.frombuffer(weights, np.float32)
+
+    def score(self, text: str | None) -> float:
+        if self.weights is None:
+            return 0.0
+        found = []
+        for w in restored_words(text, self.chars, self.chars.memo):
+            x = self.known.get(w)
+            if x is None:
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                x = self.known[w] = float(sum(self.weights[k] for k in features(w)))
+            if x:
+                found.append(x)
+        z = math.fsum([self.bias, *found])  # exact, so the order of a set doesn't matter
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
+@functools.lru_cache(maxsize=1)
+def _scorer(counts: bytes, weights: bytes | None, bias: float) -> Scorer:
+    return Scorer(counts, weights, bias)
+
+
 class Model:
     """What scoring needs, of fixed size: trigram counts, weights of BUCKETS features, a bias."""
 
@@ -286,9 +338,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(counts, None, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memo = _char_model(given.value), {}
+        model = _char_model(given.value)
         for batch in batches:
-            rows = [sorted(b for w in restored_words(t, model, memo) for b in features(w))[:SAMPLE_FEATURES] for t in batch.column(2).to_pylist()]
+            rows = [sorted(b for w in restored_words(t, model, model.memo) for b in features(w))[:SAMPLE_FEATURES] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
 
     picked = [marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (0, 1)]
@@ -315,29 +367,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and how many disguised words were restored."""
-    given = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights, model.bias))
+    weights = None if model.weights is None else model.weights.tobytes()
+    given = docs.sparkSession.sparkContext.broadcast((model.counts, weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights, bias = given.value
-        chars = _char_model(counts)
-        memo: dict[str, tuple[str, ...]] = {}
-        known: dict[str, float] = {}
+        scorer = _scorer(*given.value)
         for batch in batches:
-            scores = []
-            for text in batch.column(2).to_pylist():
-                if weights is None:
-                    scores.append(0.0)
-                    continue
-                z = bias
-                for w in sorted(restored_words(text, chars, memo)):
-                    x = known.get(w)
-                    if x is None:
-                        if len(known) >= MEMO:
-                            known.clear()
-                        x = known[w] = float(sum(weights[k] for k in features(w)))
-                    if x:
-                        z += x
-                scores.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+            scores = [scorer.score(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"],

@@ -286,7 +286,7 @@ def test_viterbi_against_enumeration(spark, docs):
     model = toxicity.CharModel(toxicity.trigram_counts(docs))
     random.seed(5)
     for _ in range(300):
-        word = "".join(random.choice("ab01$!|*6eett") for _ in range(random.randint(1, 8)))
+        word = "".join(random.choice(random.choice(["ab01$!|*6eett", "aabt"])) for _ in range(random.randint(1, 8)))
         score, letters = enumerated(word, model)
         got = toxicity.viterbi(word, model)
         same = [s for choice in itertools.product(*toxicity.lattice(word)) if "".join(x for x, _ in choice) == got for s in [sum(p for _, p in choice)]]
@@ -539,3 +539,15 @@ def test_pipeline_against_brute_force(spark, docs):
 
     for r in rows:
         assert r.round_trip and bpe.decode_bytes(r.ids) == firsts[r.doc_id].encode() and r.n_tokens == len(r.ids)
+
+
+def test_decontamination_by_shuffle(spark, docs, monkeypatch):
+    """The ways with few and with many windows, and with a bitmap of its largest size, agree."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(decontaminate.decontaminate(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "FEW", 0)
+    monkeypatch.setattr(decontaminate, "BITMAP", 1 << 17)
+    assert sorted(decontaminate.decontaminate(docs, items).collect()) == want and any(r.n_hit for r in want)
+    monkeypatch.setattr(decontaminate, "BITMAP", 1)
+    monkeypatch.setattr(decontaminate, "LARGEST", 1)
+    assert sorted(decontaminate.decontaminate(docs, items).collect()) == want
