@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -34,6 +34,8 @@ from .common import keep
 SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 2_048
 BUCKETS = 1 << 18
 PENALTY, ROUNDS = 2e-4, 150
+#: The least score of a text that counts as toxic.
+CUT = 0.5
 #: Words whose features a worker remembers at most.
 MEMO = 200_000
 
@@ -365,20 +367,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(counts, weights, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted and how many disguised words were restored."""
+def scores(text: Column, model: Model, spark: SparkSession) -> Column:
+    """The score of a text, as a column."""
     weights = None if model.weights is None else model.weights.tobytes()
-    given = docs.sparkSession.sparkContext.broadcast((model.counts, weights, model.bias))
+    given = spark.sparkContext.broadcast((model.counts, weights, model.bias))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _scorer(*given.value)
-        for batch in batches:
-            scores = [scorer.score(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int"
+        for texts in batches:
+            yield pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())
+
+    return run(text)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted per document."""
+    scored = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        scores(F.col("text"), model, docs.sparkSession).alias("score"),
     )
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
