@@ -16,8 +16,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lexmill import registry
-from lexmill.operators import bm25, chunking, formatting
+from lexmill import catalog
+from lexmill.operators import bm25, chunking, citation, formatting
 from lexmill.sources import docx, files
 
 
@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
         parser.print_usage(sys.stderr)
         return 2
     if given.command == "queries":
-        print("\n".join(sorted(registry.QUERIES)))
+        print("\n".join(sorted(catalog.QUERIES)))
         return 0
     spark = SparkSession.builder.appName("lexmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     source, target = given.args
@@ -61,10 +61,12 @@ def main(argv: list[str] | None = None) -> int:
         print(files.save_index(spark.read.parquet(source), target))
     elif given.command == "search":
         postings, terms, _ = files.load_index(spark, source)
-        asked = bm25.terms(spark.createDataFrame([(1, target)], "query_id long, text string"), "query_id", "text")
+        one, text = spark.createDataFrame([(1, target)], "query_id long, text string"), F.col("text")
+        structural = citation.query_terms(citation.article_numbers(text), citation.clause_numbers(text), citation.detect_document(text))
+        asked = bm25.terms(one, "query_id", text, structural)
         bm25.search(postings, "chunk_id", bm25.query_weights(asked, "query_id", terms), "query_id", 20).show(20, False)
     else:
-        registry.QUERIES[source](spark, target).show(50, False)
+        catalog.QUERIES[source](spark, target).show(50, False)
     return 0
 
 

@@ -24,11 +24,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def load() -> None:
-    """Imports the modules that register queries."""
-    from lexmill.plans import chunking_queries, conversation_queries, evaluation_queries, formatting_queries, pipeline_queries, retrieval_queries, surface_queries, verification_queries  # noqa: F401
-
-
-load()

@@ -5,12 +5,10 @@ import math
 import duckdb
 import pytest
 
-from lexmill.registry import ORACLES, QUERIES
+from lexmill.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Seconds of planning each; their parts are tested one by one.
-SLOW = {"retrieve_hybrid"}
 
 
 @pytest.fixture(scope="session")
@@ -29,7 +27,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)

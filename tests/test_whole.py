@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lexmill.registry import ORACLES, QUERIES
+from lexmill.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
