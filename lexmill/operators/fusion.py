@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .bm25 import top
 
 RRF_K, LAMBDA, LOW_RELEVANCE = 60, 0.5, -6.8
-#: Numbers of a block of queries that is compared with every vector: a broadcast of this size at most.
-QUERY_BLOCK = 4096
+#: Queries of a block that is compared with every vector: a broadcast of this size at most. Vectors of a group.
+QUERY_BLOCK, VECTOR_GROUP = 4096, 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,59 +31,73 @@ def cosine(a: Column, b: Column) -> Column:
     )
 
 
+def _best(keys: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int, digits: int) -> tuple[np.ndarray, ...]:
+    """The k best vectors of batches (ids, matrix) for each query (row of q): query keys, ids and scores, flat. Ties go to
+    the smallest id. One matrix product and one partition of it per batch, no loop over queries."""
+    unit = 10**digits
+    norms = np.linalg.norm(q, axis=1)
+    best_id, best = np.zeros((len(keys), 0), np.int64), np.zeros((len(keys), 0), np.int64)
+    for ids, v in batches:
+        if not len(ids):
+            continue
+        if v.shape[1] != q.shape[1]:
+            raise ValueError("vectors of unequal size")
+        order = np.argsort(ids, kind="stable")
+        ids, v = ids[order], v[order]
+        norm = norms[:, None] * np.linalg.norm(v, axis=1)[None]
+        scores = np.rint(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm != 0) * unit).astype(np.int64)
+        if len(ids) > k:
+            # Score and place in one number: no two are equal.
+            at = np.argpartition(-(scores * len(ids) + (len(ids) - 1 - np.arange(len(ids)))), k - 1, axis=1)[:, :k]
+            scores, found = np.take_along_axis(scores, at, 1), ids[at]
+        else:
+            found = np.broadcast_to(ids, scores.shape)
+        best, best_id = np.concatenate((best, scores), 1), np.concatenate((best_id, found), 1)
+        at = np.lexsort((best_id, -best), axis=1)[:, :k]
+        best, best_id = np.take_along_axis(best, at, 1), np.take_along_axis(best_id, at, 1)
+    return np.repeat(keys, best.shape[1]), best_id.ravel(), best.ravel() / unit
+
+
 def dense_search(vectors: DataFrame, doc: str, queries: DataFrame, query: str, k: int, digits: int = 6) -> DataFrame:
     """(query, doc, score, rank) by cosine over column vec of both sides.
 
-    The queries are a stated set: they go in blocks of QUERY_BLOCK to every partition of vectors, which multiplies
-    matrices and keeps k hits per query, so what is shuffled is k rows per query and partition.
+    Up to QUERY_BLOCK queries, which are counted first, are broadcast: each partition of vectors multiplies matrices where
+    it stands and keeps k hits per query, so what is shuffled is k rows per query and partition. More queries are dealt
+    into blocks of that size, vectors into groups of VECTOR_GROUP, and each pair of both is one task's work.
     """
-    rows = queries.select(query, F.col("vec").cast("array<double>").alias("vec")).orderBy(query).toLocalIterator()
-    spark, parts, block = vectors.sparkSession, [], []
+    asked = queries.select(F.col(query).cast("long").alias(query), F.col("vec").cast("array<double>").alias("vec"))
+    known = vectors.select(F.col(doc).cast("long").alias(doc), F.col("vec").cast("array<double>").alias("vec"))
+    schema = f"{query} long, {doc} long, score double"
+    matrix = lambda pdf: np.array(pdf["vec"].tolist(), np.float64)
+    n = asked.count()
 
-    def search_block(block: list) -> DataFrame:
-        keys = [r[0] for r in block]
-        matrix = np.array([r[1] for r in block], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        given = spark.sparkContext.broadcast((keys, matrix, norms))
+    def hits(keys: np.ndarray, q: np.ndarray, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        found = _best(keys, q, ((pdf[doc].to_numpy(), matrix(pdf)) for pdf in batches if len(pdf)), k, digits)
+        return pd.DataFrame(dict(zip((query, doc, "score"), found)))
+
+    if n <= QUERY_BLOCK:
+        rows = asked.collect()  # QUERY_BLOCK at most
+        given = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys, q, qn = given.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in keys]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.array(pdf["vec"].tolist(), np.float64)
-                if v.shape[1] != q.shape[1]:
-                    raise ValueError("vectors of unequal size")
-                norm = qn[:, None] * np.linalg.norm(v, axis=1)[None]
-                scores = np.round(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm != 0), digits)
-                ids = pdf[doc].to_numpy()
-                for i in range(len(keys)):
-                    s, d = np.concatenate((best[i][0], scores[i])), np.concatenate((best[i][1], ids))
-                    order = np.lexsort((d, -s))[:k]
-                    best[i] = (s[order], d[order])
-            yield pd.DataFrame(
-                {
-                    query: np.repeat(keys, [len(b[0]) for b in best]),
-                    doc: np.concatenate([b[1] for b in best]) if best else [],
-                    "score": np.concatenate([b[0] for b in best]) if best else [],
-                }
-            )
-
-        schema = f"{query} long, {doc} long, score double"
-        return vectors.select(F.col(doc).cast("long"), F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, schema)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search_block(block))
-            block = []
-    if block or not parts:
-        parts.append(search_block(block)) if block else parts.append(spark.createDataFrame([], f"{query} long, {doc} long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, query, "score", doc, k)
+            keys, q = given.value
+            if len(keys):
+                yield hits(keys, q, batches)
+
+        return top(known.mapInPandas(run, schema), query, "score", doc, k)
+
+    blocks, groups = -(-n // QUERY_BLOCK), max(1, -(-known.count() // VECTOR_GROUP))
+    block, group = F.pmod(F.xxhash64(query), F.lit(blocks)).alias("b"), F.pmod(F.xxhash64(doc), F.lit(groups)).alias("p")
+    left = known.select(doc, "vec", group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    right = asked.select(query, "vec", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("p"))
+
+    def pair(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({query: [], doc: [], "score": []})
+        return hits(q[query].to_numpy(), matrix(q), iter([v]))
+
+    met = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(pair, schema)
+    return top(met, query, "score", doc, k)
 
 
 def fetch(hits: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -13,24 +13,33 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import tokens, word_count
+from lexmill.functions.text import let, tokens, word_count
 
 BATCH, ATTEMPTS, DIMENSION = 25, 3, 64
 
 
 def standin_encoder(text: Column, dimension: int = DIMENSION) -> Column:
-    """Feature hashing of tokens to an array of doubles of length one; no model."""
+    """Feature hashing of tokens to an array of doubles of length one, zeros where there is no token; no model."""
+
+    def counted(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return let(length, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(counts))
+
     places = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+    return let(let(places, counted), scaled)
 
 
 def standin_scorer(query: Column, passage: Column) -> Column:
     """Share of the query's tokens that the passage has, on the scale of a cross-encoder's logits; no model."""
-    asked = F.array_distinct(tokens(query))
-    shared = F.size(F.array_intersect(asked, tokens(passage)))
-    return F.when(F.size(asked) > 0, shared / F.size(asked) * 20 - 10).otherwise(F.lit(-10.0))
+
+    def share(asked: Column) -> Column:
+        shared = F.size(F.array_intersect(asked, tokens(passage)))
+        return F.when(F.size(asked) > 0, shared / F.size(asked) * 20 - 10).otherwise(F.lit(-10.0))
+
+    return let(F.array_distinct(tokens(query)), share)
 
 
 @dataclass(frozen=True)

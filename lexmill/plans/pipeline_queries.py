@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import bm25, chunking, fusion, models, units
+from lexmill.operators import bm25, chunking, citation, fusion, models, units
 from lexmill.plans.chunking_queries import HEAD_CTE, clauses
 from lexmill.registry import query
 from lexmill.sources import legal_view
@@ -16,53 +16,83 @@ from lexmill.sources.tables import read
 from lexmill.streaming import turns
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, plugs: models.Plugs | None = None, use_mmr: bool = True, n: int = 5) -> DataFrame:
-    """(query_id, chunk_id, score, pos): hybrid retrieval for many questions at once.
+def retrieve(
+    chunks: DataFrame, questions: DataFrame, plugs: models.Plugs | None = None, use_mmr: bool = True, n: int = 5, index: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """(query_id, chunk_id, source_document, breadcrumb, content, has_table, raw_table, score, pos): hybrid retrieval for
+    many questions at once.
 
-    chunks: chunk_id, breadcrumb, content; questions: query_id, text, and hypothetical (null: that branch is left out).
-    Each branch fuses dense and sparse hits and keeps ten, by diversity if wanted; branches are united in order and
-    reranked, or woven where no score comes.
+    chunks: chunk_id, source_document, breadcrumb, content, has_table, raw_table; questions: query_id, text, and
+    hypothetical (null: that branch is left out). Chunks and questions carry structural terms. Each branch fuses dense and
+    sparse hits and keeps ten, by diversity if wanted; the first sparse hits of a question that cites an article are a
+    third branch. Branches are united in order and reranked, or woven where no score comes. index: postings (chunk_id,
+    term, weight) and terms of a saved index; a hit that chunks don't have raises.
     """
     plugs = plugs or models.Plugs()
-    passage = F.concat_ws(" ", "breadcrumb", "content")
     # Chunks carry a number: dense blocks and ties need one that sorts.
     # What both branches read is written once, as an index would be; each step's plan stays short.
-    hold = keep
-    numbered = hold(chunks.select(F.xxhash64("chunk_id").alias("c"), "chunk_id", "breadcrumb", "content"))
-    questions = hold(questions)
-    terms = bm25.terms(numbered, "c", plugs.segmenter(passage))
-    fitted, weights = hold(bm25.fit(terms)), hold(bm25.document_weights(terms, "c"))
-    vectors = hold(numbered.select("c", plugs.encoder(F.col("content")).alias("vec")))
-    branches = []
+    known = keep(chunks.select(F.xxhash64("chunk_id").alias("c"), "chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"))
+    cited = questions.select(
+        "query_id", "text", "hypothetical", citation.article_numbers(F.col("text")).alias("numbers"),
+        citation.clause_numbers(F.col("text")).alias("parts"), citation.detect_document(F.col("text")).alias("named"),
+    )
+    questions = keep(cited.withColumns({"structural": citation.query_terms(F.col("numbers"), F.col("parts"), F.col("named")), "qvec": plugs.encoder(F.col("text"))}))
+    if index is None:
+        key = F.try_element_at(citation.document_keys(), F.col("source_document"))
+        passage = plugs.segmenter(F.concat_ws(" ", "breadcrumb", "content"))
+        terms = keep(bm25.terms(known, "c", passage, citation.document_terms(F.col("breadcrumb"), key)))
+        fitted, weights = keep(bm25.fit(terms)), keep(bm25.document_weights(terms, "c"))
+    else:
+        fitted, weights = index[1], index[0].select(F.xxhash64("chunk_id").alias("c"), "term", "weight")
+    vectors = keep(known.select("c", plugs.encoder(F.col("content")).alias("vec")))
+    branches, none = [], F.array().cast("array<string>")
     for text in ("hypothetical", "text"):
-        asked = questions.filter(F.col(text).isNotNull()).select("query_id", F.col(text).alias("t"))
-        qvec = questions.select("query_id", plugs.encoder(F.col("text")).alias("qvec"))
-        dense = fusion.dense_search(vectors, "c", asked.select("query_id", plugs.encoder(F.col("t")).alias("vec")), "query_id", 20)
-        qterms = bm25.query_weights(bm25.terms(asked, "query_id", plugs.segmenter(F.col("t"))), "query_id", fitted)
-        fused = fusion.rrf(dense, bm25.search(weights, "c", qterms, "query_id", 20), "query_id", "c").filter("rank <= 20")
-        fused = hold(fused)
+        own = text == "text"
+        vec = F.col("qvec") if own else plugs.encoder(F.col(text))
+        asked = questions.filter(F.col(text).isNotNull()).select("query_id", F.col(text).alias("t"), F.col("structural") if own else none.alias("structural"), vec.alias("vec"))
+        dense = fusion.dense_search(vectors, "c", asked.select("query_id", "vec"), "query_id", 20)
+        qterms = bm25.query_weights(bm25.terms(asked, "query_id", plugs.segmenter(F.col("t")), F.col("structural")), "query_id", fitted)
+        sparse = keep(bm25.search(weights, "c", qterms, "query_id", 20))
+        fused = keep(fusion.rrf(dense, sparse, "query_id", "c").filter("rank <= 20"))
         if use_mmr:
-            pool = fused.select("query_id", "c", F.col("rank").alias("pos")).join(vectors, "c").join(qvec, "query_id")
-            branches.append(hold(fusion.mmr(pool, "query_id", "c", 10)))
+            pool = fused.select("query_id", "c", F.col("rank").alias("pos")).join(vectors, "c").join(questions.select("query_id", "qvec"), "query_id")
+            branches.append(keep(fusion.mmr(pool, "query_id", "c", 10)))
         else:
             branches.append(fused.filter("rank <= 10").select("query_id", "c", "rank"))
+    branches.append(citation.extras(sparse, questions, "query_id", "c"))  # of the question's own branch
     united = fusion.union_dedupe(branches, "query_id", "c")
-    candidates = united.join(numbered, "c").join(questions.select("query_id", "text"), "query_id")
-    score = plugs.scorer(F.col("text"), F.concat_ws("\n", "breadcrumb", "content"))
-    scored = candidates.withColumn("s", score)
-    best = fusion.rerank(scored, "query_id", "c", F.col("s"), n, fusion.interleave(branches, "query_id", "c", n))
-    return best.join(numbered.select("c", "chunk_id"), "c").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "pos")
+    filled = united.join(known, "c", "left").withColumn(
+        "chunk_id", F.when(F.col("chunk_id").isNull(), F.raise_error(F.concat(F.lit("no metadata of a hit: "), F.col("c").cast("string"))).cast("string")).otherwise(F.col("chunk_id"))
+    )
+    candidates = filled.join(questions.select("query_id", "text"), "query_id")
+    scored = keep(candidates.withColumn("s", plugs.scorer(F.col("text"), F.concat_ws("\n", "breadcrumb", "content"))))
+    best = fusion.rerank(scored.select("query_id", "c", "pos", "s"), "query_id", "c", F.col("s"), n, fusion.interleave(branches, "query_id", "c", n))
+    fields = ["chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"]
+    return best.join(scored.select("query_id", "c", *fields), ["query_id", "c"]).select("query_id", *fields, F.round("score", 6).alias("score"), "pos")
+
+
+def asked_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over the synthesised chunks: some cite an article and a clause, some name a document, half come with a
+    hypothetical answer."""
+    return read(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(
+        F.col("c_custkey").alias("query_id"),
+        F.concat(
+            "c_name", F.lit(" được hưởng bao nhiêu đồng"),
+            F.when(F.col("c_custkey") % 150 == 0, F.concat(F.lit(" theo Điều "), F.col("c_custkey") % 97 + 1, F.lit(" khoản "), F.col("c_custkey") % 5 + 1)).otherwise(F.lit("")),
+        ).alias("text"),
+        F.when(F.col("c_custkey") % 100 == 0, F.concat("c_name", F.lit(" được hưởng mức lương theo quy định"))).alias("hypothetical"),
+    )
+
+
+def short_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(clauses(spark, sf_dir), 64).dropDuplicates(["chunk_id"])
 
 
 @query("retrieve_hybrid")
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items asked of the synthesised chunks, with stand-in models; no SQL: hashed vectors and diversity."""
-    found = chunking.chunks(clauses(spark, sf_dir), 64).dropDuplicates(["chunk_id"])
-    asked = read(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(
-        F.col("c_custkey").alias("query_id"), F.concat("c_name", F.lit(" được hưởng bao nhiêu đồng")).alias("text"),
-        F.when(F.col("c_custkey") % 100 == 0, F.concat("c_name", F.lit(" được hưởng mức lương theo quy định"))).alias("hypothetical"),
-    )
-    return retrieve(found, asked)
+    """Every fiftieth customer's question over all synthesised chunks, with stand-in models. No SQL: hashed vectors; held
+    against a brute-force version in tests."""
+    return retrieve(short_chunks(spark, sf_dir), asked_of_chunks(spark, sf_dir)).select("query_id", "chunk_id", "score", "pos")
 
 
 @query("unit_split")
@@ -130,26 +160,33 @@ def _checkpoint(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    return turns.run_to_table(stream, f"s{uuid.uuid4().hex}", _checkpoint(spark), mode)
+def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    return turns.run_to_table(stream, _checkpoint(spark))
 
 
 @query(
     "stream_minute_limit",
-    "SELECT CAST(user_id AS VARCHAR) AS user, date_trunc('minute', ts) AS start, count(*) AS n, greatest(count(*) - 1, 0) AS over FROM events GROUP BY 1, 2",
+    """SELECT CAST(user_id AS VARCHAR) AS user, date_trunc('minute', ts) AS start, count(*) AS n, greatest(count(*) - 1, 0) AS over FROM events GROUP BY 1, 2
+    HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 MINUTE FROM events)""",
 )
 def stream_minute_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table as one late-tolerant stream: all windows, whether closed by the watermark or not."""
+    """The minutes that the watermark has closed, two minutes behind the newest event."""
     e = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
-    out = _run(spark, turns.minute_counts(e, "user_id", "ts", 1, "400 days"), "complete")
+    out = _run(spark, turns.minute_counts(e, "user_id", "ts", 1))
     return out.select("user", F.col("start").cast("timestamp_ntz").alias("start"), "n", "over")
 
 
-@query("stream_single_flight", "SELECT user_id, count(*) - count(*) + 1 AS n FROM events GROUP BY user_id")
+@query(
+    "stream_single_flight",
+    """WITH RECURSIVE e AS (SELECT user_id % 20 AS k, event_id, epoch(date_trunc('second', ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS i FROM events),
+    f(k, event_id, i, since, leads) AS (SELECT k, event_id, i, s, true FROM e WHERE i = 1
+      UNION ALL SELECT e.k, e.event_id, e.i, CASE WHEN e.s - f.since >= 600 THEN e.s ELSE f.since END, e.s - f.since >= 600 FROM f JOIN e ON e.k = f.k AND e.i = f.i + 1)
+    SELECT k, event_id FROM f WHERE leads""",
+)
 def stream_single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One leader per key while the watermark has not passed."""
-    e = _stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, turns.leaders(e, "user_id", "ts", "400 days")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """The leaders of each key, whose locks expire after ten minutes."""
+    e = _stream(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("k"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _run(spark, turns.leaders(e, "k", "ts", "event_id", 600))
 
 
 @query(

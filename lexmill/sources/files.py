@@ -62,15 +62,19 @@ def read_testset(spark: SparkSession, path: str, limit: int | None = None) -> Da
 def read_log(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """The last record of each key of a JSONL log. A broken last line is dropped; a broken line before it raises.
 
-    A log is one append-only file, so its lines are numbered by a scan of one partition; what is aggregated goes by key.
+    Lines are read in splits. A line's place is its file's time and name, where its split begins, and its number there,
+    so no task reads more than a split; what is aggregated goes by key.
     """
     from lexmill.operators.reporting import last_wins
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("seq", "line")).filter(F.trim("line") != "")
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(path).select(place.alias("seq"), F.col("value").alias("line")).filter(F.trim("line") != "")
     parsed = lines.select("seq", F.from_json("line", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "false"}).alias("r")).select("seq", "r.*")
-    last = lines.agg(F.max("seq")).scalar()
+    last, seq = lines.agg(F.max("seq")).scalar(), lines.schema["seq"].dataType
     broken = F.col("_bad").isNotNull()
-    checked = parsed.filter(~(broken & (F.col("seq") == last))).withColumn("seq", F.when(broken, F.raise_error(F.lit("broken line in the middle of the log")).cast("int")).otherwise(F.col("seq")))
+    checked = parsed.filter(~(broken & (F.col("seq") == last))).withColumn(
+        "seq", F.when(broken, F.raise_error(F.lit("broken line in the middle of the log")).cast(seq)).otherwise(F.col("seq"))
+    )
     return last_wins(checked.drop("_bad"), keys, "seq").drop("seq")
 
 
@@ -95,12 +99,15 @@ def write_swapped(df: DataFrame, path: str) -> None:
 
 
 def save_index(chunks: DataFrame, folder: str) -> int:
-    """Writes the sparse index of chunks (chunk_id, breadcrumb, content): postings, terms and statistics, with a
-    version; returns how many chunks it holds."""
+    """Writes the sparse index of chunks (chunk_id, breadcrumb, content, and source_document where it is known): postings,
+    terms and statistics, with a version; returns how many chunks it holds. Chunks of documents that have a key carry its
+    terms."""
     from lexmill.operators import bm25, citation
 
     text = F.concat_ws(" ", "breadcrumb", "content")
-    found = bm25.terms(chunks, "chunk_id", text, citation.document_terms(F.col("breadcrumb"), F.lit(None).cast("string")))
+    known = "source_document" in chunks.columns
+    key = F.try_element_at(citation.document_keys(), F.col("source_document")) if known else F.lit(None).cast("string")
+    found = bm25.terms(chunks, "chunk_id", text, citation.document_terms(F.col("breadcrumb"), key))
     write_swapped(bm25.document_weights(found, "chunk_id"), f"{folder}/postings")
     write_swapped(bm25.fit(found), f"{folder}/terms")
     write_swapped(bm25.stats(found).withColumn("version", F.lit(INDEX_VERSION)), f"{folder}/stats")

@@ -20,9 +20,31 @@ def minute_counts(events: DataFrame, user: str, ts: str, limit: int, delay: str
     return counted.select("user", F.col("window.start").alias("start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over"))
 
 
-def leaders(requests: DataFrame, key: str, ts: str, ttl: str = "60 seconds") -> DataFrame:
-    """The first request of each key within the watermark's time; followers are dropped."""
-    return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def leaders(requests: DataFrame, key: str, ts: str, tie: str, ttl_s: int = 60) -> DataFrame:
+    """(key, tie) of the requests that lead: the first of a key, and the first whose second is ttl_s or more after the
+    leader's before it, when that one's lock has expired. A key's requests in one batch of the stream are sorted together;
+    the state holds one second per key, and goes when the watermark has passed the lock."""
+    kinds = dict(requests.dtypes)
+
+    def lead(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since = state.get[0] if state.exists else None
+        out = []
+        rows = pd.concat([pdf[[ts, tie]] for pdf in batches]).sort_values([ts, tie], kind="stable")
+        for t, x in rows.itertuples(index=False):
+            second = int(t.timestamp() // 1)
+            if since is None or second - since >= ttl_s:
+                since = second
+                out.append((k[0], x))
+        state.update((since,))
+        state.setTimeoutTimestamp(max(since * 1000, state.getCurrentWatermarkMs()) + ttl_s * 1000)
+        yield pd.DataFrame(out, columns=[key, tie])
+
+    return requests.withWatermark(ts, f"{ttl_s} seconds").groupBy(key).applyInPandasWithState(
+        lead, f"{key} {kinds[key]}, {tie} {kinds[tie]}", "since long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def fold_turns(events: DataFrame, turn: str, idle: str = "10 minutes") -> DataFrame:
@@ -93,14 +115,9 @@ def cached_answers(requests: DataFrame, key: str, ts: str, ttl_s: int) -> DataFr
     )
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns the rows it gave. Rows that a stream appends go to a table beside the
-    checkpoint; complete results, one row per group, to memory."""
-    if mode == "append":
-        path = f"{checkpoint}-rows"
-        files = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-        files.trigger(availableNow=True).start(path).awaitTermination()
-        return stream.sparkSession.read.schema(stream.schema).parquet(path)
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there and returns the rows it appended, from a table beside the checkpoint."""
+    path = f"{checkpoint}-rows"
+    files = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    files.trigger(availableNow=True).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
