@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,8 +73,80 @@ def admission_load(spans: DataFrame, start: str, end: str, key: str) -> DataFram
     return per_time.select(key, "ts", F.sum("d").over(W.partitionBy(key).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)).alias("running"))
 
 
-def admit(running: Column, waiting: Column, max_running: int = 2, max_waiting: int = 6) -> Column:
-    return F.when(running < max_running, "run").when(waiting < max_waiting, "wait").otherwise("reject")
+def admissions(calls: DataFrame, bucket: str, second: str, duration: str, tie: str, max_running: int = 2, max_waiting: int = 6) -> DataFrame:
+    """(bucket, tie, decision, start) of calls in order of time: a call runs where a place is free, waits its turn where
+    fewer than max_waiting wait, and is rejected elsewhere. A rejected call takes no place; a call that waits starts when
+    the first running one ends, and places that end at a call's second are free.
+
+    What a call meets depends on all before it, so a bucket is a fold; it streams over sorted rows and holds no more than
+    the calls that run and wait.
+    """
+    kinds = dict(calls.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: list[float] = []
+        waiting: deque[tuple[object, float]] = deque()
+        current, out = None, []
+
+        def free(now: float) -> None:
+            while ends and ends[0] <= now:
+                end = heapq.heappop(ends)
+                if waiting:
+                    key, length = waiting.popleft()
+                    heapq.heappush(ends, end + length)
+                    out.append((current, key, "wait", end))
+
+        for pdf in batches:
+            for b, key, s, d in zip(pdf[bucket], pdf[tie], pdf[second], pdf[duration]):
+                if b != current:
+                    free(float("inf"))
+                    current = b
+                    ends.clear()
+                free(float(s))
+                if len(ends) < max_running:
+                    heapq.heappush(ends, float(s) + float(d))
+                    out.append((b, key, "run", float(s)))
+                elif len(waiting) < max_waiting:
+                    waiting.append((key, float(d)))
+                else:
+                    out.append((b, key, "reject", None))
+            yield pd.DataFrame(out, columns=[bucket, tie, "decision", "start"])
+            out.clear()
+        free(float("inf"))
+        yield pd.DataFrame(out, columns=[bucket, tie, "decision", "start"])
+
+    rows = calls.select(bucket, tie, second, duration).repartition(bucket).sortWithinPartitions(bucket, second, tie)
+    return rows.mapInPandas(run, f"{bucket} {kinds[bucket]}, {tie} {kinds[tie]}, decision string, start double")
+
+
+def waits_for_oldest(events: DataFrame, bucket: str, second: str, tokens: str, tie: str, max_tokens: int, max_requests: int) -> DataFrame:
+    """(bucket, tie, start): the older limiter. A request that finds a budget used up waits until the oldest entry of the
+    window has left it, once, and then starts; an empty window never waits, however large the request."""
+    kinds = dict(events.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: deque[tuple[float, int]] = deque()
+        current, clock = None, float("-inf")
+        for pdf in batches:
+            out = []
+            for b, key, s, n in zip(pdf[bucket], pdf[tie], pdf[second], pdf[tokens]):
+                if b != current:
+                    current, clock = b, float("-inf")
+                    held.clear()
+                now = max(float(s), clock)
+                while held and now - held[0][0] >= WINDOW_S:
+                    held.popleft()
+                if held and (len(held) >= max_requests or sum(x for _, x in held) + int(n) > max_tokens):
+                    now = held[0][0] + WINDOW_S
+                    while held and now - held[0][0] >= WINDOW_S:
+                        held.popleft()
+                held.append((now, int(n)))
+                clock = now
+                out.append((b, key, now))
+            yield pd.DataFrame(out, columns=[bucket, tie, "start"])
+
+    rows = events.select(bucket, tie, second, tokens).repartition(bucket).sortWithinPartitions(bucket, second, tie)
+    return rows.mapInPandas(run, f"{bucket} {kinds[bucket]}, {tie} {kinds[tie]}, start double")
 
 
 def round_robin(calls: Column, n: int) -> Column:
