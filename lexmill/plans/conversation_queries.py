@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import query_key_text
+from lexmill.functions.text import WHITE
 from lexmill.operators import conversation, throttle
 from lexmill.plans.verification_queries import A_CTE, Q_CTE, contexts, questions
 from lexmill.registry import query
@@ -141,13 +142,17 @@ def single_flight_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.single_flight(e, "k", "ts", "event_id", 3600)
 
 
+_PIECE = f"[^{WHITE[1:-1]}]+{WHITE}*"
+
+
 @query(
     "replay_pieces",
-    """WITH w AS (SELECT doc_id, i, (i - 1) // 4 AS g, words[i] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS words FROM documents WHERE doc_id % 10 = 0 AND regexp_matches(text, '^\\S'))))
+    f"""WITH p AS (SELECT doc_id, CASE WHEN regexp_full_match(text, '{WHITE}+') THEN [text] ELSE regexp_extract_all(text, '^{WHITE}*{_PIECE}|{_PIECE}') END AS words FROM documents),
+    w AS (SELECT doc_id, i, (i - 1) // 4 AS g, words[i] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM p))
     SELECT doc_id, CAST(g AS INTEGER) AS k, string_agg(w, '' ORDER BY i) AS piece FROM w GROUP BY doc_id, g""",
 )
 def replay_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of all documents, as replayed answers; the SQL covers every tenth, of those that begin with no blank."""
+    """Texts of all documents, as replayed answers."""
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(conversation.replay_pieces(F.col("text"))).alias("k", "piece"))
 
 

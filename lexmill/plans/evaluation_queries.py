@@ -414,10 +414,10 @@ def mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unit_keys",
-    "SELECT doc_id, lang || '.md#' || CAST(doc_id AS VARCHAR) AS unit_key, 'kg/' || lang || '_' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '.json' AS graph_path FROM documents WHERE doc_id < 10000",
+    "SELECT doc_id, lang || '.md#' || CAST(doc_id AS VARCHAR) AS unit_key, 'kg/' || lang || '_' || lpad(CAST(doc_id AS VARCHAR), greatest(4, length(CAST(doc_id AS VARCHAR)))::INTEGER, '0') || '.json' AS graph_path FROM documents",
 )
 def unit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids are padded to four digits and longer ones kept whole; the SQL covers ids under 10,000."""
+    """Ids are padded to four digits and longer ones kept whole."""
     number = F.col("doc_id").cast("string")
     path = F.concat(F.lit("kg/"), "lang", F.lit("_"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), F.lit(".json"))
     return read(spark, sf_dir, "documents").select("doc_id", planning.unit_key(F.concat("lang", F.lit(".md")), F.col("doc_id")).alias("unit_key"), path.alias("graph_path"))

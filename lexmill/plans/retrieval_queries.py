@@ -51,10 +51,9 @@ def bm25_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.fit(_corpus(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("bm25_term_ids", f"WITH {BM25_CTE} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM fit WHERE df > 20")
+@query("bm25_term_ids", f"WITH {BM25_CTE} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM fit")
 def bm25_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of all terms, sorted. Numbering is global, so it goes by ranges: ids within a range plus what lies before it.
-    The SQL numbers only terms of more than 20 documents."""
+    """Ids of all terms, sorted. Numbering is global, so it goes by ranges: ids within a range plus what lies before it."""
     from lexmill.operators.ranking import global_row_number
 
     return global_row_number(bm25.fit(_corpus(spark, sf_dir)).select("term"), ["term"], "term_id")
