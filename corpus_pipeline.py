@@ -4,7 +4,7 @@ contaminated documents go, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
 documents; n_chars follows the text where a stage changes it. No stage drops a row for a null or empty text as such:
 they score as clean, have no lines to lose, form one near-duplicate group with fingerprint zero, hold no window, and
-encode to no ids. Rows are told apart by an id of their own, so a doc_id that repeats doesn't multiply rows.
+encode to no ids. Where rows meet others they are told apart by an id of their own, so a doc_id that repeats doesn't multiply rows.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator predicts as clean."""
+    """Documents that the toxicity operator scores as clean. Rows are judged where they are: no id, no shuffle."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    rows, keyed = _keyed(docs)
-    toxic = toxicity.score(keyed, model).filter("predicted = 1").select(F.col("doc_id").alias(RID))
-    return rows.join(toxic, RID, "left_anti").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.filter(toxicity.scores(F.col("row")["text"], model, spark) < toxicity.CUT).select("row.*")
 
 
 def dedup_line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
