@@ -71,10 +71,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _deduped(docs: DataFrame, window: int, written: bool = False) -> DataFrame:
     """row (all columns of docs), text (what stays), lines (how many there were) and gone (places of those that went).
     The caller's columns stand inside the struct, so none of their names can clash with these."""
-    whole = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")
-    rows = numbered(docs, F.col("doc_id"), F.col("text"), whole)
+    rows = numbered(docs, F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row"))
     rows = keep(rows) if written else rows
-    joined = rows.join(repeated_windows(rows, window), RID, "left")
+    text = F.col("row")["text"]
+    joined = rows.join(repeated_windows(rows.select(RID, F.col("row")["doc_id"].alias("doc_id"), text.alias("text")), window), RID, "left")
 
     # Places that stay come from a set difference, so the work follows the lines, however many of them go.
     def left(lines: Column) -> Column:
@@ -83,8 +83,8 @@ def _deduped(docs: DataFrame, window: int, written: bool = False) -> DataFrame:
 
     return joined.select(
         "row",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(_lines(F.col("text")), left)).alias("text"),
-        F.size(_lines(F.col("text"))).cast("long").alias("lines"),
+        F.when(F.col("gone").isNull(), text).otherwise(let(_lines(text), left)).alias("text"),
+        F.size(_lines(text)).cast("long").alias("lines"),
         F.array_sort(F.coalesce(F.col("gone"), F.array().cast("array<int>"))).alias("gone"),
     )
 
