@@ -56,6 +56,8 @@ _ONE = r"(?:[^\W_]|[@$!|+€£(<¡]|(?<=\s)\*(?=\s))"
 _GAP = r"(?:[\s.\-_/]|(?<!\s)\*|\*(?!\s))+"
 #: Three or more letters, digits or signs, each alone; a star between blanks is a sign, else it sets apart.
 _APART = re.compile(rf"(?<![^\W_])(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])")
+#: What every such run has within it.
+_LONE = re.compile(r"[\s.\-_/*]\S[\s.\-_/*]+\S(?![^\W_])")
 _SPLIT = re.compile(rf"({_GAP})")
 _SIGN = re.compile(r"[0-9@$!|+€£(<*¡]")
 _INNER = re.compile(r"(?<=[^\W_])[.\-_*/](?=[^\W_])")
@@ -238,8 +240,9 @@ def restored_words(text: str | None, model: CharModel, memo: dict[str, tuple[str
     """The distinct words of a text, restored where they are disguised; memo maps written words to what they may be."""
     low = (text or "").lower()
     out = set()
-    for m in _APART.finditer(low):
-        out |= set_apart(m.group(), model)
+    if _LONE.search(low):
+        for m in _APART.finditer(low):
+            out |= set_apart(m.group(), model)
     for written in set(low.split()):
         words = memo.get(written)
         if words is None:
