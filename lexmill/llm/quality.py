@@ -179,3 +179,11 @@ WITH t AS (
 )
 SELECT *, (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 31) = 0 AS kept, 'v1' AS policy FROM b
 """
+
+#: DuckDB, for the rows of ablation(measure(documents), "v2").
+ABLATION_SQL = f"""
+WITH ledger AS ({ORACLE_SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)}) AS t(rule, bit))
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_failed_alone,
+       count(*) FILTER (failed_bits & ~bit = 0) AS n_kept_without
+FROM ledger, r GROUP BY rule
+"""

@@ -53,6 +53,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule of the strictest policy: what fails it, what fails it alone, and what stays without it."""
+    return quality.ablation(quality.measure(table(spark, sf_dir, "documents")), "v2")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -66,11 +71,13 @@ QUERIES: dict[str, Query] = {
         op8_line_windows,
         op9_language_id,
         op10_simhash,
+        quality_ablation,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE_SQL,
+    "quality_ablation": quality.ABLATION_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_windows": lines.LINES_SQL,
 }
