@@ -19,7 +19,7 @@ CASE = (
 INDEX_VERSION = 3
 
 
-def _present(spark: SparkSession, path: str) -> bool:
+def present(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
@@ -27,7 +27,7 @@ def _present(spark: SparkSession, path: str) -> bool:
 
 def read_markdown(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, stem and text of the Markdown files of a folder, in the order of the folded path; none if it is missing."""
-    if not _present(spark, folder):
+    if not present(spark, folder):
         return spark.createDataFrame([], "path string, stem string, text string")
     files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     path = F.input_file_name()
@@ -91,8 +91,8 @@ def write_swapped(df: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at(old), True)
     if fs.exists(at(path)):
+        fs.delete(at(old), True)
         fs.rename(at(path), at(old))
     fs.rename(at(fresh), at(path))
     fs.delete(at(old), True)
@@ -118,14 +118,20 @@ def spark_count(df: DataFrame) -> int:
     return df.count()
 
 
+def read_swapped(spark: SparkSession, path: str) -> DataFrame:
+    """A table that write_swapped wrote. Where a writer broke off between its two renames, the table before it."""
+    old = f"{path.rstrip('/')}.old"
+    return spark.read.parquet(path if present(spark, path) or not present(spark, old) else old)
+
+
 def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings, terms and stats; raises where they are missing or of another version."""
-    if not _present(spark, f"{folder}/stats"):
+    if not present(spark, f"{folder}/stats") and not present(spark, f"{folder}/stats.old"):
         raise FileNotFoundError(f"no index in {folder}")
-    stats = spark.read.parquet(f"{folder}/stats")
+    stats = read_swapped(spark, f"{folder}/stats")
     if (version := stats.first()["version"]) != INDEX_VERSION:
         raise ValueError(f"index version {version}, expected {INDEX_VERSION}")
-    return spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), stats
+    return read_swapped(spark, f"{folder}/postings"), read_swapped(spark, f"{folder}/terms"), stats
 
 
 def read_yaml_cases(spark: SparkSession, text: str) -> DataFrame:
