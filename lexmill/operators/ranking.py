@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import keep
+
 
 def global_running(df: DataFrame, order: list[str | Column], value: Column, name: str) -> DataFrame:
     """Running sum of value over the whole table in the given order.
@@ -16,7 +18,7 @@ def global_running(df: DataFrame, order: list[str | Column], value: Column, name
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.withColumn("__v", value).repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id())
-    kept = ranged.persist()
+    kept = keep(ranged)
     within = W.partitionBy("__p").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
     totals = kept.groupBy("__p").agg(F.sum("__v").alias("t"))
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
@@ -36,9 +38,12 @@ def global_row_number(df: DataFrame, order: list[str | Column], name: str, start
 
 def largest_remainder(df: DataFrame, keys: list[str], weight: Column, total: Column, order: list[str]) -> DataFrame:
     """Column share: total dealt in proportion to integer weights within keys, exactly; what is left over goes to the
-    largest remainders, ties in the given order."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    weighted = df.withColumn("__w", weight.cast("long")).withColumn("__t", total.cast("long")).withColumn("__s", F.sum("__w").over(w))
+    largest remainders, ties in the given order. Without keys the sums are scalars and places go by ranges."""
+    weighted = df.withColumn("__w", weight.cast("long")).withColumn("__t", total.cast("long"))
+    if not keys:
+        return _largest_remainder_of_all(keep(weighted), order)
+    w = W.partitionBy(*keys)
+    weighted = weighted.withColumn("__s", F.sum("__w").over(w))
     dealt = weighted.withColumn("__floor", F.expr("CASE WHEN __s = 0 THEN 0 ELSE (__w * __t) DIV __s END")).withColumn(
         "__rem", F.expr("CASE WHEN __s = 0 THEN 0 ELSE (__w * __t) % __s END")
     )
@@ -51,6 +56,16 @@ def largest_remainder(df: DataFrame, keys: list[str], weight: Column, total: Col
     )
 
 
+def _largest_remainder_of_all(weighted: DataFrame, order: list[str]) -> DataFrame:
+    n = weighted.agg(F.sum("__w").alias("s")).scalar()
+    dealt = weighted.withColumn("__s", n).withColumn("__floor", F.expr("CASE WHEN __s = 0 THEN 0 ELSE (__w * __t) DIV __s END")).withColumn(
+        "__rem", F.expr("CASE WHEN __s = 0 THEN 0 ELSE (__w * __t) % __s END")
+    )
+    left = F.col("__t") - dealt.agg(F.sum("__floor").alias("f")).scalar()
+    placed = global_row_number(dealt, [F.col("__rem").desc(), *order], "__place", 1)
+    return placed.withColumn("share", F.col("__floor") + F.when(F.col("__place") <= left, 1).otherwise(0)).drop("__w", "__t", "__s", "__floor", "__rem", "__place")
+
+
 def packed_groups(sizes: Column, budget: Column | int) -> Column:
     """Group number, from 0, of each size of an array when sizes are packed greedily in order: a group takes the next
     one while its sum stays within the budget, and one that is too large stands alone."""
