@@ -7,8 +7,8 @@ are merged and go. Texts with fewer than three such lines have no window and sta
 Substring dedup: texts are cut into units, lines or paragraphs of any length. A unit is normalised (lower case, words
 joined by blanks) and digested to 128 bits; digests are grouped over the whole table, the occurrence that ranks first
 stays, ranked likewise, and the others go. A passage set inside a unit has no unit of its own, so the segments of units
-that stay are digested, too, and a run of them, one after another, goes if each of them occurred before and they have
-RUN_WORDS words together. A segment is a sentence; sentences of fewer than SHORT words that follow one another make one
+that stay are digested, too, and a run of them, one after another, goes if each of them occurred before as a segment and
+they have RUN_WORDS words together. What such runs leave of a unit counts as a unit for the rest of its text. A segment is a sentence; sentences of fewer than SHORT words that follow one another make one
 segment of SHORT words or what is left of them. Spans of what was removed are places in the original text; units without
 a word stay.
 
@@ -160,8 +160,9 @@ def _norm(text: str) -> str:
     return " ".join(text.split())
 
 
-def _digest(norm: str) -> bytes:
-    return xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"))
+def _digest(norm: str, segment: bool = False) -> bytes:
+    """Units and segments are told apart: a line of one word is no copy of a sentence of one word inside a line."""
+    return xxhash.xxh3_128_digest(norm.encode("utf-8", "surrogatepass"), int(segment))
 
 
 def segments(sizes: list[int]) -> list[tuple[int, int]]:
@@ -180,7 +181,7 @@ def segments(sizes: list[int]) -> list[tuple[int, int]]:
 
 def digests(text: str, kind: str, inner: bool) -> list[bytes]:
     """The digests of a text in order, each as often as it occurs: of each unit with a word, followed by those of its
-    segments where it has several and these are wanted."""
+    segments where these are wanted."""
     out = []
     for unit in CUTS[kind].split(_lower(text)):
         norm = _norm(unit)
@@ -188,9 +189,10 @@ def digests(text: str, kind: str, inner: bool) -> list[bytes]:
             out.append(_digest(norm))
             if inner:
                 inside = _SENTENCE.split(norm)
-                places = segments([x.count(" ") + 1 for x in inside]) if len(inside) > 1 else ()
-                if len(places) > 1:
-                    out.extend(_digest(" ".join(inside[a:b])) for a, b in places)
+                if len(inside) == 1:
+                    out.append(_digest(norm, True))
+                else:
+                    out.extend(_digest(" ".join(inside[a:b]), True) for a, b in segments([x.count(" ") + 1 for x in inside]))
     return out
 
 
@@ -223,22 +225,27 @@ def removed(text: str, gone: set[bytes], kind: str, runs: int | None) -> tuple[i
         start = end - len(text[a:end].lstrip())
         found = _pieces(_SENTENCE, low, start, end)
         places = [(found[i][0], found[j - 1][1]) for i, j in segments([len(low[p:q].split()) for p, q in found])]
-        if len(places) == 1:
-            continue
         run: list[tuple[int, int]] = []
-        words = 0
+        words, cut = 0, []
         for p, q in [*places, (end, end)]:
             norm = _norm(low[p:q])
-            if norm and (y := _digest(norm)) in seen:
+            if norm and (y := _digest(norm, True)) in seen:
                 run.append((p, q))
                 words += norm.count(" ") + 1
                 continue
             if run and words >= runs:
                 n += len(run)
-                spans.append((run[0][0], run[-1][1]))
+                cut.append((run[0][0], run[-1][1]))
             run, words = [], 0
             if norm:
                 seen.add(y)
+        if cut:
+            # What is left of a unit counts as a unit from here on, and goes if it is one that occurred before.
+            edges = [start, *(x for span in cut for x in span), end]
+            left = _norm("".join(low[p:q] for p, q in zip(edges[::2], edges[1::2])))
+            x = _digest(left)
+            spans += [(a, b)] if not left or x in seen else cut
+            seen.add(x)
     merged: list[tuple[int, int]] = []
     for a, b in spans:
         if merged and merged[-1][1] == a:

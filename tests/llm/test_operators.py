@@ -311,14 +311,14 @@ def test_labels_held_twice(spark):
 
 def brute_units(texts, runs):
     """What stays of texts in order, and how many units and sentences go, by sets of plain strings."""
-    seen, out = set(), []
+    seen, known, out = set(), set(), []
     for text in texts:
-        kept, n = [], 0
+        kept, n, rests = [], 0, set()
         for line in re.findall(r"[^\n]*\n|[^\n]+", text):
             name = " ".join(line.lower().split())
             if not name:
                 kept.append(line)
-            elif name in seen:
+            elif name in seen or name in rests:
                 n += 1
             else:
                 seen.add(name)
@@ -331,14 +331,11 @@ def brute_units(texts, runs):
                     else:
                         sentences.append(s)
                 sentences = sentences[1:]
-                if len(sentences) == 1:
-                    kept.append(line)
-                    continue
                 marks = []
                 for s in sentences:
                     x = " ".join(s.lower().split())
-                    marks.append(x in seen)
-                    seen.add(x)
+                    marks.append(x in known)
+                    known.add(x)
                 left = ""
                 for gone, group in itertools.groupby(zip(marks, sentences), key=lambda p: p[0]):
                     group = [s for _, s in group]
@@ -346,6 +343,11 @@ def brute_units(texts, runs):
                         n += len(group)
                     else:
                         left += "".join(group)
+                rest = " ".join(left.lower().split())
+                if left != body:
+                    if not rest or rest in seen or rest in rests:
+                        continue
+                    rests.add(rest)
                 kept.append(line[:at] + left + line[at + len(body) :])
         out.append(("".join(kept), n))
     return out
@@ -370,6 +372,12 @@ def test_units_against_brute_force(spark, docs, runs):
         assert "".join(left) + (r.text or "")[at:] == text
 
 
+def test_a_short_line_is_no_copy_of_a_sentence(spark):
+    rows = [(1, "One here. And. Another there."), (2, "And.\nYes."), (3, "Yes. And so on.\nand.")]
+    got = {r.doc_id: r.text for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "Yes. And so on.\n"}
+
+
 def test_paragraphs(spark):
     rows = [(1, "One line\nand two.\n\nAnother.\n"), (2, "Fresh.\n \none  LINE\nand two.\n\n\nAnother. Not")]
     got = {r.doc_id: r for r in lines.dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), kind="paragraph", runs=None).collect()}
