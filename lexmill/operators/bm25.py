@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
+from lexmill.sources.shared import keep
 
 K1, B = 1.2, 0.75
 
@@ -58,6 +59,16 @@ def document_weights(found: DataFrame, key: str, k1: float = K1, b: float = B, o
     return term_counts(found, key, only).select(key, "term", weight.alias("weight"))
 
 
+def index_of(found: DataFrame, key: str, only: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fit() and document_weights() of the wanted terms, from counts and statistics that are written first: texts are
+    tokenised once for each, and the counts hold wanted terms only."""
+    counts, one = keep(term_counts(found, key, only)), keep(stats(found))
+    n, avgdl = one.select("n_docs").scalar(), one.select("avgdl").scalar()
+    fitted = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return fitted, counts.select(key, "term", weight.alias("weight"))
+
+
 def query_weights(queries: DataFrame, key: str, fitted: DataFrame) -> DataFrame:
     """(key, term, weight): idf of each distinct known term."""
     return queries.select(key, F.explode(F.array_distinct("terms")).alias("term")).join(

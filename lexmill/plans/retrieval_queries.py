@@ -37,7 +37,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score
 def sparse_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     corpus, asked = _corpus(spark, sf_dir), _questions(spark, sf_dir)
     wanted = asked.select(F.explode("terms").alias("term"))
-    fitted, weights = bm25.fit(corpus, wanted), bm25.document_weights(corpus, "doc_id", only=wanted)
+    fitted, weights = bm25.index_of(corpus, "doc_id", wanted)
     return bm25.search(weights, "doc_id", bm25.query_weights(asked, "item_id", fitted), "item_id", k)
 
 
