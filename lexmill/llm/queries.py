@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, lines, quality, simhash, suffixes, toxicity
+from . import bpe, decontaminate, langid, licenses, lines, merkle, quality, simhash, suffixes, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the strictest policy: what fails it, what fails it alone, and what stays without it."""
     return quality.ablation(quality.measure(table(spark, sf_dir, "documents")), "v2")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op8_line_windows,
         op9_language_id,
         op10_simhash,
+        op11_merkle_manifest,
         quality_ablation,
     )
 }
@@ -80,4 +85,5 @@ ORACLES: dict[str, str] = {
     "quality_ablation": quality.ABLATION_SQL,
     "op4_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_windows": lines.LINES_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
