@@ -105,6 +105,18 @@ def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
     return rows if _from_files(docs) else keep(rows)
 
 
+def labelled(labels: DataFrame, name: str, held_out: Callable[[Column], Column]) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id and the label `name`, 0 or 1, of each labelled row that isn't held out, and how many rows have each label.
+    A doc_id counts once, and not at all if it has both labels."""
+    marked = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).cast("int").alias(name))
+        .filter(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1) & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min(name).alias(name), F.max(name).alias("other")).filter(F.col(name) == F.col("other")).drop("other")
+    )
+    marked = keep(marked)
+    return marked, {r[name]: r["n"] for r in marked.groupBy(name).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, lines, merkle, quality, simhash, suffixes, toxicity
+from . import boosting, bpe, decontaminate, langid, licenses, lines, merkle, quality, simhash, suffixes, toxicity, variants
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each rule of the strictest policy: what fails it, what fails it alone, and what stays without it."""
     return quality.ablation(quality.measure(table(spark, sf_dir, "documents")), "v2")
@@ -76,6 +84,8 @@ QUERIES: dict[str, Query] = {
         op9_language_id,
         op10_simhash,
         op11_merkle_manifest,
+        op12_quality_classifier,
+        op13_spelling_variants,
         quality_ablation,
     )
 }
@@ -86,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE_SQL,
     "op8_line_windows": lines.LINES_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_spelling_variants": variants.ORACLE_SQL,
 }
