@@ -57,6 +57,8 @@ FAMILIES = frozenset(
     ogl ogl-uk openssl osl pddl php postgresql psf python qpl ruby sgi-b sissl sleepycat spl unicode unicode-dfs unlicense
     upl vim w3c wtfpl x11 xnet zlib zpl""".split()
 )
+#: SPDX identifiers of exceptions that don't hold the word exception.
+EXCEPTIONS = frozenset(("gpl-cc-1.0", "linux-syscall-note", "llgpl", "shl-2.0", "shl-2.1"))
 TAGS = ("spdx license identifier", "license expression")
 
 #: How freely a family may be used, from 0 (not at all) to 1; unknown identifiers take the middle.
@@ -93,9 +95,11 @@ def family(identifier: str) -> str | None:
 
 
 def tokenize(text: str, start: int = 0) -> tuple[list[str], bool]:
-    """The longest well-formed run of expression tokens from start on its line, operators in lower case, and whether the
-    first token is a word that is no identifier."""
+    """The longest well-formed run of expression tokens from start on its line, operators in lower case, and whether a
+    word stands in it where an operand should, and is neither an identifier nor, behind WITH, an exception. Behind WITH
+    such a word with a digit or a hyphen is taken for an exception nobody knows, and the expression goes on behind it."""
     found: list[str] = []
+    unknown = False
     depth = whole = 0
     operand_next, at = True, start
     while m := _TOKEN.match(text, at):
@@ -107,10 +111,13 @@ def tokenize(text: str, start: int = 0) -> tuple[list[str], bool]:
             elif low in PRECEDENCE or low == ")":
                 break
             elif found and found[-1] == "with":
-                if "exception" not in low:  # what WITH names is an exception, never a licence
-                    break
+                # What WITH names is an exception, never a licence.
+                if "exception" not in low and low not in EXCEPTIONS:
+                    if not re.search(r"[\d\-]", low):
+                        break
+                    unknown = True
             elif family(word) is None:
-                return found[:whole], not found
+                return found[:whole], unknown or not found
             found.append(word or low)
             operand_next = low == "("
         elif low in PRECEDENCE:
@@ -124,7 +131,7 @@ def tokenize(text: str, start: int = 0) -> tuple[list[str], bool]:
         if not operand_next and not depth:
             whole = len(found)
         at = m.end()
-    return found[:whole], False
+    return found[:whole], unknown
 
 
 def to_postfix(tokens: list[str]) -> list[str]:

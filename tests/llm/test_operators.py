@@ -143,6 +143,10 @@ def test_expressions():
         ("SPDX-License-Identifier: MIT/Apache-2.0", "apache,mit", 0),
         ("SPDX-License-Identifier: not-a-license", "", 1),
         ("license-expression = 'BSD-2-Clause'", "bsd", 0),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT", "gpl,mit", 0),
+        ("SPDX-License-Identifier: GPL-3.0-only WITH Own-note-1 AND MIT", "gpl,mit", 1),
+        ("SPDX-License-Identifier: (LGPL-2.1+ WITH SHL-2.1) AND (MIT OR GPL-2.0 WITH GPL-CC-1.0) ends", "gpl,lgpl,mit", 0),
+        ("SPDX-License-Identifier: GPL-2.0 with thanks to all", "gpl", 0),
         ("SPDX-License-Identifier: LicenseRef-Own", "licenseref-own", 0),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of", "mit", 0),
         ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", 0),
@@ -183,7 +187,7 @@ def brute_or(tokens):
     if len(tokens) == 1:
         label = licenses.family(tokens[0]) if tokens[0].lower() not in licenses.PRECEDENCE else None
         return None if label is None else {label}
-    if len(tokens) > 2 and tokens[-2].lower() == "with" and "exception" in tokens[-1].lower():
+    if len(tokens) > 2 and tokens[-2].lower() == "with" and ("exception" in tokens[-1].lower() or re.search(r"[0-9-]", tokens[-1]) or tokens[-1].lower() == "llgpl"):
         return brute_or(tokens[:-2])
     if tokens[0] == "(" and tokens[-1] == ")" and (inside := brute_or(tokens[1:-1])) is not None:
         return inside
@@ -197,7 +201,7 @@ def brute_or(tokens):
 
 def test_labels_against_brute_force(docs):
     random.seed(7)
-    pieces = ["MIT", "Apache-2.0", "or", "AND", "(", ")", "/", "with", "Classpath-exception-2.0", "GPL-2.0+", "nonsense", "CC0-1.0.", "LicenseRef-x"]
+    pieces = ["Linux-syscall-note", "SHL-2.1", "MIT", "Apache-2.0", "or", "AND", "(", ")", "/", "with", "Classpath-exception-2.0", "GPL-2.0+", "nonsense", "CC0-1.0.", "LicenseRef-x"]
     made = [f"x SPDX-License-Identifier: {' '.join(random.choices(pieces, k=random.randint(1, 7)))}" for _ in range(400)]
     for text in made + [r.text for r in docs.collect()]:
         assert licenses.scan(text)[5] == brute_labels(text), text
