@@ -7,10 +7,10 @@ a character trigram model whose counts come from every text of the corpus, and a
 A word whose only sign of disguise is a doubled letter counts as written and as restored.
 
 The linear model is logistic with an L1 penalty over hashed words and word beginnings, fitted on a bounded sample of
-labelled rows: SAMPLE_ROWS of each label, in the order of a hash of their ids, weighted back to the true shares, and of
-each row the SAMPLE_FEATURES of smallest hash. Labels are learned only from rows whose crc32(doc_id as text) mod 5 is not
-0. A doc_id that labels hold several times counts once; one with both labels teaches nothing; of several texts with one
-doc_id the smallest teaches.
+labelled rows: of each label, in the order of a hash of their ids, the first SAMPLE_ROWS, and of these as many as have
+SAMPLE_FEATURES features in all, each with all it has, as when it is scored; weighted back to the true shares. Labels are
+learned only from rows whose crc32(doc_id as text) mod 5 is not 0. A doc_id that labels hold several times counts once;
+one with both labels teaches nothing; of several texts with one doc_id the smallest teaches.
 
 Null and empty texts get the score of a text without evidence. Without a single toxic and a single clean labelled row
 nothing is learned, and every score is 0. Rows are scored alone: ties and repeated rows change nothing.
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, labelled
 
-SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 2_048
+SAMPLE_ROWS, SAMPLE_FEATURES = 4_000, 6_000_000
 BUCKETS = 1 << 18
 PENALTY, ROUNDS = 2e-4, 150
 #: The least score of a text that counts as toxic.
@@ -328,42 +329,46 @@ class Model:
         self.counts, self.weights, self.bias = counts.tobytes(), weights, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of a corpus and its labels; labels has doc_id and toxic."""
-    counts = trigram_counts(docs)
-    given = docs.sparkSession.sparkContext.broadcast(counts.tobytes())
-    marked = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").drop("other")
-    )
-    marked = keep(marked)
-    n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def sample(docs: DataFrame, labels: DataFrame, given, rows: int = SAMPLE_ROWS, features_in_all: int = SAMPLE_FEATURES) -> tuple[list[tuple[np.ndarray, int]], dict[int, int]]:
+    """Features and label of each row that teaches, in the order of doc_id, and how many rows have each label; given:
+    the broadcast counts of trigrams. A row is taken whole or not at all; the first of a label is always taken."""
+    marked, n = labelled(labels, "toxic", held_out)
     if len(n) < 2:
-        return Model(counts, None, 0.0)
+        return [], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _char_model(given.value)
         for batch in batches:
-            rows = [sorted(b for w in restored_words(t, model, model.memo) for b in features(w))[:SAMPLE_FEATURES] for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
+            found = [sorted(b for w in restored_words(t, model, model.memo) for b in features(w)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "found"])
 
-    picked = [marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for label in (0, 1)]
-    got = (
+    picked = [marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for label in (0, 1)]
+    found = keep(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * SAMPLE_ROWS rows of two numbers at most
+        .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * rows rows of two numbers at most
         .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
         .mapInArrow(run, "doc_id long, toxic int, found array<int>")
-        .toArrow()
     )
-    rows = []
+    # Sizes only, of 2 * rows rows at most; the rows that go over the bound are never collected.
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = found.select("doc_id", "toxic", F.size("found").cast("long").alias("size"))
+    wanted = sizes.withColumn("sum", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("k", F.row_number().over(order))
+    wanted = wanted.filter((F.col("sum") <= features_in_all) | (F.col("k") == 1)).select("doc_id")
+    got = found.join(F.broadcast(wanted), "doc_id", "left_semi").toArrow()
+    taught = []
     for batch in got.to_batches():
         # Slices of one array per batch: no Python number per feature.
-        found = batch.column("found")
-        ends = found.offsets.to_numpy() - found.offsets[0].as_py()
-        parts = np.split(found.flatten().to_numpy(), ends[1:-1]) if len(found) else []
-        rows += zip(batch.column("doc_id").to_pylist(), parts, batch.column("toxic").to_pylist(), strict=True)
-    rows = [(part, label) for _, part, label in sorted(rows, key=lambda r: r[0])]
+        column = batch.column("found")
+        ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+        parts = np.split(column.flatten().to_numpy(), ends[1:-1]) if len(column) else []
+        taught += zip(batch.column("doc_id").to_pylist(), parts, batch.column("toxic").to_pylist(), strict=True)
+    return [(part, label) for _, part, label in sorted(taught, key=lambda r: r[0])], n
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of a corpus and its labels; labels has doc_id and toxic."""
+    counts = trigram_counts(docs)
+    rows, n = sample(docs, labels, docs.sparkSession.sparkContext.broadcast(counts.tobytes()))
     if len({label for _, label in rows}) < 2:
         return Model(counts, None, 0.0)
     weights, bias = fit(rows, (n[0], n[1]))
