@@ -1,6 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton over a bounded sample of its labelled texts. A text is parsed against each
+Each language has a suffix automaton over a bounded sample of its labelled texts: the beginnings, of equal length, of the
+first SAMPLE_DOCS of them in the order of a hash of their ids. The LANGUAGES that most documents are labelled with take
+part (ties: the smallest name), so what the driver collects and what a worker holds is bounded, whatever lang holds. A text is parsed against each
 automaton into longest matches; phrases per letter, times the bits that point into the sample, estimate the cross
 entropy, and the language that needs the fewest normalised phrases wins (ties: the smallest name).
 
@@ -11,8 +13,8 @@ ways are followed until they meet, and the difference in phrases is settled. A t
 segment is parsed letter by letter. So the count is that of one parse from the first letter to the last.
 
 Every Python worker builds the automata from the broadcast samples once, each over the alphabet of its own sample: as a
-table of states and letters up to DENSE numbers (16 MB), else as a sorted list of its transitions, which a sample of
-SAMPLE_CHARS characters bounds.
+table of states and letters up to DENSE numbers (16 MB) and its share of DENSE_IN_ALL, else as a sorted list of its
+transitions, which a sample of SAMPLE_CHARS characters bounds.
 
 Null texts and texts without a letter are `und` with score 0, and so is everything where no row is labelled. Rows with
 null lang teach nothing but are predicted. Repeated rows give repeated results.
@@ -30,37 +32,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What the automaton of one language is fitted on at most: so many documents, in the order of a hash of their ids, and
-#: so many characters of them.
+#: What the automaton of one language is fitted on at most: so many documents, and so many characters of them, in equal
+#: shares; and so many languages.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 32_768
+LANGUAGES = 64
 #: Letters of a segment, and letters of texts that are laid side by side.
 SEGMENT = 512
 SLICE_CHARS = 1_500_000
-#: Numbers of a table of transitions at most.
-DENSE = 4 << 20
+#: Numbers of a table of transitions at most, and of all tables together.
+DENSE, DENSE_IN_ALL = 4 << 20, 32 << 20
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame) -> dict[str, str]:
-    """Labelled text of each language, within the bounds above; collected by the driver."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+def sample(docs: DataFrame, languages: int = LANGUAGES, n: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Labelled text of each language, within the bounds above; the driver collects nothing that isn't used."""
+    learned = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    common = learned.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    order = W.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = (
-        docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("lang", "doc_id", "text")
+        learned.filter(F.col("text").isNotNull())
+        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, max(1, chars // n)).alias("text"))
+        .join(F.broadcast(common.select("lang")), "lang")  # languages rows at most
         .withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= SAMPLE_DOCS)
-        .select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .filter(F.col("k") <= n)
+        .select("lang", "k", "text")
         .collect()
     )
-    found: dict[str, str] = {}
+    found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
-        if len(found.get(r["lang"], "")) < SAMPLE_CHARS:
-            found[r["lang"]] = (found.get(r["lang"], "") + "\n" + r["text"])[:SAMPLE_CHARS]
-    return found
+        found.setdefault(r["lang"], []).append(r["text"])
+    return {lang: "\n".join(texts)[:chars] for lang, texts in found.items()}
 
 
 @functools.cache
@@ -121,7 +126,7 @@ class Automaton:
     with begins one, too, and a letter that the sample lacks leads back to state 0.
     """
 
-    def __init__(self, folded: np.ndarray):
+    def __init__(self, folded: np.ndarray, dense: int | None = None):
         self.letters = np.unique(folded)
         moves = suffix_automaton((np.searchsorted(self.letters, folded) + 1).tolist())
         #: One symbol for each letter of the sample, and 0 for all others.
@@ -131,7 +136,7 @@ class Automaton:
         for s, to in moves[0].items():
             self.begin[s] = to
         self.table = self.keys = None
-        if len(moves) * self.width <= DENSE:
+        if len(moves) * self.width <= (DENSE if dense is None else dense):
             # Where a phrase begins, the next state stands as its complement, and so below zero.
             self.table = np.tile(~self.begin, (len(moves), 1))
             for k, row in enumerate(moves[1:], 1):
@@ -181,7 +186,7 @@ class Model:
     def __init__(self, texts: dict[str, str]):
         folded = {n: fold(texts[n]) for n in sorted(texts)}
         self.names = [n for n, f in folded.items() if f.size]
-        self.automata = [Automaton(folded[n]) for n in self.names]
+        self.automata = [Automaton(folded[n], min(DENSE, DENSE_IN_ALL // len(self.names))) for n in self.names]
 
     def phrases(self, texts: list[np.ndarray], segment: int = SEGMENT) -> np.ndarray:
         """Phrases of each folded text (row) against each language (column)."""
