@@ -182,18 +182,19 @@ def components(edges: DataFrame) -> DataFrame:
         return df.select(F.col("a").alias("u"), F.col("b").alias("v")).union(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     def smallest(df: DataFrame) -> DataFrame:
-        return df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
 
     now = keep(edges.mapInArrow(forest, "a long, b long"))
     before = None
     while True:
         # Large star: every neighbour above u moves to the smallest node near u.
+        # A root has as many neighbours as its component has nodes; its rows stay where they are.
         around = both(now)
-        large = around.join(smallest(around), "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = join_counted(around, keep(smallest(around)), ["u"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         # Small star: u and its neighbours below it move to the smallest of them.
-        down = large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        least = smallest(down)
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        down = keep(large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        least = keep(smallest(down))
+        small = join_counted(down, least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = keep(small.filter("a <> b").distinct())
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(after) == before:
