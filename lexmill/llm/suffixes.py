@@ -34,13 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, hold, join_counted, numbered
+from .common import HOT, RID, hold, join_counted, keep, numbered
 
 LENGTH, GRAM = 200, 40
 #: Different contexts that are sorted in one go.
 BLOCK = 2048
 #: Bytes that multikey quicksort looks at before the blind tries take over.
 SHALLOW = 16
+#: Parts that the rows of a hot anchor are dealt into.
+SALTS = 64
 #: Strings of a text that are digested in one go.
 PIECE = 1 << 20
 
@@ -381,13 +383,21 @@ def _sorted_blocks(found: DataFrame) -> DataFrame:
     )
 
 
+def _of_keys(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows whose key is among often (key and n, a row a key), and a column salt. Rows are made once and are many, so
+    those of a hot key, of which there are HOT at most, are salted rather than read a second time."""
+    total = often.agg(F.sum("n")).first()[0] or 0
+    hot = often.filter(F.col("n") * HOT > F.lit(total)).select("key", F.lit(True).alias("hot"))
+    parts = F.array(*[F.lit(k) for k in range(SALTS)])
+    sides = often.join(F.broadcast(hot), "key", "left").select("key", F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit(0)))).alias("salt"))
+    dealt = F.when(F.col("hot"), F.pmod(F.xxhash64(RID, "spot"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return rows.join(F.broadcast(hot), "key", "left").withColumn("salt", dealt).drop("hot").join(sides, ["key", "salt"])
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RID and spans (start and end, in bytes, unordered) of what is repeated; docs has RID, doc_id and text."""
-    # Dealt without a key before it is held, so that both sides of the join are dealt for it, and the rows of an anchor
-    # that very many texts share can be split.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = hold(anchors(docs).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key").repartition(parts))
-    found = hold(contexts(docs).join(often, "key"))
+    often = keep(anchors(docs).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
+    found = hold(_of_keys(contexts(docs), often).drop("salt"))
     distinct = hold(found.groupBy("key", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "spot")).alias("one")))
     several = hold(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     mixed = join_counted(distinct, several, ["key"], "m").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
@@ -410,7 +420,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     spans = hold(alone.unionByName(copied).groupBy(RID).agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     spans.count()
-    for held in (ordered, several, distinct, found, often):
+    for held in (ordered, several, distinct, found):
         held.unpersist()
     return spans
 
