@@ -8,17 +8,41 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import let
 
-_B, _E = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
-CITATION = "[\\[【](\\d+)[\\]】]"
-NUMBER = f"{_B}(?:\\d{{1,3}}(?:[.,\\s]\\d{{3}})+|\\d+(?:[.,]\\d+)?){_E}"
-#: Units that make a number one to be proven.
-UNIT = f"(?:%|phần\\s+trăm{_E}|(?:triệu|nghìn|ngàn|tỷ){_E}(?:\\s*(?:đồng|vnđ|vnd){_E})?|(?:đồng|vnđ|vnd|ngày|tháng|năm|giờ|tuổi){_E})"
+#: The brackets of a citation, the signs between groups of digits, and the words after a number that make
+#: it one to be proven.
+OPEN, CLOSE = ("[", "【"), ("]", "】")
+DECIMAL, GROUP = (".", ","), (".", ",", " ", "\t", "\n", "\x0b", "\f", "\r")
+UNITS = ("%", "triệu", "nghìn", "ngàn", "tỷ", "đồng", "vnđ", "vnd", "ngày", "tháng", "năm", "giờ", "tuổi")
+PERCENT = ("phần", "trăm")
 MAX_CHUNKS = 5
 
 
+def _parts(text: Column) -> Column:
+    """struct(t, gap): the runs of digits that are words of their own, and what stands before, between and behind them."""
+    alone = "(?<![\\p{L}\\p{N}_])[0-9]+(?![\\p{L}\\p{N}_])"
+    return F.struct(F.regexp_extract_all(text, F.lit(alone), F.lit(0)).alias("t"), F.split(text, alone).alias("gap"))
+
+
+def _bracketed(parts: Column) -> Column:
+    """Of each run of digits, whether it is the number of a citation: nothing but brackets beside it."""
+    gap = lambda i: F.get(parts["gap"], i)
+    return F.transform(parts["t"], lambda x, i: F.right(gap(i), F.lit(1)).isin(*OPEN) & F.left(gap(i + 1), F.lit(1)).isin(*CLOSE))
+
+
 def cited(text: Column) -> Column:
     """Numbers of citations in order, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(1)), lambda n: n.cast("int")))
+    found = let(_parts(text), lambda p: let(_bracketed(p), lambda mark: F.filter(p["t"], lambda x, i: F.get(mark, i))))
+    return F.when(text.isNotNull(), F.array_distinct(F.transform(found, lambda n: n.try_cast("int"))))
+
+
+def _without_citations(text: Column) -> Column:
+    def rest(parts: Column, mark: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(mark, i), F.lit(False))
+        left = lambda g, i: F.when(at(i - 1), F.substr(g, F.lit(2))).otherwise(g)
+        bare = F.transform(parts["gap"], lambda g, i: let(left(g, i), lambda x: F.when(at(i), F.left(x, F.length(x) - 1)).otherwise(x)))
+        return F.array_join(F.zip_with(bare, F.transform(parts["t"], lambda x, i: F.when(at(i), "").otherwise(x)), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+
+    return F.when(text.rlike("[\\[【]"), let(_parts(text), lambda p: let(_bracketed(p), lambda mark: rest(p, mark)))).otherwise(text)
 
 
 def citations(answers: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
@@ -27,13 +51,36 @@ def citations(answers: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
     return rows.join(contexts.select(key, F.col("rank").alias("n"), "chunk_id"), [key, "n"], "left").withColumn("valid", F.col("chunk_id").isNotNull())
 
 
-def bare_number(value: Column) -> Column:
-    return F.regexp_replace(value, "[.,\\s]", "")
+def _scanned(parts: Column) -> Column:
+    """array of struct(value, bare, at): the numbers of a text, without separators, and the place of their last digits.
+
+    A number of three digits or fewer goes on over groups of exactly three digits, one sign between each; any other goes
+    on behind a point or comma once.
+    """
+    number = lambda value, bare, at, more: F.struct(value.alias("value"), bare.alias("bare"), at.alias("at"), more.alias("more"))
+    none = number(F.lit(""), F.lit(""), F.lit(-9), F.lit("no"))
+
+    def step(s: Column, x: Column) -> Column:
+        # more: what a number may still take; "any" after its first digits, "group" after a group, "no" after a fraction.
+        last = s["last"]
+        grouped = (F.length(x["t"]) == 3) & x["sign"].isin(*GROUP) & ((last["more"] == "group") | ((last["more"] == "any") & (F.length(last["bare"]) <= 3)))
+        fraction = (last["more"] == "any") & x["sign"].isin(*DECIMAL)
+        longer = lambda more: number(F.concat(last["value"], x["sign"], x["t"]), F.concat(last["bare"], x["t"]), x["at"], F.lit(more))
+        done = lambda value: F.struct(value.alias("last"), s["found"].alias("found"))
+        begun = F.struct(number(x["t"], x["t"], x["at"], F.lit("any")).alias("last"), F.when(last["at"] >= 0, F.concat(s["found"], F.array(last))).otherwise(s["found"]).alias("found"))
+        return F.when(grouped, done(longer("group"))).when(fraction, done(longer("no"))).otherwise(begun)
+
+    start = F.struct(none.alias("last"), F.filter(F.array(none), lambda x: F.lit(False)).alias("found"))
+    close = lambda s: F.when(s["last"]["at"] >= 0, F.concat(s["found"], F.array(s["last"]))).otherwise(s["found"])
+    marked = F.transform(parts["t"], lambda x, i: F.struct(x.alias("t"), i.alias("at"), F.when(i > 0, F.get(parts["gap"], i)).otherwise("").alias("sign")))
+    # Most texts have no two runs of digits with one sign between, and need no fold.
+    plain = F.transform(parts["t"], lambda x, i: number(x, x, i, F.lit("any")))
+    return F.when(F.exists(parts["gap"], lambda g: g.isin(*GROUP)), F.aggregate(marked, start, step, close)).otherwise(plain)
 
 
 def numbers(text: Column) -> Column:
     """Numbers of a text without their separators, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?iu)({NUMBER})"), F.lit(1)), bare_number))
+    return F.when(text.isNotNull(), F.array_distinct(F.transform(let(_parts(text), _scanned), lambda x: x["bare"])))
 
 
 def unverified(answer: Column, evidence: Column) -> Column:
@@ -43,18 +90,21 @@ def unverified(answer: Column, evidence: Column) -> Column:
     evidence: array of texts, the question among them.
     """
     known = F.flatten(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), numbers))
-    plain = F.regexp_replace(answer, CITATION, "")
-    found = F.regexp_extract_all(plain, F.lit(f"(?iu)({NUMBER}(?:\\s*{UNIT}|\\.)?)"), F.lit(1))
-    values = F.transform(
-        found,
-        lambda x: F.struct(
-            F.regexp_extract(x, f"(?iu)^({NUMBER})", 1).alias("value"),
-            x.rlike(f"(?iu){UNIT}$").alias("sensitive"),
-            x.endswith(".").alias("stopped"),
-        ),
-    )
-    bared = F.transform(values, lambda v: F.struct(bare_number(v["value"]).alias("bare"), v["value"], v["sensitive"], v["stopped"]))
-    fresh = let(known, lambda k: F.filter(bared, lambda v: ~F.array_contains(k, v["bare"])))
+    plain = _without_citations(answer)
+
+    def judged(text: Column) -> Column:
+        """The numbers with what stands behind them: a unit, blanks before it or none, or a stop."""
+
+        def behind(parts: Column, x: Column) -> Column:
+            rest = F.get(parts["gap"], x["at"] + 1)
+            words = F.split(F.lower(F.ltrim(rest, F.lit("".join(GROUP[2:])))), "(?<=%)|(?<![\\p{L}\\p{N}_])|(?![\\p{L}\\p{N}_])", 2)
+            first = F.get(words, F.lit(0))
+            unit = first.isin(*UNITS) | ((first == PERCENT[0]) & F.get(words, F.lit(1)).rlike(f"^\\s+{PERCENT[1]}(?![\\p{{L}}\\p{{N}}_])"))
+            return F.struct(x["bare"].alias("bare"), x["value"].alias("value"), unit.alias("sensitive"), rest.startswith(".").alias("stopped"))
+
+        return let(_parts(text), lambda p: F.transform(_scanned(p), lambda x: behind(p, x)))
+
+    fresh = let(known, lambda k: F.filter(let(plain, judged), lambda v: ~F.array_contains(k, v["bare"])))
 
     def first(found: Column) -> Column:
         return let(
