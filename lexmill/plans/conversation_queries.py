@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import query_key_text
 from lexmill.functions.text import WHITE
-from lexmill.operators import conversation, throttle
+from lexmill.operators import conversation, throttle, turn_order
 from lexmill.plans.verification_queries import A_CTE, Q_CTE, contexts, questions
 from lexmill.registry import query
 from lexmill.sources.tables import read
@@ -290,3 +290,64 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttle.token_totals(read(spark, sf_dir, "events").selectExpr("event_id % 9 AS client", "event_id", "event_id % 900 AS tokens"), "client", "event_id", 500)
+
+
+# Turns: an event asks one of a hundred questions, at a hundredth of its time; some are refused, fail, or find nothing.
+TURNS = """SELECT event_id AS turn, user_id % 100 AS k, {second} AS asked, event_id % 71 AS took, event_id % 13 = 0 AS failed, event_id % 11 AS n_chunks,
+  CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 17 AS DOUBLE) - 8 END AS best, event_id % 3 > 0 AS keeps, CASE event_type WHEN 'error' THEN 'out_of_scope' WHEN 'view' THEN 'unsafe' END AS verdict,
+  CASE WHEN event_id % 2 = 0 THEN 'Xin chào!' ELSE 'lương tối thiểu là bao nhiêu' END AS text FROM {table}"""
+TURN_LIMITS = turn_order.Limits(answers=120, retrievals=400)
+
+
+def asked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "events").createOrReplaceTempView("lexmill_events")
+    rows = spark.sql(TURNS.format(second="unix_timestamp(CAST(ts AS TIMESTAMP)) DIV 100", table="lexmill_events"))
+    return rows.withColumn("relevant", turn_order.relevant(F.col("n_chunks"), F.col("best")))
+
+
+TURN_SQL = f"""
+WITH RECURSIVE t AS ({TURNS.format(second="CAST(epoch(date_trunc('second', ts)) AS BIGINT) // 100", table="events")}),
+seen AS (SELECT *, CASE WHEN verdict = 'unsafe' THEN 'unsafe' WHEN verdict = 'out_of_scope' AND turn % 2 = 0 THEN 'out_of_scope' ELSE 'allow' END AS scoped,
+  n_chunks > 0 AND coalesce(best >= -6.8, true) AS relevant FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY asked, turn) AS i FROM seen WHERE scoped = 'allow'),
+f AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS turn, '' AS role, '' AS cache, '' AS outcome, CAST(0 AS BIGINT) AS decided,
+    CAST(NULL AS BIGINT) AS ended, false AS good, CAST(-1000000 AS BIGINT) AS leads, CAST(-1 AS BIGINT) AS kept FROM (SELECT DISTINCT k FROM o)
+  UNION ALL
+  SELECT k, i, turn, role, CASE WHEN served THEN 'answer_hit' WHEN found THEN 'retrieval_hit' ELSE 'miss' END, outcome, CASE WHEN served THEN greatest(asked, ended) ELSE start END,
+    CASE WHEN role = 'leader' THEN fin ELSE ended END, CASE WHEN role = 'leader' THEN fine ELSE good END,
+    CASE WHEN role <> 'leader' THEN leads WHEN fine THEN fin + 120 ELSE fin - 45 END,
+    CASE WHEN NOT served AND NOT found AND outcome = 'answered' THEN start + 400 ELSE kept END
+  FROM (SELECT *, start + least(runs, 60) AS fin, outcome = 'answered' AND keeps AND runs <= 60 AS fine
+    FROM (SELECT *, CASE WHEN outcome = 'answered' THEN took ELSE 0 END AS runs
+      FROM (SELECT *, CASE WHEN served OR found THEN 'answered' WHEN failed THEN 'retrieval_error' WHEN relevant THEN 'answered' ELSE 'no_context' END AS outcome
+        FROM (SELECT *, start < kept AS found, CASE WHEN served THEN 'follower' WHEN follows THEN 'alone' ELSE 'leader' END AS role
+          FROM (SELECT *, CASE WHEN follows THEN asked + 45 ELSE greatest(asked, coalesce(ended, asked)) END AS start, follows AND good AND asked + 45 >= ended AS served
+            FROM (SELECT o.*, f.ended, f.good, f.leads, f.kept, f.ended IS NOT NULL AND o.asked < f.leads AS follows FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1)))))))
+"""
+
+
+@query(
+    "turn_order",
+    f"{TURN_SQL} SELECT k, turn, role, cache, outcome, decided FROM f WHERE i > 0 UNION ALL SELECT k, turn, 'refused', 'miss', scoped, asked FROM seen WHERE scoped <> 'allow'",
+)
+def turn_order_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each turn: refused by the guard, served by the cache or by the flight it follows, or produced."""
+    allowed, refused = turn_order.guarded(asked_turns(spark, sf_dir), F.col("verdict"), F.col("text"))
+    gone = refused.select("k", "turn", F.lit("refused").alias("role"), F.lit("miss").alias("cache"), F.col("verdict").alias("outcome"), F.col("asked").alias("decided"))
+    return turn_order.fates(allowed, "k", "turn", TURN_LIMITS).unionByName(gone)
+
+
+@query(
+    "flight_followers",
+    f"{TURN_SQL} SELECT k, count(*) FILTER (role = 'leader') AS n_leaders, count(*) FILTER (role = 'follower') AS n_served, count(*) FILTER (role = 'alone') AS n_alone, CAST(sum(decided - asked) FILTER (role <> 'leader') AS BIGINT) AS waited, count(*) FILTER (role = 'leader' AND decided > asked) AS n_takeovers FROM f JOIN o USING (k, turn) GROUP BY k",
+)
+def flight_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each question: who led, took over, was served while waiting, ran alone, and how long they waited in all."""
+    allowed, _ = turn_order.guarded(asked_turns(spark, sf_dir), F.col("verdict"), F.col("text"))
+    found = turn_order.fates(allowed, "k", "turn", TURN_LIMITS).join(allowed.select("k", "turn", "asked"), ["k", "turn"])
+    late = F.col("decided") - F.col("asked")
+    return found.groupBy("k").agg(
+        F.count_if(F.col("role") == "leader").alias("n_leaders"), F.count_if(F.col("role") == "follower").alias("n_served"), F.count_if(F.col("role") == "alone").alias("n_alone"),
+        F.sum(F.when(F.col("role") != "leader", late)).alias("waited"), F.count_if((F.col("role") == "leader") & (late > 0)).alias("n_takeovers"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import bm25, citation, verification
+from lexmill.operators import bm25, citation, turn_order, verification
 from lexmill.plans.chunking_queries import HEAD_CTE, clauses
 from lexmill.plans.retrieval_queries import BM25_CTE, sparse_hits
 from lexmill.registry import query
@@ -263,7 +263,9 @@ def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a stand-alone answer stops: refused at the door, no context, failed retrieval, or goes on."""
     n = contexts(spark, sf_dir).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a")).join(n, "a", "left")
-    step = F.when(F.col("a") % 9 == 0, "refused").when(F.col("n").isNull(), "no_context").when(F.col("a") % 10 == 0, "retrieval_error").otherwise("generate")
+    verdict = F.when(F.col("a") % 9 == 0, "unsafe").when(F.col("a") % 7 == 0, "out_of_scope")
+    failed = F.col("n").isNotNull() & (F.col("a") % 10 == 0)
+    step = turn_order.stand_alone(verdict, F.lit("lương tối thiểu"), failed, F.col("n"), F.lit(None).cast("double"))
     return rows.select("a", step.alias("step"))
 
 
