@@ -6,14 +6,19 @@ the ranked filter on row_number becomes a partial top-k. Collection statistics a
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
+from lexmill.operators.ranking import global_row_number
 from lexmill.sources.shared import keep
 
 K1, B = 1.2, 0.75
+#: Documents of a block whose greatest weights bound its scores, and postings of rare terms a question begins with.
+BLOCK, SEED = 4, 1000
 
 
 def terms(docs: DataFrame, key: str, text: str | Column, extra: Column | None = None) -> DataFrame:
@@ -92,3 +97,63 @@ def search(doc_weights: DataFrame, doc: str, q_weights: DataFrame, query: str, k
         .agg(F.round(F.sum(F.col("__q") * F.col("__d")), digits).alias("score"))
     )
     return top(hits, query, "score", doc, k)
+
+
+def blocked(found: DataFrame, doc: str, weights: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Postings (doc, block, term, weight), written, and bounds (term, block, most), for pruned search. Documents of like
+    length share a block, so the greatest weight of a term in it is near the others."""
+    sizes = found.select(doc, F.size("terms").alias("__dl"))
+    placed = global_row_number(sizes, ["__dl", doc], "__n").select(doc, F.expr(f"__n DIV {block}").alias("block"))
+    postings = keep(weights.join(placed, doc).select(doc, "block", "term", "weight"))
+    return postings, keep(postings.groupBy("term", "block").agg(F.max("weight").alias("most")))
+
+
+class Pruned(NamedTuple):
+    """Hits of a pruned search, and the tables that show what it met: sums over rare terms (query, doc), bounds (query,
+    block), and the pairs (query, doc) that were scored."""
+
+    hits: DataFrame
+    rare: DataFrame
+    bounds: DataFrame
+    scored: DataFrame
+
+
+def search_pruned(postings: DataFrame, bounds: DataFrame, doc: str, q_weights: DataFrame, query: str, k: int, digits: int = 6, seed: int = SEED) -> Pruned:
+    """The rows of search(), without a sum for every document that shares a common term with a question.
+
+    A question's rarest terms, as many as have seed postings in all, are summed first; its best documents by these are
+    scored, and the k-th score is a threshold. What the other terms can add to a document is bounded by the greatest
+    weights of its block. Documents that can't reach the threshold by sum and bound are left out, whole blocks at once
+    where no rare term is; the others are scored. Where a question has no threshold nothing is left out.
+    """
+    asked = q_weights.select(query, "term", F.col("weight").alias("__q"))
+    frequent = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("__df"))
+    order = W.partitionBy(query).orderBy("__df", "term")
+    before = F.coalesce(F.sum("__df").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    asked = keep(asked.join(frequent, "term").withColumn("__rare", (before == 0) | (before + F.col("__df") <= seed)).drop("__df"))
+    part = F.sum(F.col("__q") * F.col("weight"))
+    rare = keep(asked.filter("__rare").join(postings, "term").groupBy(query, doc, "block").agg(part.alias("__s")))
+    most = F.sum(F.col("__q") * F.col("most"))
+    rest = keep(asked.filter("NOT __rare").join(bounds, "term").groupBy(query, "block").agg(most.alias("__rest")))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        met = pairs.select(query, doc).join(postings.select(doc, "term", "weight"), doc)
+        return met.join(asked.select(query, "term", "__q"), [query, "term"]).groupBy(query, doc).agg(F.round(part, digits).alias("score"))
+
+    def threshold(known: DataFrame) -> DataFrame:
+        """The k-th score of each question as far as it is known; null where fewer are."""
+        kth = top(known, query, "score", doc, k).groupBy(query).agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("__least"))
+        return keep(asked.select(query).distinct().join(kth, query, "left"))
+
+    # Scores are rounded, so one that lies a rounding below may still tie.
+    reaches = lambda bound: F.col("__least").isNull() | (bound >= F.col("__least") - 2 * 10**-digits)
+    first = W.partitionBy(query).orderBy(F.col("__s").desc(), doc)
+    least = threshold(score(rare.withColumn("__k", F.row_number().over(first)).filter(F.col("__k") <= 4 * k)))
+    bounded = rare.join(rest, [query, "block"], "left").join(least, query)
+    scored = keep(score(bounded.filter(reaches(F.col("__s") + F.coalesce("__rest", F.lit(0.0))))))
+    # With these the threshold is close to its last value; few blocks without a rare term reach it.
+    live = rest.join(threshold(scored), query).filter(reaches(F.col("__rest"))).select(query, "block")
+    whole = live.join(postings.select(doc, "block").distinct(), "block").select(query, doc)
+    more = keep(score(whole.join(scored, [query, doc], "left_anti")))
+    every = scored.unionByName(more)
+    return Pruned(top(every, query, "score", doc, k), rare, rest, every.select(query, doc))

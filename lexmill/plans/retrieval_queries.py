@@ -46,6 +46,19 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_hits(spark, sf_dir, 5)
 
 
+def pruned_hits(spark: SparkSession, sf_dir: str, k: int) -> bm25.Pruned:
+    corpus, asked = _corpus(spark, sf_dir), _questions(spark, sf_dir)
+    fitted, weights = bm25.index_of(corpus, "doc_id", asked.select(F.explode("terms").alias("term")))
+    postings, bounds = bm25.blocked(corpus, "doc_id", weights)
+    return bm25.search_pruned(postings, bounds, "doc_id", bm25.query_weights(asked, "item_id", fitted), "item_id", k)
+
+
+@query("bm25_topk_pruned", f"WITH {BM25_CTE} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
+def bm25_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with bounds on blocks of documents; pays where questions are few and documents many."""
+    return pruned_hits(spark, sf_dir, 5).hits
+
+
 @query("bm25_fit_terms", f"WITH {BM25_CTE} SELECT term, df, round(idf, 6) AS idf FROM fit")
 def bm25_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.fit(_corpus(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
