@@ -8,7 +8,7 @@ at once, in numpy, a level a step.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. A doc_id that labels hold several times
 counts once; one with both labels teaches nothing; of several texts with one doc_id the one of smallest measures teaches.
-Where rows of only one label are left, every score is that label; where none are, 0.5.
+Where rows of only one label are left, every score is next to that label; where none are, 0.5.
 
 Null and empty texts have measures of zero and are scored like any other. Texts are measured whole, however long. Rows
 are scored alone: ties and repeated rows change nothing. An empty table gives no rows, and columns besides doc_id and
@@ -114,7 +114,7 @@ class Trees:
         at = np.zeros((len(x), n_trees), np.int64)
         while n_trees and at.size and at[0, 0] < inner:
             at = 2 * at + 1 + (x[row, self.statistic[tree, at]] > self.cut[tree, at])
-        margin = self.base + (self.value[tree, at - inner].sum(1) if n_trees else 0.0)
+        margin = np.full(len(x), self.base) + self.value[tree, at - inner].sum(1)
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
