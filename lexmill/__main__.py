@@ -1,6 +1,7 @@
 """Command line: python -m lexmill COMMAND ...
 
-format IN OUT      DOCX files to Markdown, one folder of rows (path, text)
+format IN OUT      DOCX files to Markdown: rows (path, text, warnings) in OUT/status=good, unreadable files with their
+                   error in OUT/status=failed; exit code 1 if there are any
 chunk IN OUT       Markdown files to chunks
 index IN OUT       chunks to a sparse index
 search INDEX TEXT  the best chunks of an index for a question
@@ -17,25 +18,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import catalog
-from lexmill.operators import bm25, chunking, citation, formatting
+from lexmill.operators import bm25, chunking, citation, whole_files
 from lexmill.sources import docx, files
 
 
-def to_markdown(spark: SparkSession, folder: str):
-    """path and text of the formatted body of each DOCX file."""
-    blocks = docx.read_docx(spark, folder).filter("error IS NULL").withColumnRenamed("path", "doc")
-    middle = formatting.boundaries(blocks).filter("zone = 'middle'").select("doc", "pos", "kind", "text")
-    lines = F.array_sort(F.collect_list(F.struct("pos", "part", "line")))
-    body = formatting.emit(middle).groupBy("doc").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("body"))
-    title = formatting.titles(blocks)
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "body")
-    return body.join(title, "doc", "left").select(F.col("doc").alias("path"), text.alias("text"))
+def to_markdown(spark: SparkSession, folder: str, rewrite: whole_files.Rewriter = whole_files.plain_rewriter, **how):
+    """path, text, warnings and error of each DOCX file; see whole_files."""
+    return whole_files.files_to_markdown(docx.read_docx(spark, folder), rewrite, **how)
 
 
 def to_chunks(spark: SparkSession, folder: str, max_tokens: int = chunking.MAX_TOKENS):
-    docs = files.read_markdown(spark, folder).select(F.col("path").alias("doc"), "stem", "text")
-    blocks = chunking.split_blocks(docs).join(docs.select("doc", "stem"), "doc")
-    good, _ = chunking.split_unique(chunking.chunks(chunking.clause_rows(chunking.track(blocks.drop("stem"), F.regexp_extract("doc", "([^/]*)\\.md$", 1))), max_tokens))
+    """The chunks of the Markdown files whose chunk ids are all unique: front, clauses and back of each."""
+    docs = files.read_markdown(spark, folder).select(F.col("path").alias("doc"), "text")
+    good, _ = chunking.split_unique(whole_files.document_chunks(docs, F.regexp_extract("doc", "([^/]*)\\.md$", 1), max_tokens))
     return good
 
 
@@ -54,7 +49,10 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("lexmill").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     source, target = given.args
     if given.command == "format":
-        files.write_swapped(to_markdown(spark, source), target)
+        _, failed = whole_files.write_apart(to_markdown(spark, source), target)
+        for row in failed.select("path", "error").limit(20).collect():
+            print(f"{row['path']}: {row['error']}", file=sys.stderr)
+        return 0 if failed.isEmpty() else 1
     elif given.command == "chunk":
         files.write_swapped(to_chunks(spark, source), target)
     elif given.command == "index":

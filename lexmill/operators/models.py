@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import let, tokens, word_count
+from lexmill.operators.ranking import global_row_number
+from lexmill.sources.shared import keep
 
 BATCH, ATTEMPTS, DIMENSION = 25, 3, 64
 
@@ -100,6 +102,45 @@ def rewrite(chunks: DataFrame, keys: list[str], text: str, client: Callable[[str
     return chunks.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", result string")
 
 
+def called_once(rows: DataFrame, text: str, client: Callable[[str], str], attempts: int = ATTEMPTS, budget: int | None = None) -> DataFrame:
+    """rows with result, error and attempts: each distinct text is sent once, whatever number of rows it has, and its
+    answer joined back by digest. A text is tried `attempts` times; error is the name of the last exception where none
+    answered, `null_text` where there is nothing to send, and `over_budget` where the budget of calls of the whole job
+    doesn't reach: it is dealt in the order of digests, `attempts` calls a text, so it holds however tasks run. Answers
+    are written before they are joined, so a lost executor repeats no call that is done."""
+    digest = F.sha2(F.col(text), 256)
+    asked = rows.filter(F.col(text).isNotNull()).select(digest.alias("__digest"), F.col(text).alias("__text")).dropDuplicates(["__digest"])
+    if budget is not None:
+        asked = global_row_number(asked, ["__digest"], "__n").withColumn("__text", F.when(F.col("__n") < budget // attempts, F.col("__text"))).drop("__n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for t in pdf["__text"]:
+                result, error, n = None, "over_budget" if t is None else None, 0
+                while t is not None and n < attempts:
+                    n += 1
+                    try:
+                        result, error = client(t), None
+                        break
+                    except Exception as e:  # noqa: BLE001  a client may fail in any way
+                        error = type(e).__name__
+                out.append((result, error, n))
+            yield pd.concat([pdf[["__digest"]].reset_index(drop=True), pd.DataFrame(out, columns=["result", "error", "attempts"])], axis=1)
+
+    # Dealt evenly first: after a shuffle by digest a few tasks would wait for all calls.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = keep(asked.repartition(parts, "__digest").mapInPandas(run, "__digest string, result string, error string, attempts int"))
+    joined = rows.withColumn("__digest", digest).join(answers, "__digest", "left").drop("__digest")
+    missing = F.when(F.col(text).isNull(), F.lit("null_text")).otherwise(F.col("error"))
+    return joined.withColumn("error", missing).withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+
+
+def error_classes(called: DataFrame) -> DataFrame:
+    """error (null: answered), rows and calls of the distinct texts, most first."""
+    return called.groupBy("error").agg(F.count(F.lit(1)).alias("n_rows"), F.max("attempts").alias("attempts"))
+
+
 def record(chunks: DataFrame) -> DataFrame:
     """Index records of chunks: the raw table only where there is one."""
     return chunks.select("chunk_id", "source_document", "breadcrumb", "content", "has_table", F.when(F.col("has_table"), F.col("raw_table")).alias("raw_table"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as fn
-from lexmill.operators import formatting, ranking
+from lexmill.operators import formatting, ranking, whole_files
 from lexmill.registry import query
 from lexmill.sources import legal_view
 from lexmill.sources.tables import read
@@ -48,13 +48,13 @@ def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.titles(raw_blocks(spark, sf_dir))
 
 
-@query(
-    "emit_headings",
-    f"""WITH {ZONE_CTE}, m AS (SELECT doc, pos, kind, CASE WHEN kind = 'paragraph' THEN trim(regexp_replace(text, '\\[\\d+\\]', '', 'g')) ELSE text END AS text FROM z WHERE zone = 'middle'),
+_EMITTED = f"""WITH {ZONE_CTE}, m AS (SELECT doc, pos, kind, CASE WHEN kind = 'paragraph' THEN trim(regexp_replace(text, '\\[\\d+\\]', '', 'g')) ELSE text END AS text FROM z WHERE zone = 'middle'),
     k AS (SELECT *, CASE WHEN kind = 'table' THEN NULL WHEN regexp_matches(text, '(?i)^Chương\\s') THEN '##' WHEN regexp_matches(text, '(?i)^Mục\\s+\\d') THEN '###' WHEN regexp_matches(text, '^Điều\\s+\\d+\\s*\\.') THEN '####' WHEN regexp_matches(text, '^\\d+[a-zđ]?\\s*\\.\\s+') THEN '#####' END AS mark FROM m)
     SELECT doc, pos, CAST(0 AS INTEGER) AS part, CASE mark WHEN '#####' THEN '##### Khoản ' || regexp_extract(text, '^(\\d+[a-zđ]?)', 1) ELSE coalesce(mark || ' ', '') || text END AS line FROM k
-    UNION ALL SELECT doc, pos, 1, regexp_extract(text, '^\\d+[a-zđ]?\\s*\\.\\s+(.*)$', 1) FROM k WHERE mark = '#####'""",
-)
+    UNION ALL SELECT doc, pos, 1, regexp_extract(text, '^\\d+[a-zđ]?\\s*\\.\\s+(.*)$', 1) FROM k WHERE mark = '#####'"""
+
+
+@query("emit_headings", _EMITTED)
 def emit_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = formatting.boundaries(raw_blocks(spark, sf_dir)).filter("zone = 'middle'").select("doc", "pos", "kind", "text")
     return formatting.emit(middle)
@@ -164,3 +164,16 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def number_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.expr("concat(CAST(l_quantity AS INT), CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '' END)")
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fn.number_key(number).alias("k")).select("l_orderkey", "l_linenumber", "k.*")
+
+
+@query(
+    "whole_markdown",
+    f"""WITH e AS ({_EMITTED}), b AS (SELECT doc, string_agg(line, chr(10) || chr(10) ORDER BY pos, part) AS body FROM e GROUP BY doc),
+    {ZONE_CTE}, f AS (SELECT doc, string_agg(CASE WHEN pos = 3 THEN '# ' || text ELSE text END, chr(10) || chr(10) ORDER BY pos) FILTER (zone = 'front') AS front, count(*) FILTER (zone = 'signature') AS n_dropped FROM z GROUP BY doc)
+    SELECT doc, front || chr(10) || chr(10) || body || chr(10) AS text, n_dropped FROM f JOIN b USING (doc)""",
+)
+def whole_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents: front with its title, body, and the signature table dropped with a warning."""
+    found = whole_files.compose(raw_blocks(spark, sf_dir), whole_files.plain_rewriter)
+    dropped = F.filter("warnings", lambda w: w["code"] == whole_files.DROPPED_TABLE)
+    return found.select("doc", "text", F.size(dropped).cast("long").alias("n_dropped"))

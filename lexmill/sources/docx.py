@@ -1,7 +1,7 @@
 """Blocks of DOCX files: paragraphs and tables of the body in document order.
 
-Files are scanned as binary rows and parsed where they lie, one file at a time; a file that cannot be read gives one row
-with its error and no block. Temporary files (~$) are left out.
+Files are scanned as binary rows and parsed where they lie, one file at a time; a file that cannot be read, or has no
+block (empty), gives one row with its error and no block. Temporary files (~$) are left out.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def read_docx(spark: SparkSession, folder: str) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows = [(path, k + 1, *b, None) for k, b in enumerate(parse(content))]
+                    rows = [(path, k + 1, *b, None) for k, b in enumerate(parse(content))] or [(path, 0, None, None, None, None, None, "empty")]
                 except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
                     rows = [(path, 0, None, None, None, None, None, type(e).__name__)]
                 yield pd.DataFrame(rows, columns=names)
