@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.models import BATCH, DIMENSION
 from lexmill.operators.reporting import stage_summary
-from lexmill.sources import files
+from lexmill.sources import files, snapshots
 
 #: What a user message and a repair message are made of; the wording of the instructions is the caller's.
 USER = "Ngữ cảnh:\n%s\n\nCâu hỏi: %s"
@@ -147,7 +147,18 @@ def refresh_index(spark: SparkSession, folder: str, index: str, dimension: int =
     rows = spark.read.parquet(folder)
     wrong = F.when(F.size("vec") != dimension, F.raise_error(F.lit(f"a vector has another dimension than {dimension}")).cast("array<double>"))
     files.write_swapped(rows.withColumn("vec", F.coalesce(wrong, F.col("vec"))), index)
-    return spark.read.parquet(index).count()
+    return files.read_swapped(spark, index).count()
+
+
+def refresh_snapshot(spark: SparkSession, folder: str, index: str, dimension: int = DIMENSION) -> int:
+    """refresh_index() into the snapshots of an index: vectors change in the same step as the tables beside them, and
+    readers of an older snapshot keep theirs."""
+    if not files.present(spark, folder):
+        return 0
+    rows = spark.read.parquet(folder)
+    wrong = F.when(F.size("vec") != dimension, F.raise_error(F.lit(f"a vector has another dimension than {dimension}")).cast("array<double>"))
+    made = snapshots.commit(spark, index, {"vectors": rows.withColumn("vec", F.coalesce(wrong, F.col("vec")))}, {"dimension": dimension})
+    return made.read(spark, "vectors").count()
 
 
 def check_scope(only: list[str], append: bool = False, retry_skipped: bool = False) -> None:

@@ -119,36 +119,6 @@ def admissions(calls: DataFrame, bucket: str, second: str, duration: str, tie: s
     return rows.mapInPandas(run, f"{bucket} {kinds[bucket]}, {tie} {kinds[tie]}, decision string, start double")
 
 
-def waits_for_oldest(events: DataFrame, bucket: str, second: str, tokens: str, tie: str, max_tokens: int, max_requests: int) -> DataFrame:
-    """(bucket, tie, start): the older limiter. A request that finds a budget used up waits until the oldest entry of the
-    window has left it, once, and then starts; an empty window never waits, however large the request."""
-    kinds = dict(events.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: deque[tuple[float, int]] = deque()
-        current, clock = None, float("-inf")
-        for pdf in batches:
-            out = []
-            for b, key, s, n in zip(pdf[bucket], pdf[tie], pdf[second], pdf[tokens]):
-                if b != current:
-                    current, clock = b, float("-inf")
-                    held.clear()
-                now = max(float(s), clock)
-                while held and now - held[0][0] >= WINDOW_S:
-                    held.popleft()
-                if held and (len(held) >= max_requests or sum(x for _, x in held) + int(n) > max_tokens):
-                    now = held[0][0] + WINDOW_S
-                    while held and now - held[0][0] >= WINDOW_S:
-                        held.popleft()
-                held.append((now, int(n)))
-                clock = now
-                out.append((b, key, now))
-            yield pd.DataFrame(out, columns=[bucket, tie, "start"])
-
-    rows = events.select(bucket, tie, second, tokens).repartition(bucket).sortWithinPartitions(bucket, second, tie)
-    return rows.mapInPandas(run, f"{bucket} {kinds[bucket]}, {tie} {kinds[tie]}, start double")
-
-
 def round_robin(calls: Column, n: int) -> Column:
     """The client of a call by its number."""
     return F.pmod(calls, F.lit(n))

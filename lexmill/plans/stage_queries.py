@@ -1,4 +1,4 @@
-"""Queries of stages: prompts, pending cases, marks, embedding in two phases, faithfulness, the older limiter."""
+"""Queries of stages: prompts, pending cases, marks, embedding in two phases, faithfulness, snapshots."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import stages, throttle
+from lexmill.operators import stages
 from lexmill.registry import query
+from lexmill.sources import snapshots
 from lexmill.sources.shared import shared_folder
 from lexmill.sources.tables import read
 
@@ -17,12 +18,12 @@ SYSTEM = "Chỉ trả lời theo ngữ cảnh."
 
 @query(
     "prompt_messages",
-    f"""SELECT item_id, '{SYSTEM}' AS system, 'Ngữ cảnh:' || chr(10) || '[1] B' || CAST(item_id AS VARCHAR) || chr(10) || text || chr(10) || chr(10) || 'Câu hỏi: ' || substr(text, 1, 20) AS user FROM benchmark""",
+    f"""SELECT item_id, '{SYSTEM}' AS system, 'Ngữ cảnh:' || chr(10) || '[1] B' || CAST(item_id AS VARCHAR) || chr(10) || text || chr(10) || chr(10) || 'Câu hỏi: ' || text AS user FROM benchmark""",
 )
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """System and user message of each item, with the item as its own context."""
     context = F.concat(F.lit("[1] B"), F.col("item_id").cast("string"), F.lit("\n"), "text")
-    found = stages.messages(SYSTEM, context, F.substring("text", 1, 20))
+    found = stages.messages(SYSTEM, context, F.col("text"))
     return read(spark, sf_dir, "benchmark").select("item_id", found.alias("m")).select("item_id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("user"))
 
 
@@ -82,12 +83,24 @@ def embed_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = read(spark, sf_dir, "embeddings").selectExpr("vec_id", "concat('label', label % 5) AS source", "IF(vec_id % 97 = 0, NULL, CAST(embedding AS ARRAY<DOUBLE>)) AS vec")
     folder = f"{shared_folder(spark).rstrip('/')}/embed-{uuid.uuid4().hex}"
     stages.checkpoint_embeddings(made, f"{folder}/checkpoints", "source")
-    n = stages.refresh_index(spark, f"{folder}/checkpoints", f"{folder}/index")
+    n = stages.refresh_snapshot(spark, f"{folder}/checkpoints", f"{folder}/index")
     return stages.embed_summary(made, "vec_id").withColumn("indexed", F.lit(n).cast("long"))
 
 
-@query("throttle_oldest")
-def throttle_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts under the older limiter. No SQL: each hangs on all before it; held against hand-made cases in tests."""
-    rows = read(spark, sf_dir, "events").selectExpr("user_id % 5 AS bucket", "event_id", "unix_timestamp(CAST(ts AS TIMESTAMP)) AS s", "event_id % 900 + 1 AS n")
-    return throttle.waits_for_oldest(rows, "bucket", "s", "n", "event_id", 1200, 4).select("event_id", "start")
+@query(
+    "snapshot_index",
+    """SELECT 1 AS number, 'documents' AS name, count(*) FILTER (doc_id % 2 = 0) AS n FROM documents UNION ALL SELECT 2, 'documents', count(*) FROM documents
+    UNION ALL SELECT 1, 'labels', count(*) FROM labels UNION ALL SELECT 2, 'labels', count(*) FROM labels UNION ALL SELECT 2, 'counts', 1""",
+)
+def snapshot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table in two snapshots: the first of some documents, the second of all, with the labels carried over."""
+    folder = f"{shared_folder(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    first = snapshots.commit(spark, folder, {"documents": docs.filter("doc_id % 2 = 0"), "labels": labels})
+    second = snapshots.commit(spark, folder, {"documents": docs, "counts": docs.agg(F.count(F.lit(1)).alias("n"))}, base=first)
+    found = [(s, name) for s in (first, second) for name in s.tables]
+    rows = [s.read(spark, name).agg(F.lit(s.number).alias("number"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for s, name in found]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources import snapshots
+from lexmill.sources.shared import keep
+
 CHUNK = (
     "chunk_id string, source_document string, breadcrumb string, content string, token_count int, has_table boolean, "
     "raw_table string, standardization_table string, is_split boolean, split_index int, split_total int"
@@ -31,7 +34,7 @@ def read_markdown(spark: SparkSession, folder: str, recursive: bool = True) -> D
         return spark.createDataFrame([], "path string, stem string, text string")
     files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     path = F.input_file_name()
-    return files.select(path.alias("path"), F.regexp_extract(path, "([^/]*)\\.md$", 1).alias("stem"), F.col("value").alias("text")).orderBy(F.lower("path"))
+    return files.select(path.alias("path"), F.regexp_extract(path, "([^/]*)\\.md$", 1).alias("stem"), F.col("value").alias("text"))
 
 
 def read_eval_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,23 +102,18 @@ def write_swapped(df: DataFrame, path: str) -> None:
 
 
 def save_index(chunks: DataFrame, folder: str) -> int:
-    """Writes the sparse index of chunks (chunk_id, breadcrumb, content, and source_document where it is known): postings,
-    terms and statistics, with a version; returns how many chunks it holds. Chunks of documents that have a key carry its
-    terms."""
+    """Commits the sparse index of chunks (chunk_id, breadcrumb, content, and source_document where it is known) as one
+    snapshot: postings, terms and statistics, with a version; returns how many chunks it holds. Chunks of documents that
+    have a key carry its terms. Other tables of the snapshot stay."""
     from lexmill.operators import bm25, citation
 
     text = F.concat_ws(" ", "breadcrumb", "content")
     known = "source_document" in chunks.columns
     key = F.try_element_at(citation.document_keys(), F.col("source_document")) if known else F.lit(None).cast("string")
-    found = bm25.terms(chunks, "chunk_id", text, citation.document_terms(F.col("breadcrumb"), key))
-    write_swapped(bm25.document_weights(found, "chunk_id"), f"{folder}/postings")
-    write_swapped(bm25.fit(found), f"{folder}/terms")
-    write_swapped(bm25.stats(found).withColumn("version", F.lit(INDEX_VERSION)), f"{folder}/stats")
-    return spark_count(chunks)
-
-
-def spark_count(df: DataFrame) -> int:
-    return df.count()
+    found = keep(bm25.terms(chunks, "chunk_id", text, citation.document_terms(F.col("breadcrumb"), key)))
+    tables = {"postings": bm25.document_weights(found, "chunk_id"), "terms": bm25.fit(found), "stats": bm25.stats(found)}
+    snapshots.commit(chunks.sparkSession, folder, tables, {"index_version": INDEX_VERSION})
+    return found.count()
 
 
 def read_swapped(spark: SparkSession, path: str) -> DataFrame:
@@ -125,13 +123,13 @@ def read_swapped(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings, terms and stats; raises where they are missing or of another version."""
-    if not present(spark, f"{folder}/stats") and not present(spark, f"{folder}/stats.old"):
+    """postings, terms and stats of one snapshot; raises where they are missing or of another version."""
+    found = snapshots.pinned(spark, folder)
+    if "stats" not in found.tables:
         raise FileNotFoundError(f"no index in {folder}")
-    stats = read_swapped(spark, f"{folder}/stats")
-    if (version := stats.first()["version"]) != INDEX_VERSION:
+    if (version := found.notes.get("index_version")) != INDEX_VERSION:
         raise ValueError(f"index version {version}, expected {INDEX_VERSION}")
-    return read_swapped(spark, f"{folder}/postings"), read_swapped(spark, f"{folder}/terms"), stats
+    return found.read(spark, "postings"), found.read(spark, "terms"), found.read(spark, "stats")
 
 
 def read_yaml_cases(spark: SparkSession, text: str) -> DataFrame:

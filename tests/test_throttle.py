@@ -44,11 +44,3 @@ def test_a_rejected_call_takes_no_place(spark):
     got = [tuple(r)[1:] for r in sorted(throttle.admissions(spark.createDataFrame(rows, "b string, k long, s long, d long"), "b", "s", "d", "k").collect(), key=lambda r: r.k)]
     assert [d for _, d, _ in got] == ["run"] * 2 + ["wait"] * 6 + ["reject", "run"]
     assert [s for _, _, s in got] == [0, 0, 10, 10, 20, 20, 30, 30, None, 100]
-
-
-def test_older_limiter(spark):
-    """It waits for the oldest entry only, once, and never on an empty window."""
-    rows = [(0, 5000), (1, 10), (2, 10), (59, 10), (60, 10), (200, 99999)]
-    df = spark.createDataFrame([("b", k, s, n) for k, (s, n) in enumerate(rows)], "b string, k long, s long, n long")
-    got = {r.k: r.start for r in throttle.waits_for_oldest(df, "b", "s", "n", "k", 100, 3).collect()}
-    assert got == {0: 0.0, 1: 60.0, 2: 60.0, 3: 60.0, 4: 120.0, 5: 200.0}
