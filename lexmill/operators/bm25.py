@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import tokens
+from lexmill.functions.text import let, tokens
 from lexmill.operators.ranking import global_row_number
 from lexmill.sources.shared import keep
 
 K1, B = 1.2, 0.75
+#: Terms of all questions of a search that are broadcast at most: some 10 MB.
+ASKED = 200_000
 #: Documents of a block whose greatest weights bound its scores, and postings of rare terms a question begins with.
 BLOCK, SEED = 4, 1000
 
@@ -27,51 +29,72 @@ def terms(docs: DataFrame, key: str, text: str | Column, extra: Column | None =
     return docs.select(key, (found if extra is None else F.concat(found, extra)).alias("terms"))
 
 
-def _unfolded(found: DataFrame, *columns: Column | str, only: DataFrame | None = None) -> DataFrame:
-    """One row per term, of the wanted terms if any are named: the others never reach a shuffle. The outer form keeps
-    the optimizer from computing the tokens a second time for a filter on their number."""
-    rows = found.select(*columns).filter("term IS NOT NULL")
+def counts_of(terms_: Column) -> Column:
+    """array of struct(term, tf) of a document's terms: sorted in the row and cut where the term changes, no shuffle."""
+
+    def runs(ordered: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        tf = lambda starts, i, k: (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - i).cast("long")
+        return let(at, lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(ordered, i).alias("term"), tf(starts, i, k).alias("tf"))))
+
+    return F.when(F.size(terms_) > 0, let(F.sort_array(terms_), runs))
+
+
+def counted(found: DataFrame, key: str) -> DataFrame:
+    """(key, dl, counts) of documents (key, terms), written: texts are tokenised once for all that is made of them. dl
+    counts every term."""
+    return keep(found.select(key, F.size("terms").cast("long").alias("dl"), counts_of(F.col("terms")).alias("counts")))
+
+
+def _unfolded(base: DataFrame, *columns: str, only: DataFrame | None = None) -> DataFrame:
+    """One row per document and term, of the wanted terms if any are named."""
+    rows = base.select(*columns, F.explode("counts").alias("__c")).select(*columns, "__c.term", "__c.tf")
     return rows if only is None else rows.join(only.select("term").distinct(), "term", "left_semi")
 
 
 def term_counts(found: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, dl); dl counts every term of the document."""
-    rows = _unfolded(found, key, F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term"), only=only)
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return _unfolded(counted(found, key), key, "dl", only=only).select(key, "term", "tf", "dl")
+
+
+def _stats(base: DataFrame) -> DataFrame:
+    return base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def stats(found: DataFrame) -> DataFrame:
     """One row: n_docs and avgdl."""
-    return found.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+    return _stats(found.select(F.size("terms").alias("dl")))
+
+
+def _fitted(rows: DataFrame, n: Column) -> DataFrame:
+    df = F.col("df")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((n - df + 0.5) / (df + 0.5) + 1))
+
+
+def _weighted(rows: DataFrame, key: str, avgdl: Column, k1: float = K1, b: float = B) -> DataFrame:
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return rows.select(key, "term", weight.alias("weight"))
 
 
 def fit(found: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(term, df, idf) over distinct terms per document; of the terms in only, where given."""
-    n = stats(found).select("n_docs").scalar()
-    return (
-        _unfolded(found, F.explode_outer(F.array_distinct("terms")).alias("term"), only=only)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    )
+    base = counted(found, found.columns[0])
+    return _fitted(_unfolded(base, only=only), _stats(base).select("n_docs").scalar())
 
 
 def document_weights(found: DataFrame, key: str, k1: float = K1, b: float = B, only: DataFrame | None = None) -> DataFrame:
     """(key, term, weight): tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))."""
-    avgdl = stats(found).select("avgdl").scalar()
-    norm = 1 - b + b * F.col("dl") / avgdl
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return term_counts(found, key, only).select(key, "term", weight.alias("weight"))
+    base = counted(found, key)
+    return _weighted(_unfolded(base, key, "dl", only=only), key, _stats(base).select("avgdl").scalar(), k1, b)
 
 
-def index_of(found: DataFrame, key: str, only: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """fit() and document_weights() of the wanted terms, from counts and statistics that are written first: texts are
-    tokenised once for each, and the counts hold wanted terms only."""
-    counts, one = keep(term_counts(found, key, only)), keep(stats(found))
-    n, avgdl = one.select("n_docs").scalar(), one.select("avgdl").scalar()
-    fitted = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return fitted, counts.select(key, "term", weight.alias("weight"))
+def index_of(found: DataFrame, key: str, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """fit() and document_weights(), of the wanted terms if any are named, from one tokenisation."""
+    base = counted(found, key)
+    one = keep(_stats(base))
+    rows = _unfolded(base, key, "dl", only=only)
+    rows = rows if only is None else keep(rows)  # few of many, read twice
+    return _fitted(rows, one.select("n_docs").scalar()), _weighted(rows, key, one.select("avgdl").scalar())
 
 
 def query_weights(queries: DataFrame, key: str, fitted: DataFrame) -> DataFrame:
@@ -89,13 +112,21 @@ def top(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFram
 
 def search(doc_weights: DataFrame, doc: str, q_weights: DataFrame, query: str, k: int, digits: int = 6) -> DataFrame:
     """(query, doc, score, rank); queries without a known term have no rows. Scores are rounded before they are ranked,
-    so that ties don't hang on the order of a sum."""
-    hits = (
-        q_weights.select(query, "term", F.col("weight").alias("__q"))
-        .join(doc_weights.select(doc, "term", F.col("weight").alias("__d")), "term")
-        .groupBy(query, doc)
-        .agg(F.round(F.sum(F.col("__q") * F.col("__d")), digits).alias("score"))
-    )
+    so that ties don't hang on the order of a sum.
+
+    Up to ASKED terms of questions, which are counted, are broadcast to postings dealt by document: a document's scores
+    are whole where its postings are, and only the best of each task go on. Beyond that both sides meet by term, and sums
+    of pairs are shuffled.
+    """
+    asked = q_weights.select(query, "term", F.col("weight").alias("__q"))
+    known = doc_weights.select(doc, "term", F.col("weight").alias("__d"))
+    asked = keep(asked)
+    if asked.count() <= ASKED:
+        wanted = known.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        met = wanted.repartition(doc).join(F.broadcast(asked), "term")
+    else:
+        met = asked.join(known, "term")
+    hits = met.groupBy(query, doc).agg(F.round(F.sum(F.col("__q") * F.col("__d")), digits).alias("score"))
     return top(hits, query, "score", doc, k)
 
 

@@ -89,7 +89,8 @@ def unverified(answer: Column, evidence: Column) -> Column:
 
     evidence: array of texts, the question among them.
     """
-    known = F.flatten(F.transform(F.coalesce(evidence, F.array().cast("array<string>")), numbers))
+    # One scan of all texts: no number goes on over the sign between them.
+    known = numbers(F.array_join(F.coalesce(evidence, F.array().cast("array<string>")), "\u0001"))
     plain = _without_citations(answer)
 
     def judged(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import bm25, chunking, citation, fusion, models, units
 from lexmill.plans.chunking_queries import HEAD_CTE, clauses
+from lexmill.operators.ranking import global_row_number
 from lexmill.registry import query
 from lexmill.sources import legal_view
 from lexmill.sources.shared import keep, shared_folder
@@ -29,9 +30,10 @@ def retrieve(
     term, weight) and terms of a saved index; a hit that chunks don't have raises.
     """
     plugs = plugs or models.Plugs()
-    # Chunks carry a number: dense blocks and ties need one that sorts.
+    # Chunks are numbered in the order of their ids: dense blocks and ties need a number, and a digest could be another's.
     # What both branches read is written once, as an index would be; each step's plan stays short.
-    known = keep(chunks.select(F.xxhash64("chunk_id").alias("c"), "chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"))
+    fields = ["chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"]
+    known = keep(global_row_number(chunks.select(*fields), ["chunk_id"], "c").select("c", *fields))
     cited = questions.select(
         "query_id", "text", "hypothetical", citation.article_numbers(F.col("text")).alias("numbers"),
         citation.clause_numbers(F.col("text")).alias("parts"), citation.detect_document(F.col("text")).alias("named"),
@@ -40,10 +42,12 @@ def retrieve(
     if index is None:
         key = F.try_element_at(citation.document_keys(), F.col("source_document"))
         passage = plugs.segmenter(F.concat_ws(" ", "breadcrumb", "content"))
-        terms = keep(bm25.terms(known, "c", passage, citation.document_terms(F.col("breadcrumb"), key)))
-        fitted, weights = keep(bm25.fit(terms)), keep(bm25.document_weights(terms, "c"))
+        found = bm25.index_of(bm25.terms(known, "c", passage, citation.document_terms(F.col("breadcrumb"), key)), "c")
+        fitted, weights = (keep(x) for x in found)
     else:
-        fitted, weights = index[1], index[0].select(F.xxhash64("chunk_id").alias("c"), "term", "weight")
+        # A posting of a chunk that isn't known keeps its place below zero, so that its hit is found to have no metadata.
+        numbers = index[0].join(known.select("chunk_id", "c"), "chunk_id", "left")
+        fitted, weights = index[1], keep(numbers.select(F.coalesce("c", -F.abs(F.xxhash64("chunk_id")) - 1).alias("c"), "term", "weight"))
     vectors = keep(known.select("c", plugs.encoder(F.col("content")).alias("vec")))
     branches, none = [], F.array().cast("array<string>")
     for text in ("hypothetical", "text"):
@@ -67,7 +71,6 @@ def retrieve(
     candidates = filled.join(questions.select("query_id", "text"), "query_id")
     scored = keep(candidates.withColumn("s", plugs.scorer(F.col("text"), F.concat_ws("\n", "breadcrumb", "content"))))
     best = fusion.rerank(scored.select("query_id", "c", "pos", "s"), "query_id", "c", F.col("s"), n, fusion.interleave(branches, "query_id", "c", n))
-    fields = ["chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"]
     return best.join(scored.select("query_id", "c", *fields), ["query_id", "c"]).select("query_id", *fields, F.round("score", 6).alias("score"), "pos")
 
 

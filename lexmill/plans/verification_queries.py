@@ -9,7 +9,7 @@ from lexmill.operators import bm25, citation, turn_order, verification
 from lexmill.plans.chunking_queries import HEAD_CTE, clauses
 from lexmill.plans.retrieval_queries import BM25_CTE, sparse_hits
 from lexmill.registry import query
-from lexmill.sources.tables import read
+from lexmill.sources.tables import read, read_dealt
 
 # Questions: an order asks for articles by its keys, in forms that cite and forms that don't.
 Q_CTE = """
@@ -23,7 +23,7 @@ qn AS (SELECT *, CAST(CASE q % 8 WHEN 0 THEN [CAST(regexp_extract(text, 'Điều
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(
+    return read_dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey").selectExpr(
         "o_orderkey AS q",
         """CASE o_orderkey % 8 WHEN 0 THEN concat('Điều ', o_custkey % 500, ' khoản ', o_orderkey % 9, ' quy định gì')
         WHEN 1 THEN concat('theo điều ', o_custkey % 100, ', ', o_custkey % 100 + 1, ' và ', o_custkey % 100 + 2, ' luật lao động')
@@ -135,7 +135,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr(
+    return read_dealt(spark, sf_dir, "orders", "o_orderkey", "o_custkey").selectExpr(
         "o_orderkey AS a",
         "concat('Mức là ', o_custkey, ' đồng [1]. Xem 1.234.567 đồng【', o_orderkey % 6 + 1, '】 và [1], số ', o_orderkey, '.') AS text",
     )

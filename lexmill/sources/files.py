@@ -111,7 +111,8 @@ def save_index(chunks: DataFrame, folder: str) -> int:
     known = "source_document" in chunks.columns
     key = F.try_element_at(citation.document_keys(), F.col("source_document")) if known else F.lit(None).cast("string")
     found = keep(bm25.terms(chunks, "chunk_id", text, citation.document_terms(F.col("breadcrumb"), key)))
-    tables = {"postings": bm25.document_weights(found, "chunk_id"), "terms": bm25.fit(found), "stats": bm25.stats(found)}
+    terms, postings = bm25.index_of(found, "chunk_id")
+    tables = {"postings": postings, "terms": terms, "stats": bm25.stats(found)}
     snapshots.commit(chunks.sparkSession, folder, tables, {"index_version": INDEX_VERSION})
     return found.count()
 
