@@ -30,10 +30,11 @@ def retrieve(
     term, weight) and terms of a saved index; a hit that chunks don't have raises.
     """
     plugs = plugs or models.Plugs()
-    # Chunks are numbered in the order of their ids: dense blocks and ties need a number, and a digest could be another's.
+    # Chunks are numbered in the order of a digest of their ids: dense blocks and ties need a number, and two ids whose
+    # digests agree are still two chunks.
     # What both branches read is written once, as an index would be; each step's plan stays short.
     fields = ["chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table"]
-    known = keep(global_row_number(chunks.select(*fields), ["chunk_id"], "c").select("c", *fields))
+    known = keep(global_row_number(chunks.select(*fields), [F.xxhash64("chunk_id"), "chunk_id"], "c").select("c", *fields))
     cited = questions.select(
         "query_id", "text", "hypothetical", citation.article_numbers(F.col("text")).alias("numbers"),
         citation.clause_numbers(F.col("text")).alias("parts"), citation.detect_document(F.col("text")).alias("named"),
