@@ -5,6 +5,9 @@ format IN OUT      DOCX files to Markdown: rows (path, text, warnings) in OUT/st
 chunk IN OUT       Markdown files to chunks
 index IN OUT       chunks to a sparse index
 search INDEX TEXT  the best chunks of an index for a question
+eval STAGE DIR     a stage of the evaluation of DIR/testset.json over DIR/chunks: hyde, embed, retrieve, generate,
+                   score-recall, score-answers, score-precision, or status, or report; exit code 1 if there are
+                   errors, 2 if the input is wrong
 query NAME DIR     a registered query over the tables of a folder
 queries            names of all registered queries
 """
@@ -18,7 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lexmill import catalog
-from lexmill.operators import bm25, chunking, citation, whole_files
+from lexmill.operators import bm25, chunking, citation, evaluation, runs, whole_files
+from lexmill.plans.pipeline_queries import retrieve
 from lexmill.sources import docx, files
 
 
@@ -34,9 +38,21 @@ def to_chunks(spark: SparkSession, folder: str, max_tokens: int = chunking.MAX_T
     return good
 
 
+def evaluate(spark: SparkSession, stage: str, folder: str):
+    """Does a stage of the run below the folder and returns its summary; or the status of all, or the report."""
+    if not files.present(spark, f"{folder}/testset.json") or not files.present(spark, f"{folder}/chunks"):
+        raise runs.InputError(f"{folder} needs testset.json and chunks")
+    cases = files.read_testset(spark, f"{folder}/testset.json").drop("pos")
+    chunks = files.read_swapped(spark, f"{folder}/chunks").select("chunk_id", "source_document", "breadcrumb", "content", "has_table", "raw_table")
+    run = runs.Run(spark, f"{folder}/run", cases, [evaluation.KEY], evaluation.stages(lambda asked: retrieve(chunks, asked)), batches=4)
+    if stage == "status":
+        return run.status().drop("errors")
+    return evaluation.report(run) if stage == "report" else run.do(stage)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["format", "chunk", "index", "search", "query", "queries"])
+    parser.add_argument("command", choices=["format", "chunk", "index", "search", "eval", "query", "queries"])
     parser.add_argument("args", nargs="*")
     given = parser.parse_args(argv)
     wanted = {"queries": 0}.get(given.command, 2)
@@ -63,6 +79,10 @@ def main(argv: list[str] | None = None) -> int:
         structural = citation.query_terms(citation.article_numbers(text), citation.clause_numbers(text), citation.detect_document(text))
         asked = bm25.terms(one, "query_id", text, structural)
         bm25.search(postings, "chunk_id", bm25.query_weights(asked, "query_id", terms), "query_id", 20).show(20, False)
+    elif given.command == "eval":
+        code, said = runs.exit_code(lambda: evaluate(spark, source, target))
+        print(said, file=sys.stderr if code == runs.WRONG_INPUT else sys.stdout)
+        return code
     else:
         catalog.QUERIES[source](spark, target).show(50, False)
     return 0
