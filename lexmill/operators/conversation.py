@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import query_key_text
+from lexmill.sources.shared import keep
 
 from .citation import article_numbers
 
@@ -15,6 +18,7 @@ SOURCES_MARK = "\n\n---\n**Nguồn**\n"
 DISCLAIMER_BEGIN = "\n\n_Dữ liệu pháp luật trong hệ thống được cập nhật tới "
 MAX_QUERY, MAX_TURNS, MAX_ASSISTANT, GUARD_TURNS = 1000, 3, 600, 2
 QUOTES = "\"'`“”‘’«»"
+RETRIEVAL_TTL = 86_400
 LATENCY_BUCKETS = (0.5, 1, 2, 5, 10, 20, 30, 60, 120)
 
 
@@ -82,6 +86,59 @@ def check_rewrite(raw: Column, query: Column, history: Column) -> Column:
     return F.struct(F.when(reason == "ok", text).alias("text"), reason.alias("reason"))
 
 
+def condense(turns: DataFrame, turn: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(turn, text, reason, calls) of each turn (turn, query, history): the question rewritten to stand alone, or as it is.
+
+    ask: (turn, message) to (turn, raw, finish), raw null where the call failed. Turns without a history aren't asked. An
+    answer that is blank since it was cut off is asked for once more, and what comes then counts; nothing else is tried
+    again, since the same call would fail the same way.
+    """
+    turns = keep(turns.select(turn, "query", "history"))
+    asked = turns.filter(F.size("history") > 0)
+    message = history_text(F.col("history"), F.col("query"))
+    first = keep(ask(asked.select(turn, message.alias("message"))))
+    cut = (F.coalesce(F.trim("raw"), F.lit("")) == "") & F.coalesce(F.col("finish") == "length", F.lit(False))
+    again = asked.join(first.filter(cut).select(turn), turn, "left_semi")
+    second = keep(ask(again.select(turn, message.alias("message")))).select(turn, F.col("raw").alias("raw2"), F.col("finish").alias("finish2"), F.lit(True).alias("twice"))
+    both = turns.join(first.select(turn, "raw", "finish"), turn, "left").join(second, turn, "left")
+    both = both.withColumn("raw", F.when(F.col("twice"), F.col("raw2")).otherwise(F.col("raw"))).withColumn("finish", F.when(F.col("twice"), F.col("finish2")).otherwise(F.col("finish")))
+    checked = both.withColumn("c", check_rewrite(F.coalesce("raw", F.lit("")), F.col("query"), F.col("history")))
+    reason = (
+        F.when(F.coalesce(F.size("history"), F.lit(0)) <= 0, "no_history")
+        .when(cut, "finish_length")
+        .when(F.col("raw").isNull(), "call_failed")
+        .otherwise(F.col("c.reason"))
+    )
+    calls = F.when(F.col("twice"), 2).when(reason == "no_history", 0).otherwise(1)
+    out = checked.withColumn("reason", reason)
+    return out.select(turn, F.when(F.col("reason") == "ok", F.col("c.text")).otherwise(F.col("query")).alias("text"), "reason", calls.alias("calls"))
+
+
+def usage(prompt: Column, completion: Column, reasoning: Column) -> Column:
+    """struct(prompt_tokens, completion_tokens, reasoning_tokens) of what a provider says, whatever it calls it; null, not
+    a struct of nulls, where it says nothing."""
+    parts = (prompt.cast("long"), completion.cast("long"), reasoning.cast("long"))
+    known = F.coalesce(*parts).isNotNull()
+    return F.when(known, F.struct(*[p.alias(n) for p, n in zip(parts, ("prompt_tokens", "completion_tokens", "reasoning_tokens"))]))
+
+
+def provider_usage(raw: Column) -> Column:
+    """usage() of a provider's JSON, in either of the two shapes that clients give."""
+    at = lambda *paths: F.coalesce(*[F.get_json_object(raw, f"$.{p}") for p in paths])
+    return usage(
+        at("input_tokens", "prompt_tokens"),
+        at("output_tokens", "completion_tokens"),
+        at("output_token_details.reasoning", "completion_tokens_details.reasoning_tokens"),
+    )
+
+
+def store_retrievals(cache: DataFrame, found: DataFrame, key: str, ttl_s: int = RETRIEVAL_TTL) -> DataFrame:
+    """The cache (key, value, expires_at in seconds) with the chunks found (key, value: an array, at): the newest of each
+    key, for ttl_s seconds; an empty list is never kept, and doesn't take the place of one that is."""
+    new = found.filter(F.size("value") > 0).select(key, "value", (F.col("at") + ttl_s).alias("expires_at"))
+    return cache.select(key, "value", "expires_at").unionByName(new).groupBy(key).agg(F.max_by(F.struct("value", "expires_at"), "expires_at").alias("x")).select(key, "x.*")
+
+
 def history_text(history: Column, query: Column) -> Column:
     """The message that asks for a rewrite."""
     lines = F.transform(history, lambda m: F.concat(F.when(m["role"] == "user", "Người dùng").otherwise("Trợ lý"), F.lit(": "), m["text"]))

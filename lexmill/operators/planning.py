@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import nfc
+
 from .ranking import global_row_number, largest_remainder
 
 FIXED_TOKENS, MESSAGE_CHARS = 4000, 200
@@ -112,3 +114,73 @@ def record(progress: DataFrame, run: DataFrame) -> DataFrame:
 
 def mask(message: Column) -> Column:
     return F.left(F.regexp_replace(message, "(org|gsk)_[A-Za-z0-9]+", "$1_***"), F.lit(MESSAGE_CHARS))
+
+
+def select(units: DataFrame, only: list[str]) -> DataFrame:
+    """The units (document, index, unit_key) that selectors name: `name` or `name#index`, the name composed, with or
+    without .md; none names all. A selector that names nothing raises, with the documents, or the range of numbers, that
+    there are. Selectors are the few that a caller types."""
+    if not only:
+        return units
+    asked = units.sparkSession.createDataFrame([(k, s) for k, s in enumerate(only)], "k int, selector string")
+    parts = F.split(nfc(F.col("selector")), "#", 2)
+    bare = lambda c: F.regexp_replace(nfc(c), "\\.md$", "")
+    asked = asked.select("k", "selector", bare(parts[0]).alias("name"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("wanted"))
+    known = units.groupBy("document").agg(F.min("index").alias("low"), F.max("index").alias("high"), F.array_sort(F.collect_set("index")).alias("numbers"))
+    met = F.broadcast(asked).join(known.withColumn("name", bare(F.col("document"))), "name", "left")  # one row a document
+    number = F.col("wanted").try_cast("long")
+    problem = F.when(F.col("document").isNull(), "document").when((F.col("wanted") != "") & ~F.coalesce(F.array_contains("numbers", number), F.lit(False)), "number")
+    wrong = met.withColumn("problem", problem).filter("problem IS NOT NULL").orderBy("k").first()
+    if wrong is not None and wrong["problem"] == "document":
+        names = known.agg(F.array_join(F.array_sort(F.collect_list("document")), ", ")).first()[0]
+        raise ValueError(f"{wrong['selector']!r}: no such document; there are {names}")
+    if wrong is not None:
+        raise ValueError(f"{wrong['selector']!r}: {wrong['document']} has units {wrong['low']} to {wrong['high']}")
+    hits = met.select("document", number.alias("i"))
+    here = (units["document"] == hits["document"]) & (F.col("i").isNull() | (F.col("i") == units["index"]))
+    return units.join(F.broadcast(hits), here, "left_semi")
+
+
+#: What a case must have.
+REQUIRED = ("case_id", "user_input", "reference")
+
+
+def invalid_rows(raw: DataFrame) -> DataFrame:
+    """position (from 1) and problem of each row of cases (position, and those of REQUIRED and reference_contexts) that
+    can't go into a test set: what is null or blank, in order, or a case_id that an earlier row has."""
+    blank = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(c)) for c in REQUIRED]
+    said = F.coalesce(F.exists("reference_contexts", lambda c: F.coalesce(F.trim(c), F.lit("")) != ""), F.lit(False))
+    empty = F.array_join(F.array_compact(F.array(*blank, F.when(~said, F.lit("reference_contexts")))), ", ")
+    again = F.row_number().over(W.partitionBy("case_id").orderBy("position")) > 1
+    problem = F.when(empty != "", F.concat(F.lit("empty: "), empty)).when(again & F.col("case_id").isNotNull(), "repeated case_id")
+    return raw.select("position", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def finalized(raw: DataFrame, review: DataFrame) -> DataFrame:
+    """The rows that a review (pos from 1, verdict) keeps, in order, if every row is valid; else raises with the first
+    problem and its position."""
+    wrong = invalid_rows(raw).orderBy("position").first()
+    if wrong is not None:
+        raise ValueError(f"row {wrong['position']}: {wrong['problem']}")
+    kept = finalize(raw.withColumn("pos", F.col("position")), review)
+    return raw.join(kept.select(F.col("pos").alias("position")), "position", "left_semi").orderBy("position")
+
+
+def attached(new: DataFrame, units: DataFrame, old: DataFrame) -> DataFrame:
+    """New cases (unit_key, position, user_input, ...) with the document and section of their unit, without those whose
+    question is in old or came before among them."""
+    sourced = new.join(units.select("unit_key", F.col("document").alias("source_document"), F.col("title").alias("source_section")), "unit_key")
+    return unseen(sourced, old, "user_input", "position")
+
+
+def load_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Progress of units (unit_key, made, tokens, status) from a JSON file: empty where there is none, and an error, not
+    fewer rows, where it is corrupt."""
+    from lexmill.sources import files
+
+    schema = "unit_key string, made long, tokens long, status string"
+    if not files.present(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = files.read_json_array(spark, path, schema)
+    bad = F.col("unit_key").isNull() | ~F.coalesce(F.col("status").isin("done", "partial", "skipped"), F.lit(False))
+    return rows.withColumn("unit_key", F.when(bad, F.raise_error(F.lit("corrupt progress")).cast("string")).otherwise(F.col("unit_key")))

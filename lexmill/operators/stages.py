@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.models import BATCH, DIMENSION
+from lexmill.operators.ranking import global_row_number
 from lexmill.operators.reporting import stage_summary
 from lexmill.sources import files, snapshots
 
@@ -139,6 +140,17 @@ def checkpoint_embeddings(embedded: DataFrame, folder: str, source: str = "sourc
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(folder)
 
 
+def checkpoint_plan(spark: SparkSession, chunks: str, checkpoints: str) -> DataFrame:
+    """position, source and target of each JSON file right in a folder of chunks, in the order of the lower-cased name;
+    the target has the same place below the folder of checkpoints. None where the folder is missing."""
+    if not files.present(spark, chunks):
+        return spark.createDataFrame([], "position long, source string, target string")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(chunks).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    numbered = global_row_number(listed.withColumn("name", name), [F.lower("name"), "name"], "position", 1)
+    return numbered.select("position", F.col("path").alias("source"), F.concat(F.lit(checkpoints.rstrip("/") + "/"), "name").alias("target"))
+
+
 def refresh_index(spark: SparkSession, folder: str, index: str, dimension: int = DIMENSION) -> int:
     """The second phase: the whole index from all checkpoints, none of it if one vector has another dimension. Returns how
     many vectors it holds; nothing happens where there is no checkpoint."""
