@@ -2,7 +2,8 @@
 
 format IN OUT      DOCX files to Markdown: rows (path, text, warnings) in OUT/status=good, unreadable files with their
                    error in OUT/status=failed; exit code 1 if there are any
-chunk IN OUT       Markdown files to chunks
+chunk IN OUT       Markdown files to the chunks of their clauses
+chunk-all IN OUT   the same with the chunks of what stands in front of the clauses and behind them
 index IN OUT       chunks to a sparse index
 search INDEX TEXT  the best chunks of an index for a question
 eval STAGE DIR     a stage of the evaluation of DIR/testset.json over DIR/chunks: hyde, embed, retrieve, generate,
@@ -52,7 +53,7 @@ def evaluate(spark: SparkSession, stage: str, folder: str):
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexmill", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["format", "chunk", "index", "search", "eval", "query", "queries"])
+    parser.add_argument("command", choices=["format", "chunk", "chunk-all", "index", "search", "eval", "query", "queries"])
     parser.add_argument("args", nargs="*")
     given = parser.parse_args(argv)
     wanted = {"queries": 0}.get(given.command, 2)
@@ -69,8 +70,9 @@ def main(argv: list[str] | None = None) -> int:
         for row in failed.select("path", "error").limit(20).collect():
             print(f"{row['path']}: {row['error']}", file=sys.stderr)
         return 0 if failed.isEmpty() else 1
-    elif given.command == "chunk":
-        files.write_swapped(to_chunks(spark, source), target)
+    elif given.command in ("chunk", "chunk-all"):
+        found = to_chunks(spark, source)
+        files.write_swapped(found if given.command == "chunk-all" else found.filter("place.region = 1"), target)
     elif given.command == "index":
         print(files.save_index(spark.read.parquet(source), target))
     elif given.command == "search":
