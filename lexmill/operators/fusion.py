@@ -11,10 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bm25 import top
+from .ranking import NO_SCORE, best_of
 
 RRF_K, LAMBDA, LOW_RELEVANCE = 60, 0.5, -6.8
 #: Queries of a block that is compared with every vector: a broadcast of this size at most. Vectors of a group.
 QUERY_BLOCK, VECTOR_GROUP = 4096, 20_000
+#: Queries and vectors whose products stand in memory at once: some 8 MB a table of them.
+TILE = (512, 2048)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,10 +36,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _best(keys: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, np.ndarray]], k: int, digits: int) -> tuple[np.ndarray, ...]:
     """The k best vectors of batches (ids, matrix) for each query (row of q): query keys, ids and scores, flat. Ties go to
-    the smallest id. One matrix product and one partition of it per batch, no loop over queries."""
+    the smallest id. Products are made of TILE queries and vectors at once, so memory doesn't grow with either."""
     unit = 10**digits
     norms = np.linalg.norm(q, axis=1)
-    best_id, best = np.zeros((len(keys), 0), np.int64), np.zeros((len(keys), 0), np.int64)
+    best, best_id = np.full((len(keys), k), NO_SCORE), np.zeros((len(keys), k), np.int64)
     for ids, v in batches:
         if not len(ids):
             continue
@@ -44,18 +47,17 @@ def _best(keys: np.ndarray, q: np.ndarray, batches: Iterator[tuple[np.ndarray, n
             raise ValueError("vectors of unequal size")
         order = np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
-        norm = norms[:, None] * np.linalg.norm(v, axis=1)[None]
-        scores = np.rint(np.divide(q @ v.T, norm, out=np.zeros_like(norm), where=norm != 0) * unit).astype(np.int64)
-        if len(ids) > k:
-            # Score and place in one number: no two are equal.
-            at = np.argpartition(-(scores * len(ids) + (len(ids) - 1 - np.arange(len(ids)))), k - 1, axis=1)[:, :k]
-            scores, found = np.take_along_axis(scores, at, 1), ids[at]
-        else:
-            found = np.broadcast_to(ids, scores.shape)
-        best, best_id = np.concatenate((best, scores), 1), np.concatenate((best_id, found), 1)
-        at = np.lexsort((best_id, -best), axis=1)[:, :k]
-        best, best_id = np.take_along_axis(best, at, 1), np.take_along_axis(best_id, at, 1)
-    return np.repeat(keys, best.shape[1]), best_id.ravel(), best.ravel() / unit
+        lengths = np.linalg.norm(v, axis=1)
+        for i in range(0, len(keys), TILE[0]):
+            rows = slice(i, i + TILE[0])
+            for j in range(0, len(ids), TILE[1]):
+                cols = slice(j, j + TILE[1])
+                norm = norms[rows, None] * lengths[None, cols]
+                scores = np.divide(q[rows] @ v[cols].T, norm, out=np.zeros_like(norm), where=norm != 0)
+                scores *= unit
+                best[rows], best_id[rows] = best_of(best[rows], best_id[rows], np.rint(scores, out=scores).astype(np.int64), ids[cols], k)
+    here = best != NO_SCORE
+    return np.repeat(keys, here.sum(1)), best_id[here], best[here] / unit
 
 
 def dense_search(vectors: DataFrame, doc: str, queries: DataFrame, query: str, k: int, digits: int = 6) -> DataFrame:
@@ -65,8 +67,9 @@ def dense_search(vectors: DataFrame, doc: str, queries: DataFrame, query: str, k
     it stands and keeps k hits per query, so what is shuffled is k rows per query and partition. More queries are dealt
     into blocks of that size, vectors into groups of VECTOR_GROUP, and each pair of both is one task's work.
     """
-    asked = queries.select(F.col(query).cast("long").alias(query), F.col("vec").cast("array<double>").alias("vec"))
-    known = vectors.select(F.col(doc).cast("long").alias(doc), F.col("vec").cast("array<double>").alias("vec"))
+    as_array = lambda df: F.col("vec") if dict(df.dtypes)["vec"] == "array<float>" else F.col("vec").cast("array<double>")
+    asked = queries.select(F.col(query).cast("long").alias(query), as_array(queries).alias("vec"))
+    known = vectors.select(F.col(doc).cast("long").alias(doc), as_array(vectors).alias("vec"))
     schema = f"{query} long, {doc} long, score double"
     matrix = lambda pdf: np.array(pdf["vec"].tolist(), np.float64)
     n = asked.count()

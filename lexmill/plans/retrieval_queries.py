@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import WHITE
 from lexmill.operators import bm25, fusion
+from lexmill.operators.ranking import global_row_number
 from lexmill.registry import query
+from lexmill.sources.shared import keep
 from lexmill.sources.tables import read, read_dealt
 
 
@@ -67,8 +69,6 @@ def bm25_fit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bm25_term_ids", f"WITH {BM25_CTE} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM fit")
 def bm25_term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all terms, sorted. Numbering is global, so it goes by ranges: ids within a range plus what lies before it."""
-    from lexmill.operators.ranking import global_row_number
-
     return global_row_number(bm25.fit(_corpus(spark, sf_dir)).select("term"), ["term"], "term_id")
 
 
@@ -141,9 +141,12 @@ fused AS (SELECT query_id, vec_id, rrf_score, CAST(row_number() OVER (PARTITION
 
 
 def label_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    table = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = table.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    near = asked.join(table, "label").select("query_id", "vec_id", (-F.abs(F.col("vec_id") - F.col("query_id"))).cast("double").alias("score"))
+    """Numbered by label and id, a vector's k nearest of its label stand among the k before and the k after it."""
+    table = read(spark, sf_dir, "embeddings").select("vec_id", "label").filter("label IS NOT NULL")
+    numbered = keep(global_row_number(table, ["label", "vec_id"], "n"))
+    places = F.explode(F.sequence(F.col("n") - k, F.col("n") + k)).alias("n")
+    asked = numbered.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), places)
+    near = asked.join(numbered, "n").filter("own = label").select("query_id", "vec_id", (-F.abs(F.col("vec_id") - F.col("query_id"))).cast("double").alias("score"))
     return bm25.top(near, "query_id", "score", "vec_id", k)
 
 
@@ -168,7 +171,9 @@ def union_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [fused_hits(spark, sf_dir).filter("rank <= 10"), dense_hits(spark, sf_dir, 10), label_hits(spark, sf_dir, 10)]
+    dense, near = keep(dense_hits(spark, sf_dir, 20)), keep(label_hits(spark, sf_dir, 20))  # each read by two branches
+    fused = keep(fusion.rrf(dense, near, "query_id", "vec_id").filter("rank <= 10"))
+    return [fused, dense.filter("rank <= 10"), near.filter("rank <= 10")]
 
 
 _INTERLEAVED = f"""WITH {DENSE_CTE}, {SPARSE_CTE}, b AS (SELECT query_id, vec_id, 0 AS branch, rank FROM fused WHERE rank <= 10
@@ -206,8 +211,9 @@ def rerank_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fetch_fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits whose metadata is known for dense hits only, filled from a table that lacks every seventh vector."""
     table = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    known = dense_hits(spark, sf_dir, 20).filter("vec_id % 7 <> 0").select("query_id", "vec_id").join(table, "vec_id")
-    candidates = fused_hits(spark, sf_dir).filter("rank <= 10").join(known, ["query_id", "vec_id"], "left")
+    dense = keep(dense_hits(spark, sf_dir, 20))
+    known = dense.filter("vec_id % 7 <> 0").select("query_id", "vec_id").join(table, "vec_id")
+    candidates = fusion.rrf(dense, label_hits(spark, sf_dir, 20), "query_id", "vec_id").filter("rank <= 10").join(known, ["query_id", "vec_id"], "left")
     filled, _ = fusion.fill_missing(candidates.select("query_id", "vec_id", "rank", "label"), table.filter("vec_id % 7 <> 0"), "vec_id", ["label"])
     return filled
 
