@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexmill.operators import fusion
+from lexmill.operators import fusion, units
 from lexmill.plans import retrieval_queries
 from lexmill.sources import legal_view
 
@@ -45,3 +45,9 @@ def test_blocks_of_equal_keys_have_one_order(spark, tmp_path):
     spark.createDataFrame([(0, "C", 0, 1.0)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     rows = legal_view.blocks(spark, str(tmp_path)).filter(F.col("block").rlike("^(#{4,5} (Điều|1)|Điều này|C )")).orderBy("pos").collect()
     assert [r.block[:6] for r in rows] == ["#### Đ", "##### ", "C được", "Điều n"]
+
+
+def test_groups_are_given_by_their_starts(spark):
+    sizes = F.array(*[F.lit(x).cast("long") for x in (3, 4, 9, 1, 1, 1, 12, 2)])
+    row = spark.range(1).select(units.pack(sizes, 10).alias("p"), units.merge(sizes, 5, 10).alias("m")).first()
+    assert row.p == [0, 2, 3, 6, 7] and row.m == [0, 2, 3, 6, 7]
