@@ -13,13 +13,14 @@ from lexmill.functions.text import let
 OPEN, CLOSE = ("[", "【"), ("]", "】")
 DECIMAL, GROUP = (".", ","), (".", ",", " ", "\t", "\n", "\x0b", "\f", "\r")
 UNITS = ("%", "triệu", "nghìn", "ngàn", "tỷ", "đồng", "vnđ", "vnd", "ngày", "tháng", "năm", "giờ", "tuổi")
-PERCENT = ("phần", "trăm")
+UNIT = f"^(?:%|(?:{'|'.join(u for u in UNITS if u != '%')}|phần\\s+trăm)(?![\\p{{L}}\\p{{N}}_]))"
 MAX_CHUNKS = 5
 
 
 def _parts(text: Column) -> Column:
     """struct(t, gap): the runs of digits that are words of their own, and what stands before, between and behind them."""
-    alone = "(?<![\\p{L}\\p{N}_])[0-9]+(?![\\p{L}\\p{N}_])"
+    # The digit stands first in the pattern, so that most places are passed over without a look behind.
+    alone = "[0-9](?<![\\p{L}\\p{N}_][0-9])[0-9]*+(?![\\p{L}\\p{N}_])"
     return F.struct(F.regexp_extract_all(text, F.lit(alone), F.lit(0)).alias("t"), F.split(text, alone).alias("gap"))
 
 
@@ -51,6 +52,12 @@ def citations(answers: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
     return rows.join(contexts.select(key, F.col("rank").alias("n"), "chunk_id"), [key, "n"], "left").withColumn("valid", F.col("chunk_id").isNotNull())
 
 
+def n_invalid(text: Column, ranks: Column) -> Column:
+    """How many of a text's cited numbers are no rank of its context (array of ranks; null: none)."""
+    known = F.coalesce(ranks, F.array().cast("array<int>"))
+    return F.coalesce(F.size(F.filter(cited(text), lambda n: n.isNull() | ~F.array_contains(known, n))), F.lit(0))
+
+
 def _scanned(parts: Column) -> Column:
     """array of struct(value, bare, at): the numbers of a text, without separators, and the place of their last digits.
 
@@ -98,9 +105,7 @@ def unverified(answer: Column, evidence: Column) -> Column:
 
         def behind(parts: Column, x: Column) -> Column:
             rest = F.get(parts["gap"], x["at"] + 1)
-            words = F.split(F.lower(F.ltrim(rest, F.lit("".join(GROUP[2:])))), "(?<=%)|(?<![\\p{L}\\p{N}_])|(?![\\p{L}\\p{N}_])", 2)
-            first = F.get(words, F.lit(0))
-            unit = first.isin(*UNITS) | ((first == PERCENT[0]) & F.get(words, F.lit(1)).rlike(f"^\\s+{PERCENT[1]}(?![\\p{{L}}\\p{{N}}_])"))
+            unit = F.lower(F.ltrim(rest, F.lit("".join(GROUP[2:])))).rlike(UNIT)
             return F.struct(x["bare"].alias("bare"), x["value"].alias("value"), unit.alias("sensitive"), rest.startswith(".").alias("stopped"))
 
         return let(_parts(text), lambda p: F.transform(_scanned(p), lambda x: behind(p, x)))

@@ -156,8 +156,9 @@ loose AS (SELECT cand.* FROM cand LEFT JOIN ev USING (a) WHERE NOT coalesce(list
 
 
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = contexts(spark, sf_dir).groupBy("a").agg(F.flatten(F.collect_list(F.array("breadcrumb", "content"))).alias("evidence"))
-    return answers(spark, sf_dir).join(evidence, "a", "left").select("a", "text", verification.unverified(F.col("text"), F.col("evidence")).alias("loose"))
+    """a, text, ranks of its context (null: none) and loose: each answer meets its context once, in one row."""
+    evidence = contexts(spark, sf_dir).groupBy("a").agg(F.flatten(F.collect_list(F.array("breadcrumb", "content"))).alias("evidence"), F.collect_list("rank").alias("ranks"))
+    return answers(spark, sf_dir).join(evidence, "a", "left").select("a", "text", "ranks", verification.unverified(F.col("text"), F.col("evidence")).alias("loose"))
 
 
 @query("unverified_numbers", f"WITH {_LOOSE} SELECT a, value, sensitive FROM loose")
@@ -171,10 +172,9 @@ def unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, concat_ws(',', CASE WHEN a % 10 = 0 THEN 'truncated' END, CASE WHEN y > coalesce(n, 0) OR n IS NULL THEN 'invalid_citation' END, CASE WHEN bad THEN 'unverified_sensitive_number' END) AS issues FROM ans LEFT JOIN nc USING (a) LEFT JOIN s USING (a)""",
 )
 def hard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    invalid = verification.citations(answers(spark, sf_dir), contexts(spark, sf_dir), "a").groupBy("a").agg(F.count_if(~F.col("valid")).alias("n_invalid"))
     finish = F.when(F.col("a") % 10 == 0, "length").otherwise("stop")
-    found = _loose(spark, sf_dir).join(invalid, "a", "left")
-    return found.select("a", F.array_join(verification.hard_issues(finish, F.coalesce("n_invalid", F.lit(0)), F.col("loose")), ",").alias("issues"))
+    invalid = verification.n_invalid(F.col("text"), F.col("ranks"))
+    return _loose(spark, sf_dir).select("a", F.array_join(verification.hard_issues(finish, invalid, F.col("loose")), ",").alias("issues"))
 
 
 @query(
