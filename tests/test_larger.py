@@ -1,9 +1,10 @@
 """What a larger table may not change or multiply: scans, bounds, candidates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import verification
+from lexmill.operators import graph, verification
 from lexmill.plans import verification_queries
 
 
@@ -33,3 +34,19 @@ def test_invalid_citations_in_a_row_are_those_of_the_join(spark):
 def test_units_stand_behind_whole_numbers(spark, text, loose):
     found = spark.range(1).select(verification.unverified(F.lit(text), F.array()).alias("x")).first().x
     assert [tuple(x) for x in found] == loose
+
+
+@pytest.mark.parametrize("bits", [64, 512])
+def test_pairs_that_cannot_reach_leave_the_join_by_their_maps(spark, monkeypatch, bits):
+    monkeypatch.setattr(graph, "BITS", bits)
+    rng = np.random.default_rng(3)
+    base = [rng.choice(400, 30, replace=False) for _ in range(8)]
+    rows = [(k, [f"e{x}" for x in {*rng.choice(base[k % 8], rng.integers(1, 30), replace=False), *rng.integers(0, 4000, k % 9)}]) for k in range(120)]
+    found = graph.edges(graph.classes(spark.createDataFrame(rows, "node long, entities array<string>")))
+    sets = {}
+    for k, e in rows:
+        sets.setdefault(frozenset(e), k)
+    named = sorted((k, e) for e, k in sets.items())
+    want = {(a, b, len(x & y), len(x & y) / len(x | y)) for a, x in named for b, y in named if a < b and len(x & y) / len(x | y) >= 0.5}
+    assert want and {tuple(r) for r in found.collect()} == want
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
