@@ -24,8 +24,10 @@ def compose(texts: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Composed form. Only texts with a combining mark can change, so others never leave the JVM's value."""
-    return F.when(text.rlike("\\p{M}|[\\x{340}\\x{341}\\x{374}\\x{37e}\\x{387}\\x{212a}\\x{212b}]"), pandas_udf(compose, "string")(text)).otherwise(text)
+    """Composed form. Only texts with a combining mark can change. A Python function is run on every row whatever the
+    condition around it, so others go as nulls and their value never leaves the JVM."""
+    marked = text.rlike("\\p{M}|[\\x{340}\\x{341}\\x{374}\\x{37e}\\x{387}\\x{212a}\\x{212b}]")
+    return F.coalesce(pandas_udf(compose, "string")(F.when(marked, text)), text)
 
 
 def collapse(text: Column) -> Column:

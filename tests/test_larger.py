@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import text
 from lexmill.operators import graph, verification
 from lexmill.plans import verification_queries
 
@@ -50,3 +51,13 @@ def test_pairs_that_cannot_reach_leave_the_join_by_their_maps(spark, monkeypatch
     want = {(a, b, len(x & y), len(x & y) / len(x | y)) for a, x in named for b, y in named if a < b and len(x & y) / len(x | y) >= 0.5}
     assert want and {tuple(r) for r in found.collect()} == want
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_texts_with_marks_go_to_python(spark, monkeypatch):
+    def checked(texts):
+        assert all(t is None or "\u0301" in t for t in texts), "a text without a mark was sent"
+        return texts.map(lambda t: t and t.replace("e\u0301", "\u00e9"))
+
+    monkeypatch.setattr(text, "compose", checked)
+    rows = spark.createDataFrame([("plain",), ("e\u0301t",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(text.nfc(F.col("t"))).collect()] == ["plain", "\u00e9t", None, ""]
