@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as fn
+from lexmill.operators.ranking import in_ranges, over_ranges
+from lexmill.sources.shared import keep
 
 #: What a signature table holds, an attachment table, and lines that name a kind of document.
 SIGNATURE = "(?iu)Nơi\\s+nhận:|XÁC\\s+THỰC\\s+VĂN\\s+BẢN\\s+HỢP\\s+NHẤT|CHỦ\\s+NHIỆM|TM\\.\\s|KT\\.\\s|THỦ\\s+TƯỚNG"
@@ -92,51 +94,66 @@ def emit(blocks: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", F.posexplode(lines).alias("part", "line"))
 
 
-def scan_headings(docs: DataFrame) -> DataFrame:
-    """doc, line_no, line, hashes, content of each line that counts (not inside a table), with the number of the article
-    heading it stands under since the last level-1 heading."""
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("k", "raw")).select("doc", (F.col("k") + 1).alias("line_no"), F.rtrim("raw").alias("line"))
-    ordered = W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    opened = F.last(F.when(F.col("line").startswith("<table>"), True).when(F.col("line").startswith("</table>"), False), ignorenulls=True).over(ordered)
-    table = F.coalesce(opened, F.lit(False)) | F.col("line").startswith("|") | F.col("line").startswith("</table>")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc, __p, line_no (from 1), raw: the lines of documents (doc, text), in ranges."""
+    rows = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("k", "raw")).select("doc", (F.col("k") + 1).alias("line_no"), "raw")
+    return in_ranges(rows, ["doc"], ["line_no"])
+
+
+def scan_headings(lines: DataFrame) -> DataFrame:
+    """doc, __p, line_no, line, table, hashes and content of lines in ranges; hashes are 0 inside a table."""
+    marked = lines.select("doc", "__p", "line_no", F.rtrim("raw").alias("line"))
+    opened = F.when(F.col("line").startswith("<table>"), True).when(F.col("line").startswith("</table>"), False)
+    marked = over_ranges(marked, ["doc"], ["line_no"], lasts={"opened": opened})
+    table = F.coalesce("opened", F.lit(False)) | F.col("line").startswith("|") | F.col("line").startswith("</table>")
     hashes = F.length(F.regexp_extract("line", "^(#*)", 1))
-    marked = lines.withColumn("table", table).withColumn("hashes", F.when(~table, hashes).otherwise(0))
+    marked = marked.withColumn("table", table).withColumn("hashes", F.when(~table, hashes).otherwise(0))
     content = F.trim(F.expr("substring(line, hashes + 1)"))
-    return marked.withColumn("content", content)
+    return marked.withColumn("content", content).drop("opened")
 
 
 def validate(docs: DataFrame) -> DataFrame:
     """doc, code, detail: the quality warnings of Markdown documents (doc, text)."""
-    rows = scan_headings(docs)
-    ordered = W.partitionBy("doc").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return validate_lines(lines_of(docs))
+
+
+def validate_lines(lines: DataFrame) -> DataFrame:
+    """validate() of documents whose lines (doc, __p, line_no, raw) stand in ranges of their order: what holds from one
+    line on is carried over ranges, so no task needs a whole document."""
+    rows = scan_headings(lines)
     h = F.col("hashes")
     line = F.concat(F.lit("dòng "), "line_no", F.lit(": "))
     real = (h > 0) & (F.col("content") != "")
-    rows = rows.withColumn("seen", F.max(F.when(real & (h == 4), 1)).over(ordered))
-    appendix = F.last(F.when(real & (h == 1), fn.kind_of_line(F.col("content")) == "appendix"), ignorenulls=True).over(ordered)
-    rows = rows.withColumn("in_appendix", F.coalesce(appendix, F.lit(False)))
-    top = F.max(F.when(real & (h == 1), F.col("line_no"))).over(ordered)
-    article = F.max(F.when(real & (h == 4), F.struct("line_no", "content"))).over(ordered)
-    rows = rows.withColumn("article", F.when(article["line_no"] > F.coalesce(top, F.lit(0)), article["content"]))
     number = F.regexp_extract("content", fn.STRUCTURE["article"], 1)
-    parent = F.last(
-        F.when(real & (h == 1), F.when(fn.kind_of_line(F.col("content")) == "appendix", F.lit("phu_luc")).otherwise(F.concat(F.lit("phan:"), "content"))).when(
-            real & (h == 4), F.concat(F.lit("dieu:"), F.when(number != "", number).otherwise(F.col("content")))
-        ),
-        ignorenulls=True,
-    ).over(ordered)
-    rows = rows.withColumn("parent", F.coalesce(parent, F.lit("<none>"))).withColumn("number", number)
+    parent = F.when(real & (h == 1), F.when(fn.kind_of_line(F.col("content")) == "appendix", F.lit("phu_luc")).otherwise(F.concat(F.lit("phan:"), "content"))).when(
+        real & (h == 4), F.concat(F.lit("dieu:"), F.when(number != "", number).otherwise(F.col("content")))
+    )
+    held = {
+        "seen": F.when(real & (h == 4), 1),
+        "in_appendix": F.when(real & (h == 1), fn.kind_of_line(F.col("content")) == "appendix"),
+        "top": F.when(real & (h == 1), F.col("line_no")),
+        "under": F.when(real & (h == 4), F.struct("line_no", "content")),
+        "parent": parent,
+    }
+    rows = over_ranges(rows, ["doc"], ["line_no"], lasts=held)
+    rows = rows.withColumn("in_appendix", F.coalesce("in_appendix", F.lit(False))).withColumn("article", F.when(F.col("under.line_no") > F.coalesce("top", F.lit(0)), F.col("under.content")))
+    holds = F.when((F.col("table") | (h == 0)) & (F.trim("line") != "") | (real & (h == 5)), 1).otherwise(0)
+    # Written once: each warning looks for something else in the same rows.
+    rows = keep(
+        rows.select(
+            "doc", "line_no", "hashes", F.when(h > 0, F.col("content")).alias("content"), F.length("line").alias("length"), holds.alias("holds"), "seen", "in_appendix", "article",
+            F.coalesce("parent", F.lit("<none>")).alias("parent"), number.alias("number"),
+        )
+    )
     clause_no = F.trim(F.split(F.regexp_replace("content", "^Khoản ", ""), "\\.")[0])
 
     deep = rows.filter(h > 5).select("doc", F.lit("heading_too_deep").alias("code"), F.concat(line, F.expr("repeat('#', hashes)")).alias("detail"))
-    long = rows.filter(real & (F.length("line") > HEADING_CHARS)).select("doc", F.lit("suspicious_heading_length").alias("code"), F.concat(line, F.length("line"), F.lit(" ký tự")).alias("detail"))
+    long = rows.filter(real & (F.col("length") > HEADING_CHARS)).select("doc", F.lit("suspicious_heading_length").alias("code"), F.concat(line, "length", F.lit(" ký tự")).alias("detail"))
     skips = rows.filter(real & (h == 5) & F.col("seen").isNull() & ~F.col("in_appendix")).groupBy("doc").agg(F.min_by(F.concat(line, "content"), "line_no").alias("detail"))
     bare = rows.groupBy("doc").agg(F.max("hashes").alias("m")).filter("m = 0").select("doc", F.lit("no_heading").alias("code"), F.lit("").alias("detail"))
     articles = breaks(rows.filter(real & (h == 4) & (F.col("number") != "")), ["doc"], F.col("number"))
     clauses = breaks(rows.filter(real & (h == 5)), ["doc", "parent"], clause_no)
-    holds = F.when((F.col("table") | (h == 0)) & (F.trim("line") != "") | (real & (h == 5)), 1).otherwise(0)
-    empty = rows.filter("article IS NOT NULL").groupBy("doc", F.col("article").alias("detail")).agg(F.max(holds).alias("m")).filter("m = 0").select("doc", F.lit("empty_dieu").alias("code"), "detail")
-    left = docs.select("doc", F.lit("orphan_footnote").alias("code"), F.explode(F.regexp_extract_all("text", F.lit("(\\[\\d{1,3}\\])"), F.lit(1))).alias("detail"))
+    empty = rows.filter("article IS NOT NULL").groupBy("doc", F.col("article").alias("detail")).agg(F.max("holds").alias("m")).filter("m = 0").select("doc", F.lit("empty_dieu").alias("code"), "detail")
     out = deep
     for more in (
         long,
@@ -145,12 +162,18 @@ def validate(docs: DataFrame) -> DataFrame:
         articles.select("doc", F.lit("dieu_not_monotonic").alias("code"), F.concat(F.lit("Điều "), "n").alias("detail")),
         clauses.select("doc", F.lit("khoan_not_monotonic").alias("code"), F.concat("parent", F.lit(" -> khoản "), "n").alias("detail")),
         empty,
-        left,
+        orphan_footnotes(lines),
     ):
         out = out.unionByName(more)
     return out
 
 
+def orphan_footnotes(lines: DataFrame) -> DataFrame:
+    """doc, code, detail: each marker that is left, of lines (doc, raw); none spans two."""
+    found = F.regexp_extract_all("raw", F.lit("(\\[\\d{1,3}\\])"), F.lit(1))
+    return lines.select("doc", F.lit("orphan_footnote").alias("code"), F.explode(found).alias("detail"))
+
+
 def breaks(rows: DataFrame, keys: list[str], number: Column) -> DataFrame:
     """Rows whose number (48a, 48b, 49) is not above the one before it in the same group, as column n."""
     ordered = W.partitionBy(*keys).orderBy("line_no")

@@ -89,7 +89,7 @@ n AS (SELECT *, first_value(mark) OVER (PARTITION BY doc, grp ORDER BY line_no)
     SELECT doc, 'khoan_not_monotonic' AS code, parent || ' -> khoản ' || num AS detail FROM k WHERE bad UNION ALL SELECT doc, 'dieu_not_monotonic', 'Điều ' || num FROM b WHERE bad""",
 )
 def validate_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatting.validate(legal_view.texts(spark, sf_dir)).filter("code LIKE '%monotonic'")
+    return formatting.validate_lines(legal_view.lines(spark, sf_dir)).filter("code LIKE '%monotonic'")
 
 
 @query(
@@ -100,13 +100,13 @@ def validate_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT doc, 'orphan_footnote', CAST(sum(len(regexp_extract_all(text, '\\[\\d{{1,3}}\\]'))) AS BIGINT) AS n FROM t GROUP BY doc HAVING n > 0""",
 )
 def validate_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = formatting.validate(legal_view.texts(spark, sf_dir)).filter("code NOT LIKE '%monotonic'")
+    found = formatting.validate_lines(legal_view.lines(spark, sf_dir)).filter("code NOT LIKE '%monotonic'")
     return found.groupBy("doc", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("qc_counts", f"WITH {_LINES} SELECT 'orphan_footnote' AS code, CAST(sum(len(regexp_extract_all(text, '\\[\\d{{1,3}}\\]'))) AS BIGINT) AS n FROM t HAVING n > 0")
 def qc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = formatting.validate(legal_view.texts(spark, sf_dir)).filter("code = 'orphan_footnote'")
+    found = formatting.orphan_footnotes(legal_view.lines(spark, sf_dir))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc())
 
 

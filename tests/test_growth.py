@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import bm25, fusion, units
+from lexmill.operators import bm25, formatting, fusion, ranking, units
 from lexmill.plans import retrieval_queries
 from lexmill.sources import legal_view
 
@@ -73,3 +73,29 @@ def test_search_shuffles_no_pairs(spark, monkeypatch, asked):
     assert {(r.q, r.d, r.score, r["rank"]) for r in found.collect()} == want
     # A join by term with a sum per pair would shuffle pairs.
     assert "Aggregate [q" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_carried_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, k, int(rng.integers(0, 9)) if rng.random() < 0.1 else None) for g, n in ((1, 300), (2, 1), (3, 90)) for k in range(n)]
+    ranged = ranking.in_ranges(spark.createDataFrame(rows, "g int, k int, x int"), ["g"], ["k"])
+    found = ranking.over_ranges(ranged, ["g"], ["k"], sums={"s": F.coalesce("x", F.lit(0))}, lasts={"l": F.col("x")})
+    assert ranged.filter("g = 1").select("__p").distinct().count() > 1
+    want, sums, lasts = set(), {}, {}
+    for g, k, x in rows:
+        sums[g], lasts[g] = sums.get(g, 0) + (x or 0), lasts.get(g) if x is None else x
+        want.add((g, k, sums[g], lasts[g]))
+    assert {(r.g, r.k, r.s, r.l) for r in found.collect()} == want
+
+
+def test_headings_are_validated_by_ranges(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = {(r.doc, k, line) for r in legal_view.texts(spark, sf).collect() for k, line in enumerate(r.text.split("\n"), 1)}
+    lines = legal_view.lines(spark, sf)
+    assert {(r.doc, r.line_no, r.raw) for r in lines.collect()} == whole
+    # A text in one row, and a join by document alone, grow with the document and with its square.
+    assert "collect_list" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "rs#" in [x for x in legal_view._parts(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "ns#" not in x][0]
+    text = "# Phần I\n" + "\n".join(f"#### Điều {k}. x\n##### Khoản {k}\ny [1]" for k in range(1, 200)) + "\n#### Điều 7. leer\n<table>\n# a"
+    got = [(r.code, r.detail) for r in formatting.validate(spark.createDataFrame([(1, text)], "doc long, text string")).collect()]
+    assert sorted(got) == [("dieu_not_monotonic", "Điều 7"), *[("orphan_footnote", "[1]")] * 199]
