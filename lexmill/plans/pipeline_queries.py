@@ -44,7 +44,7 @@ def retrieve(
         key = F.try_element_at(citation.document_keys(), F.col("source_document"))
         passage = plugs.segmenter(F.concat_ws(" ", "breadcrumb", "content"))
         found = bm25.index_of(bm25.terms(known, "c", passage, citation.document_terms(F.col("breadcrumb"), key)), "c")
-        fitted, weights = (keep(x) for x in found)
+        fitted, weights = keep(found[0]), found[1]  # weights are read off the documents' counts, which are written
     else:
         # A posting of a chunk that isn't known keeps its place below zero, so that its hit is found to have no metadata.
         numbers = index[0].join(known.select("chunk_id", "c"), "chunk_id", "left")

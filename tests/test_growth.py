@@ -99,3 +99,16 @@ def test_headings_are_validated_by_ranges(spark):
     text = "# Phần I\n" + "\n".join(f"#### Điều {k}. x\n##### Khoản {k}\ny [1]" for k in range(1, 200)) + "\n#### Điều 7. leer\n<table>\n# a"
     got = [(r.code, r.detail) for r in formatting.validate(spark.createDataFrame([(1, text)], "doc long, text string")).collect()]
     assert sorted(got) == [("dieu_not_monotonic", "Điều 7"), *[("orphan_footnote", "[1]")] * 199]
+
+
+def test_partial_hits_grow_with_cores_not_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        docs = spark.range(200).selectExpr("id AS d", "concat('t', id % 7) AS term", "1.0 AS weight").withColumn("weight", F.col("weight").cast("double"))
+        found = bm25.search(docs, "d", docs.filter("d < 5").withColumnRenamed("d", "q"), "q", 3)
+        dealt = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in x]
+        assert len(dealt) == 1 and dealt[0].rstrip().endswith(f"], {spark.sparkContext.defaultParallelism}")
+        assert {(r.q, r.d) for r in found.collect()} == {(q, q + 7 * k) for q in range(5) for k in range(3)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
