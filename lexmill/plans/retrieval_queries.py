@@ -49,7 +49,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pruned_hits(spark: SparkSession, sf_dir: str, k: int) -> bm25.Pruned:
-    corpus, asked = _corpus(spark, sf_dir), _questions(spark, sf_dir)
+    corpus, asked = bm25.counted(_corpus(spark, sf_dir), "doc_id"), _questions(spark, sf_dir)
     fitted, weights = bm25.index_of(corpus, "doc_id", asked.select(F.explode("terms").alias("term")))
     postings, bounds = bm25.blocked(corpus, "doc_id", weights)
     return bm25.search_pruned(postings, bounds, "doc_id", bm25.query_weights(asked, "item_id", fitted), "item_id", k)
