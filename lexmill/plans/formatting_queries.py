@@ -20,10 +20,15 @@ raw AS (SELECT doc, pos, CASE WHEN starts_with(block, '|') OR starts_with(block,
 
 
 def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(legal_view.blocks(spark, sf_dir))
+
+
+def _raw(blocks: DataFrame) -> DataFrame:
+    """Blocks as kind and text, with their other columns."""
     b = F.col("block")
     kind = F.when(b.startswith("|") | b.startswith("<table") | b.startswith("Nơi nhận:"), "table").otherwise("paragraph")
     text = F.when(b.startswith("##### Khoản "), F.concat(F.substring("block", 13, 1000), F.lit(". Nội dung khoản"))).otherwise(F.regexp_replace("block", "^(#+ |\\*\\*)|\\*\\*$", ""))
-    return legal_view.blocks(spark, sf_dir).select("doc", "pos", kind.alias("kind"), text.alias("text"))
+    return blocks.withColumns({"kind": kind, "text": text}).drop("block")
 
 
 _STRUCT = "(regexp_matches(text, '(?i)^(PHỤ\\s+LỤC|Phần\\s+(thứ\\s+)?([IVXLCDM]+|\\d+)|Chương\\s+([IVXLCDM]+|\\d+)|Mục\\s+\\d+)') OR regexp_matches(text, '^Điều\\s+\\d+[a-zđ]?\\s*\\.'))"
@@ -127,11 +132,9 @@ def setext_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pack_blocks_llm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks packed for a rewriter of 500 tokens, at 2.5 characters each."""
-    sized = raw_blocks(spark, sf_dir).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.length("text").alias("n")))).alias("b"))
     limit = int(500 * formatting.CHARS_PER_TOKEN)
-    groups = ranking.packed_groups(F.transform("b", lambda x: x["n"]), limit)
-    rows = sized.select("doc", F.explode(F.arrays_zip(groups.alias("g"), F.transform("b", lambda x: x["n"]).alias("n"))).alias("z"))
-    return rows.groupBy("doc", F.col("z").getField("g").alias("g")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.col("z").getField("n")).cast("long").alias("n_chars"))
+    rows = ranking.packed_over_ranges(_raw(legal_view.placed(spark, sf_dir)), ["doc"], ["pos"], F.length("text"), limit)
+    return rows.groupBy("doc", F.col("group").cast("int").alias("g")).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("size").alias("n_chars"))
 
 
 @query("serialize_blocks", f"WITH {RAW_CTE} SELECT doc, string_agg(CASE WHEN kind = 'paragraph' THEN m || text || m ELSE text END, chr(10) || chr(10) ORDER BY pos) AS text FROM (SELECT *, CASE WHEN pos % 6 = 0 THEN '***' WHEN pos % 2 = 0 THEN '**' WHEN pos % 3 = 0 THEN '*' ELSE '' END AS m FROM raw) GROUP BY doc")

@@ -131,3 +131,29 @@ def test_only_the_order_of_tied_blocks_is_open(spark, tmp_path, name):
     assert sql != ORACLES[name]
     found = QUERIES[name](spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == sorted(con.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall())
+
+
+@pytest.mark.parametrize("budget", [0, 7, 40])
+def test_groups_are_packed_over_ranges(spark, budget):
+    rng = np.random.default_rng(budget)
+    draw = lambda: None if (x := rng.random()) < 0.05 else int(rng.choice([0, 1, 3, 5, 8, 50], p=[0.2, 0.3, 0.2, 0.15, 0.1, 0.05]))
+    sizes = {g: [draw() for _ in range(n)] for g, n in ((1, 400), (2, 1), (3, 90), (4, 60))} | {5: [0] * 40, 6: [None, 0, 0, 50, 0, 1]}
+    ranged = ranking.in_ranges(spark.createDataFrame([(g, k, x) for g, v in sizes.items() for k, x in enumerate(v)], "g int, k int, x int"), ["g"], ["k"])
+    assert ranged.filter("g = 1").select("__p").distinct().count() > 1
+    want = set()
+    for g, v in sizes.items():
+        group, total = 0, v[0]
+        for k, x in enumerate(v):
+            if k and (total is None or x is None or total + x > budget):
+                group, total = group + 1, x
+            elif k:
+                total += x
+            want.add((g, k, x, group))
+    got = ranking.packed_over_ranges(ranged, ["g"], ["k"], F.col("x"), budget).collect()
+    assert len(got) == len(want) and {(r.g, r.k, None if r["size"] is None or np.isnan(r["size"]) else r["size"], r.group) for r in got} == want
+
+
+def test_no_document_is_packed_in_one_row(spark):
+    plan = QUERIES["pack_blocks_llm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # What is listed for a document are its ranges.
+    assert [x for x in plan.split("\n") if "collect_list" in x] and all("least" in x for x in plan.split("\n") if "collect_list" in x)
