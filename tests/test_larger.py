@@ -61,3 +61,8 @@ def test_only_texts_with_marks_go_to_python(spark, monkeypatch):
     monkeypatch.setattr(text, "compose", checked)
     rows = spark.createDataFrame([("plain",), ("e\u0301t",), (None,), ("",)], "t string")
     assert [r[0] for r in rows.select(text.nfc(F.col("t"))).collect()] == ["plain", "\u00e9t", None, ""]
+
+
+def test_a_number_is_named_once_whatever_its_separators(spark):
+    found = spark.range(1).select(verification.unverified(F.lit("Xem 1.234.567 đồng, số 1234567."), F.array()).alias("x")).first().x
+    assert [tuple(x) for x in found] == [("1.234.567", True)]
