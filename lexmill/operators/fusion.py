@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import keep
+
 from .bm25 import top
 from .ranking import NO_SCORE, best_of
 
@@ -103,6 +105,14 @@ def dense_search(vectors: DataFrame, doc: str, queries: DataFrame, query: str, k
     return top(met, query, "score", doc, k)
 
 
+def dense_search_once(vectors: DataFrame, doc: str, queries: DataFrame, query: str, k: int, digits: int = 6) -> DataFrame:
+    """The rows of dense_search(), where many queries have equal vectors: each vector is searched once."""
+    asked = keep(queries.select(F.col(query).cast("long").alias(query), "vec"))
+    one = keep(asked.groupBy("vec").agg(F.min(query).alias("__of")))
+    found = dense_search(vectors, doc, one.select(F.col("__of").alias(query), "vec"), query, k, digits).withColumnRenamed(query, "__of")
+    return asked.join(one, "vec").select(query, "__of").join(found, "__of").select(query, doc, "score", "rank")
+
+
 def fetch(hits: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Rows of the table for the wanted keys; missing keys are absent."""
     return hits.select(key).distinct().join(table, key)

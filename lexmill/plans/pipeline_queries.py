@@ -55,9 +55,9 @@ def retrieve(
         own = text == "text"
         vec = F.col("qvec") if own else plugs.encoder(F.col(text))
         asked = questions.filter(F.col(text).isNotNull()).select("query_id", F.col(text).alias("t"), F.col("structural") if own else none.alias("structural"), vec.alias("vec"))
-        dense = fusion.dense_search(vectors, "c", asked.select("query_id", "vec"), "query_id", 20)
+        dense = fusion.dense_search_once(vectors, "c", asked.select("query_id", "vec"), "query_id", 20)
         qterms = bm25.query_weights(bm25.terms(asked, "query_id", plugs.segmenter(F.col("t")), F.col("structural")), "query_id", fitted)
-        sparse = keep(bm25.search(weights, "c", qterms, "query_id", 20))
+        sparse = keep(bm25.search_shared(weights, "c", qterms, "query_id", 20))
         fused = keep(fusion.rrf(dense, sparse, "query_id", "c").filter("rank <= 20"))
         if use_mmr:
             pool = fused.select("query_id", "c", F.col("rank").alias("pos")).join(vectors, "c").join(questions.select("query_id", "qvec"), "query_id")

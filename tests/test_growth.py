@@ -157,3 +157,31 @@ def test_no_document_is_packed_in_one_row(spark):
     plan = QUERIES["pack_blocks_llm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # What is listed for a document are its ranges.
     assert [x for x in plan.split("\n") if "collect_list" in x] and all("least" in x for x in plan.split("\n") if "collect_list" in x)
+
+
+@pytest.mark.parametrize("seed", [0, 40, 10_000])
+def test_what_questions_share_is_searched_once(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    docs = [(d, t, float(rng.integers(1, 9)) / 8) for d in range(120) for t in [*(f"c{x}" for x in rng.choice(5, 3, replace=False)), *(f"r{x}" for x in rng.choice(40, 2, replace=False))]]
+    weight = {f"{a}{x}": float(rng.integers(1, 9)) / 4 for a in "cr" for x in range(45)}
+    shares = [("c0", "c1"), ("c2", "c3", "c4"), ()]
+    asked = [(q, t, weight[t]) for q in range(40) for t in [*shares[q % 3], *(f"r{x}" for x in rng.choice(44, 1 + q % 2, replace=False))]]
+    known, questions = spark.createDataFrame(docs, "d long, term string, weight double"), spark.createDataFrame(asked, "q long, term string, weight double")
+    whole, seen = bm25.search, []
+    monkeypatch.setattr(bm25, "search", lambda *a, **k: seen.append(a[2].select("q").distinct().count()) or whole(*a, **k))
+    questions = questions.unionByName(questions.withColumn("q", F.col("q") + 100))  # each once more
+    got = {tuple(r) for r in bm25.search_shared(known, "d", questions, "q", 4, seed=seed).select("q", "d", "score", "rank").collect()}
+    assert got == {tuple(r) for r in whole(known, "d", questions, "q", 4).select("q", "d", "score", "rank").collect()} and len(got) > 40
+    # With rare terms set aside, one search for each way in which questions begin; with all of them rare, none.
+    assert len(seen) == 1 and seen[0] in {0: range(3, 41), 40: [2], 10_000: [0]}[seed]
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    known = spark.createDataFrame([(d, rng.integers(-2, 3, 4).astype(float).tolist()) for d in range(80)], "d long, vec array<double>")
+    asked = spark.createDataFrame([(q, [float(q % 3), 1.0, 0.0, -1.0]) for q in range(50)], "q long, vec array<double>")
+    whole, seen = fusion.dense_search, []
+    monkeypatch.setattr(fusion, "dense_search", lambda *a, **k: seen.append(a[2].count()) or whole(*a, **k))
+    got = fusion.dense_search_once(known, "d", asked, "q", 5).select("q", "d", "score", "rank").collect()
+    assert len(got) == 250 and {tuple(r) for r in got} == {tuple(r) for r in whole(known, "d", asked, "q", 5).select("q", "d", "score", "rank").collect()}
+    assert seen == [3]
